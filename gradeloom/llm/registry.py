@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from gradeloom.llm import url_filter
+from gradeloom.llm import bpe_chunks, line_dedup, pu_quality, quality_rules, toxicity, url_filter
 
 QUERIES = {
     "op2_url_filters": url_filter.op2_url_filters,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op5_bpe_chunks": bpe_chunks.op5_bpe_chunks,
+    "op6_pu_quality": pu_quality.op6_pu_quality,
+    "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLES = {
     "op2_url_filters": url_filter.OP2_SQL,
+    "op10_line_dedup": line_dedup.OP10_SQL,
 }
