@@ -1,13 +1,66 @@
-"""The corpus pipeline: filled in stage by stage."""
+"""The corpus pipeline: toxic documents go, repeated lines go, near-duplicates go, sources are mixed, texts become tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again
+as the next one's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gradeloom.llm import bpe_chunks, line_dedup, mixing, near_dedup, toxicity
+from gradeloom.llm.cluster import table, written
+
+#: SQL can't express the trained classifier, the raking and the tokeniser; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents whose toxicity reaches 0.3; the classifier learns from the labelled ones among ``docs``."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, model, score="_toxicity").where("_toxicity < 0.3").select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later occurrences of three-line windows go from the texts; n_chars follows. A document left without text stays, empty."""
+    cut = line_dedup.dedup_lines(docs)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: the one with the smallest id. Documents without words and rows without id all stay."""
+    groups = near_dedup.near_groups(docs.select("doc_id", "text"))
+    kept = written(groups.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_rows")), "kept")
+    stay = docs.join(kept, "doc_id").select(*docs.columns, "_rows")
+    if kept.where("_rows > 1").limit(1).count():  # rows that share a kept id
+        stay = stay.where("_rows = 1").unionByName(stay.where("_rows > 1").dropDuplicates(["doc_id"]))
+    return stay.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose expected tokens have the target shares of source, language and topic."""
+    return mixing.mix(docs).where("_mix.sampled").select(*docs.columns)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, lang, n_tokens, ids_sha256, decoded_sha256 and ids."""
+    return bpe_chunks.encode_documents(docs, carry=("doc_id", "source", "lang"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("mixing", mix_sources),
+    ("bpe", tokenize),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"pipeline-{name}")
     return docs

@@ -53,22 +53,21 @@ def describe(text: str | None) -> list[float]:
     ]
 
 
-EDGES = 12  # bins of each measure
+#: Quantiles of each measure, denser in the tails, where poor texts sit.
+QUANTILES = (0.005, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 0.95, 0.98, 0.995)
+EDGES = len(QUANTILES)
 
 
 @dataclass(frozen=True)
 class QualityModel:
-    edges: np.ndarray  # measure x EDGES - 1, quantiles of the unlabelled texts
+    edges: np.ndarray  # measure x EDGES, quantiles of the texts trained on
     weights: np.ndarray  # measure x EDGES
     bias: float
     prior: float
 
     def spread(self, rows: np.ndarray) -> np.ndarray:
-        """One-hot bins of each measure."""
-        out = np.zeros((len(rows), *self.weights.shape))
-        for k, edges in enumerate(self.edges):
-            out[np.arange(len(rows)), k, np.searchsorted(edges, rows[:, k], side="right")] = 1
-        return out.reshape(len(rows), -1)
+        """Which edges each measure reaches, as 0 or 1."""
+        return (rows[:, :, None] >= self.edges).astype(np.float64).reshape(len(rows), -1)
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.spread(rows) @ self.weights.ravel() + self.bias, -40, 40)))
@@ -78,61 +77,70 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """Share of positives among the unlabelled, from scores that weren't fitted on them.
 
     Below any score c the unlabelled hold at least prior * P(score >= c | positive) above it; the least
-    upper confidence bound of the ratio of the two tail shares is the estimate (best-bin estimation).
+    of the slightly raised values of the ratio of the two tail shares is the estimate (best-bin estimation).
     """
-    cuts = np.unique(np.quantile(positive, np.linspace(0, 0.9, 91)))
-    best = 1.0
-    for c in cuts:
-        p, u = (positive >= c).mean(), (unlabelled >= c).mean()
-        slack = np.sqrt(0.5 * np.log(20) / len(unlabelled)) + np.sqrt(0.5 * np.log(20) / len(positive))
-        if p > 0:
-            best = min(best, (u + slack * 0.5) / p)
+    cuts = np.unique(np.quantile(positive, np.linspace(0.01, 0.5, 50)))
+    slack = 0.25 * np.sqrt(0.5 / len(unlabelled)) + 0.25 * np.sqrt(0.5 / len(positive))
+    best = min((((unlabelled >= c).mean() + slack) / (positive >= c).mean() for c in cuts), default=1.0)
     return float(np.clip(best, 0.01, 0.99))
 
 
-def _descend(x_p: np.ndarray, x_u: np.ndarray, prior: float, *, steps: int, l2: float) -> tuple[np.ndarray, float]:
-    """Minimises the non-negative risk prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with the logistic loss."""
-    w, b = np.zeros(x_p.shape[1]), 0.0
-    square, square_b = np.full(len(w), 1e-8), 1e-8
+def _minimise(x_p: np.ndarray, x_u: np.ndarray, prior: float, *, l2: float, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Minimises the non-negative risk prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) + l2 |w|^2 with the logistic loss.
+
+    While the second term is positive the risk is convex, as the loss of a score minus that of its
+    opposite is linear: Newton's method. Where the minimum makes it negative, which no true risk is,
+    gradient steps go on from there and climb back whenever it falls below 0.
+    """
+    x_p, x_u = np.column_stack([x_p, np.ones(len(x_p))]), np.column_stack([x_u, np.ones(len(x_u))])
+    w = np.zeros(x_p.shape[1])
+    ridge = np.append(np.full(len(w) - 1, 2 * l2), 1e-9)
+    mean_p = x_p.mean(0)
     sigma = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    for _ in range(steps):
-        f_p, f_u = x_p @ w + b, x_u @ w + b
-        s_p, s_u = sigma(f_p), sigma(f_u)
+    risk = lambda w: np.logaddexp(0, x_u @ w).mean() - prior * (mean_p @ w) + 0.5 * ridge @ w**2
+    for _ in range(40):
+        s = sigma(x_u @ w)
+        grad = s @ x_u / len(x_u) - prior * mean_p + ridge * w
+        step = np.linalg.solve((x_u.T * (s * (1 - s))) @ x_u / len(x_u) + np.diag(ridge + 1e-9), grad)
+        size, now = 1.0, risk(w)
+        while size > 1e-4 and risk(w - size * step) > now:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-6:
+            break
+    square = np.full(len(w), 1e-8)
+    for k in range(steps):
+        f_p, f_u = x_p @ w, x_u @ w
         negative = np.logaddexp(0, f_u).mean() - prior * np.logaddexp(0, f_p).mean()
-        g_plus = prior * (s_p - 1) / len(f_p)  # of prior * R_p(+)
-        g_p, g_u = -prior * s_p / len(f_p), s_u / len(f_u)  # of R_u(-) - prior * R_p(-)
-        if negative < 0:  # the risk on negatives went below what is possible: climb back
-            d_p, d_u = -g_p, -g_u
-        else:
-            d_p, d_u = g_plus + g_p, g_u
-        grad, grad_b = d_p @ x_p + d_u @ x_u + 2 * l2 * w, d_p.sum() + d_u.sum()
+        if negative >= 0 and k == 0:
+            break
+        s_p, s_u = sigma(f_p), sigma(f_u)
+        of_negative = s_u @ x_u / len(f_u) - prior * (s_p @ x_p) / len(f_p)
+        grad = -of_negative if negative < 0 else of_negative + prior * ((s_p - 1) @ x_p) / len(f_p)
+        grad = grad + ridge * w
         square += grad**2
-        square_b += grad_b**2
-        w -= 0.2 * grad / np.sqrt(square)
-        b -= 0.2 * grad_b / np.sqrt(square_b)
-    return w, float(b)
+        w = w - 0.1 * grad / np.sqrt(square)
+    return w[:-1], float(w[-1])
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, *, steps: int = 400, l2: float = 1e-4) -> QualityModel:
-    """Two passes: one with even odds on half of the texts ranks the other half, from which the class prior is
-    estimated; the second minimises the non-negative risk with that prior on all."""
-    wide = positive.shape[1] if positive.ndim == 2 else len(describe(""))
+def fit(positive: np.ndarray, unlabelled: np.ndarray) -> QualityModel:
+    """Two passes: with even odds, one half of the texts gives scores to the other, from which the class prior is
+    estimated; then the non-negative risk is minimised with that prior on all."""
+    wide = positive.shape[1] if len(positive) else len(describe(""))
     if not len(positive) or not len(unlabelled):
-        return QualityModel(np.zeros((wide, EDGES - 1)), np.zeros((wide, EDGES)), 0.0, 0.5)
-    both = np.concatenate([positive, unlabelled])
-    edges = np.quantile(both, np.linspace(0, 1, EDGES + 1)[1:-1], axis=0).T
-    # half of the edges go to the outer tails, where poor texts sit
-    edges[:, 0], edges[:, 1] = np.quantile(both, 0.01, axis=0), np.quantile(both, 0.04, axis=0)
-    edges[:, -1], edges[:, -2] = np.quantile(both, 0.99, axis=0), np.quantile(both, 0.96, axis=0)
-    edges = np.sort(edges, axis=1)
+        return QualityModel(np.zeros((wide, EDGES)), np.zeros((wide, EDGES)), 0.0, 0.5)
+    edges = np.quantile(np.concatenate([positive, unlabelled]), QUANTILES, axis=0).T
+    edges = edges + 1e-9 * (1 + np.abs(edges))  # a measure that most texts have exactly doesn't reach its edge
     blank = QualityModel(edges, np.zeros((wide, EDGES)), 0.0, 0.5)
     x_p, x_u = blank.spread(positive), blank.spread(unlabelled)
+    l2 = 1.0 / (len(x_p) + len(x_u))
     halves = []
     for k in (0, 1):
-        w, b = _descend(x_p[k::2], x_u[k::2], 0.5, steps=steps // 2, l2=l2)
-        halves.append((x_p[1 - k::2] @ w + b, x_u[1 - k::2] @ w + b))
-    prior = float(np.mean([estimate_prior(p, u) for p, u in halves if len(p) and len(u)] or [0.5]))
-    w, b = _descend(x_p, x_u, prior, steps=steps, l2=l2)
+        if len(x_p) > 3 and len(x_u) > 3:
+            w, b = _minimise(x_p[k::2], x_u[k::2], 0.5, l2=4 * l2)
+            halves.append((x_p[1 - k::2] @ w + b, x_u[1 - k::2] @ w + b))
+    prior = float(np.mean([estimate_prior(p, u) for p, u in halves] or [0.5]))
+    w, b = _minimise(x_p, x_u, prior, l2=l2)
     return QualityModel(edges, w.reshape(wide, EDGES), b, prior)
 
 

@@ -66,22 +66,25 @@ def with_counts(docs: DataFrame, *, text: str = "text", carry: tuple[str, ...] =
 def votes() -> dict[str, F.Column]:
     """Each rule's vote: 1 good, -1 bad, 0 abstains."""
     c = F.col
-    n, chars, letters = c("n_words"), F.greatest(c("word_chars"), F.lit(1)), c("n_letters")
-
-    def rule(bad: F.Column, good: F.Column) -> F.Column:
-        return F.when(bad, -1).when(good, 1).otherwise(0)
-
+    n, chars, letters = c("n_words"), F.greatest(c("word_chars"), F.lit(1)), F.greatest(c("n_letters"), F.lit(1))
+    other = c("n_symbols") - c("n_pipes")
+    # distinct words grow slower than words, by about a square root in long texts
+    distinct = c("n_distinct") * F.sqrt(F.greatest(n, F.lit(400)).cast("double") / 400)
     enough = n >= 10
-    return {
-        "length": rule(n < 20, n >= 50),
-        "word_length": rule(chars > 12 * n, enough & chars.between(2.5 * n, 9 * n)),
-        "symbols": rule(10 * c("n_symbols") > n, 100 * c("n_symbols") <= n),
-        "pipes": rule(10 * c("n_pipes") > n, enough & (c("n_pipes") == 0)),
-        "capitals": rule((letters >= 20) & (2 * c("n_upper") > letters), (letters >= 20) & (5 * c("n_upper") <= letters)),
-        "repeated_words": rule(20 * c("n_repeat_words") > n, enough & (100 * c("n_repeat_words") <= 2 * n)),
-        "distinct_words": rule(enough & (c("n_distinct") * F.sqrt(F.greatest(n, F.lit(100)).cast("double") / 100) < 0.3 * n), enough & (c("n_distinct") * F.sqrt(F.greatest(n, F.lit(100)).cast("double") / 100) >= 0.5 * n)),
-        "repeated_lines": rule((c("n_lines") >= 4) & (10 * c("n_dup_lines") > 3 * c("n_lines")), (c("n_lines") >= 2) & (c("n_dup_lines") == 0)),
-    }
+    bad = {
+        "word_length": enough & ((chars > 12 * n) | (2 * chars < 5 * n)),
+        "symbols": 10 * other > n,
+        "pipes": 10 * c("n_pipes") > n,
+        "capitals": (letters >= 20) & (2 * c("n_upper") > letters),
+        "repeated_words": enough & (10 * c("n_repeat_words") > n),
+        "few_distinct_words": enough & (distinct < 0.3 * n),
+        "repeated_lines": (c("n_lines") >= 4) & (10 * c("n_dup_lines") > 3 * c("n_lines")),
+    }
+    good = {
+        "prose": (50 * c("n_symbols") <= n) & (letters >= 20) & (5 * c("n_upper") <= letters) & (chars <= 9 * n) & (chars >= 3 * n),
+        "varied": enough & (20 * c("n_repeat_words") <= n) & (distinct >= 0.4 * n),
+    }
+    return {k: F.when(x, -1).otherwise(0) for k, x in bad.items()} | {k: F.when(x, 1).otherwise(0) for k, x in good.items()}
 
 
 @dataclass(frozen=True)
@@ -96,7 +99,7 @@ class LabelModel:
         return 1 / (1 + np.exp(score[:, 0] - score[:, 1]))
 
 
-def fit_label_model(patterns: np.ndarray, counts: np.ndarray, *, prior: float = 0.8, accuracy: float = 0.8, pseudo: float = 2.0, rounds: int = 200) -> LabelModel:
+def fit_label_model(patterns: np.ndarray, counts: np.ndarray, *, prior: float = 0.7, accuracy: float = 0.9, pseudo: float = 2.0, rounds: int = 200) -> LabelModel:
     """EM over distinct vote patterns and their numbers of documents.
 
     Rules are taken as independent given the class. A rule that votes is held to be right more

@@ -76,7 +76,7 @@ def swapped(text: str, terms: Iterable[tuple[str, ...]] = IDENTITY_TERMS) -> Ite
             yield _WORD.sub(lambda m: after.get(m[0], m[0]), low)  # noqa: B023
 
 
-def fit(texts: list[str], labels: list[int], *, counterfactual: float = 4.0, l2: float = 2e-3, min_df: int = 3, min_z: float = 4.0, steps: int = 300, terms: Iterable[tuple[str, ...]] = IDENTITY_TERMS) -> ToxicityModel:
+def fit(texts: list[str], labels: list[int], *, counterfactual: float = 4.0, l2: float = 2e-3, min_df: int = 2, min_z: float = 4.0, steps: int = 300, terms: Iterable[tuple[str, ...]] = IDENTITY_TERMS) -> ToxicityModel:
     """Logistic regression over features that the toxic class has significantly more often.
 
     The loss is class-balanced log loss + ``counterfactual`` times the mean squared change of the
