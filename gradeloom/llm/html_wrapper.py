@@ -20,7 +20,7 @@ from gradeloom.llm.url_filter import split_url
 #: Templates of all hosts together are broadcast up to this size; larger ones are joined by host.
 MAX_BROADCAST = 48 << 20
 #: Texts counted at a node of a template; any that more than 1 / (COUNTERS + 1) of the pages have is found.
-COUNTERS = 8
+COUNTERS = 16
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -180,7 +180,7 @@ def blocks(node: Node, inside: bool, out: list[tuple[str, Node]], links: dict[in
 
 # -- templates -------------------------------------------------------------------------------------
 # A shape is (signature, (shapes of the children)), with siblings of one signature folded into one list
-# node. A template is (shape, [(pages, {text hash: pages})] in preorder).
+# node. A template is (shape, [(pages, {text hash: pages}, missed)] in preorder): each count may be short by ``missed``.
 
 
 def digest(text: str) -> int:
@@ -297,12 +297,12 @@ def union(a: tuple, b: tuple) -> tuple[tuple, tuple, tuple]:
     return made, tuple(in_a), tuple(in_b)
 
 
-def _counted(counts: dict[int, int]) -> dict[int, int]:
+def _counted(n: int, counts: dict[int, int], missed: int) -> tuple[int, dict[int, int], int]:
     """At most ``COUNTERS`` of the counts (a Misra-Gries summary, which merges)."""
     if len(counts) <= COUNTERS:
-        return counts
+        return n, counts, missed
     least = sorted(counts.values(), reverse=True)[COUNTERS]
-    return {k: n - least for k, n in counts.items() if n > least}
+    return n, {k: v - least for k, v in counts.items() if v > least}, missed + least
 
 
 def merged(a: tuple | None, b: tuple) -> tuple:
@@ -313,24 +313,26 @@ def merged(a: tuple | None, b: tuple) -> tuple:
         shape, in_a, in_b = a[0], range(len(a[1])), range(len(b[1]))
     else:
         shape, in_a, in_b = union(a[0], b[0])
-    stats: list[list] = [[0, {}] for _ in range(_size(shape))]
+    stats: list[list] = [[0, {}, 0] for _ in range(_size(shape))]
     for (_, own), places in ((a, in_a), (b, in_b)):
-        for (n, counts), place in zip(own, places, strict=True):
+        for (n, counts, missed), place in zip(own, places, strict=True):
             stats[place][0] += n
+            stats[place][2] += missed
             into = stats[place][1]
             for k, v in counts.items():
                 into[k] = into.get(k, 0) + v
-    return shape, [(n, _counted(counts)) for n, counts in stats]
+    return shape, [_counted(*x) for x in stats]
 
 
 def page_template(root: Node) -> tuple:
     shape, texts, _ = skeleton(root)
-    return shape, [(1, _counted({k: 1 for k in sorted(x)})) for x in texts]
+    return shape, [_counted(1, dict.fromkeys(x, 1), 0) for x in texts]
 
 
 def constants(template: tuple, share: float, least: int) -> tuple:
-    """(shape, texts that at least ``share`` of the pages with a node have there, pages) of a template."""
-    return template[0], [frozenset(k for k, v in counts.items() if n >= least and v >= share * n) for n, counts in template[1]], template[1][0][0]
+    """(shape, texts that ``share`` of the pages with a node may have there, and half of them do, pages) of a template."""
+    fixed = [frozenset(k for k, v in counts.items() if n >= least and 2 * v >= n and v + missed >= share * n) for n, counts, missed in template[1]]
+    return template[0], fixed, template[1][0][0]
 
 
 # -- pages -----------------------------------------------------------------------------------------

@@ -77,49 +77,45 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """Share of positives among the unlabelled, from scores that weren't fitted on them.
 
     Below any score c the unlabelled hold at least prior * P(score >= c | positive) above it; the least
-    of the slightly raised values of the ratio of the two tail shares is the estimate (best-bin estimation).
+    ratio of the two tail shares is the estimate (best-bin estimation), lowered by
+    three standard errors: too high a prior would make the risk unbounded below.
     """
     cuts = np.unique(np.quantile(positive, np.linspace(0.01, 0.5, 50)))
-    slack = 0.25 * np.sqrt(0.5 / len(unlabelled)) + 0.25 * np.sqrt(0.5 / len(positive))
-    best = min((((unlabelled >= c).mean() + slack) / (positive >= c).mean() for c in cuts), default=1.0)
-    return float(np.clip(best, 0.01, 0.99))
+    best = min(((unlabelled >= c).mean() / (positive >= c).mean() for c in cuts), default=1.0)
+    return float(np.clip(best - 3 * np.sqrt(max(0.0, best * (1 - best)) / len(unlabelled)), 0.01, 0.99))
 
 
-def _minimise(x_p: np.ndarray, x_u: np.ndarray, prior: float, *, l2: float, steps: int = 300) -> tuple[np.ndarray, float]:
+def _minimise(x_p: np.ndarray, x_u: np.ndarray, prior: float, *, l2: float, steps: int = 60) -> tuple[np.ndarray, float]:
     """Minimises the non-negative risk prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) + l2 |w|^2 with the logistic loss.
 
-    While the second term is positive the risk is convex, as the loss of a score minus that of its
-    opposite is linear: Newton's method. Where the minimum makes it negative, which no true risk is,
-    gradient steps go on from there and climb back whenever it falls below 0.
+    The unbiased risk is convex, as the loss of a score minus that of its opposite is linear: Newton's
+    method. Its second term estimates a risk, so no step is taken that makes it negative; there the
+    data say no more than that the unlabelled hold no further negatives.
     """
     x_p, x_u = np.column_stack([x_p, np.ones(len(x_p))]), np.column_stack([x_u, np.ones(len(x_u))])
     w = np.zeros(x_p.shape[1])
-    ridge = np.append(np.full(len(w) - 1, 2 * l2), 1e-9)
+    ridge = np.append(np.full(len(w) - 1, 2 * l2), 1e-6)
     mean_p = x_p.mean(0)
     sigma = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    risk = lambda w: np.logaddexp(0, x_u @ w).mean() - prior * (mean_p @ w) + 0.5 * ridge @ w**2
-    for _ in range(40):
+
+    def risk(w: np.ndarray) -> float:
+        unlabelled = np.logaddexp(0, x_u @ w).mean()
+        if unlabelled < prior * np.logaddexp(0, x_p @ w).mean():
+            return np.inf
+        return unlabelled - prior * (mean_p @ w) + 0.5 * ridge @ w**2
+
+    for _ in range(steps):
         s = sigma(x_u @ w)
         grad = s @ x_u / len(x_u) - prior * mean_p + ridge * w
-        step = np.linalg.solve((x_u.T * (s * (1 - s))) @ x_u / len(x_u) + np.diag(ridge + 1e-9), grad)
+        step = np.linalg.solve((x_u.T * (s * (1 - s))) @ x_u / len(x_u) + np.diag(ridge + 1e-6), grad)
         size, now = 1.0, risk(w)
         while size > 1e-4 and risk(w - size * step) > now:
             size /= 2
+        if size <= 1e-4:
+            break
         w = w - size * step
         if np.abs(size * step).max() < 1e-6:
             break
-    square = np.full(len(w), 1e-8)
-    for k in range(steps):
-        f_p, f_u = x_p @ w, x_u @ w
-        negative = np.logaddexp(0, f_u).mean() - prior * np.logaddexp(0, f_p).mean()
-        if negative >= 0 and k == 0:
-            break
-        s_p, s_u = sigma(f_p), sigma(f_u)
-        of_negative = s_u @ x_u / len(f_u) - prior * (s_p @ x_p) / len(f_p)
-        grad = -of_negative if negative < 0 else of_negative + prior * ((s_p - 1) @ x_p) / len(f_p)
-        grad = grad + ridge * w
-        square += grad**2
-        w = w - 0.1 * grad / np.sqrt(square)
     return w[:-1], float(w[-1])
 
 

@@ -76,13 +76,14 @@ def votes() -> dict[str, F.Column]:
         "symbols": 10 * other > n,
         "pipes": 10 * c("n_pipes") > n,
         "capitals": (letters >= 20) & (2 * c("n_upper") > letters),
-        "repeated_words": enough & (10 * c("n_repeat_words") > n),
+        "repeated_words": enough & (5 * c("n_repeat_words") > n),
         "few_distinct_words": enough & (distinct < 0.3 * n),
         "repeated_lines": (c("n_lines") >= 4) & (10 * c("n_dup_lines") > 3 * c("n_lines")),
     }
+    clean = (50 * c("n_symbols") <= n) & (5 * c("n_upper") <= letters) & (chars <= 9 * n)
     good = {
-        "prose": (50 * c("n_symbols") <= n) & (letters >= 20) & (5 * c("n_upper") <= letters) & (chars <= 9 * n) & (chars >= 3 * n),
-        "varied": enough & (20 * c("n_repeat_words") <= n) & (distinct >= 0.4 * n),
+        "prose": clean & (letters >= 20) & (chars >= 3 * n),
+        "varied_prose": clean & enough & (10 * c("n_repeat_words") <= n) & (distinct >= 0.4 * n),
     }
     return {k: F.when(x, -1).otherwise(0) for k, x in bad.items()} | {k: F.when(x, 1).otherwise(0) for k, x in good.items()}
 
@@ -96,7 +97,8 @@ class LabelModel:
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
         score = np.log([1 - self.prior, self.prior]) + np.log(self.table)[np.arange(patterns.shape[1]), :, patterns + 1].sum(1)
-        return 1 / (1 + np.exp(score[:, 0] - score[:, 1]))
+        good = 1 / (1 + np.exp(score[:, 0] - score[:, 1]))
+        return np.where(patterns.any(1), good, self.prior)  # where all abstain nothing is known
 
 
 def fit_label_model(patterns: np.ndarray, counts: np.ndarray, *, prior: float = 0.7, accuracy: float = 0.9, pseudo: float = 2.0, rounds: int = 200) -> LabelModel:
