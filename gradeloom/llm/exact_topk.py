@@ -103,6 +103,8 @@ class Searcher:
         q = q + part.start
         take = scores >= np.where(np.isinf(self.floor[q]), -np.inf, self.floor[q])
         q, c, scores = q[take], c[take], scores[take]
+        if not len(q):
+            return
         order = np.lexsort((block.ids[c], -scores, q))
         q, c, scores = q[order], c[order], scores[order]
         starts = np.flatnonzero(np.diff(q, prepend=-1))

@@ -56,6 +56,7 @@ def describe(text: str | None) -> list[float]:
 #: Quantiles of each measure, denser in the tails, where poor texts sit.
 QUANTILES = (0.005, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 0.95, 0.98, 0.995)
 EDGES = len(QUANTILES)
+L2 = 0.03
 
 
 @dataclass(frozen=True)
@@ -129,14 +130,13 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray) -> QualityModel:
     edges = edges + 1e-9 * (1 + np.abs(edges))  # a measure that most texts have exactly doesn't reach its edge
     blank = QualityModel(edges, np.zeros((wide, EDGES)), 0.0, 0.5)
     x_p, x_u = blank.spread(positive), blank.spread(unlabelled)
-    l2 = 1.0 / (len(x_p) + len(x_u))
     halves = []
     for k in (0, 1):
         if len(x_p) > 3 and len(x_u) > 3:
-            w, b = _minimise(x_p[k::2], x_u[k::2], 0.5, l2=4 * l2)
+            w, b = _minimise(x_p[k::2], x_u[k::2], 0.5, l2=L2)
             halves.append((x_p[1 - k::2] @ w + b, x_u[1 - k::2] @ w + b))
     prior = float(np.mean([estimate_prior(p, u) for p, u in halves] or [0.5]))
-    w, b = _minimise(x_p, x_u, prior, l2=l2)
+    w, b = _minimise(x_p, x_u, prior, l2=L2)
     return QualityModel(edges, w.reshape(wide, EDGES), b, prior)
 
 
@@ -150,7 +150,7 @@ def _described(rows: DataFrame) -> np.ndarray:
             yield pd.Series([describe(x) for x in texts])
 
     found = rows.select("_key", measured("_text").alias("x")).toPandas().sort_values("_key", kind="stable")["x"]
-    return np.array([list(x) for x in found], np.float64).reshape(len(found), -1)
+    return np.array([list(x) for x in found], np.float64).reshape(len(found), len(describe("")))
 
 
 def train(docs: DataFrame, labels: DataFrame, *, positives: int = MAX_POSITIVES, unlabelled: int = MAX_UNLABELLED, key: str = "doc_id", text: str = "text") -> QualityModel:
@@ -173,7 +173,7 @@ def score_documents(docs: DataFrame, model: QualityModel, *, text: str = "text",
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            rows = np.array([describe(x) for x in texts], np.float64).reshape(len(texts), -1)
+            rows = np.array([describe(x) for x in texts], np.float64).reshape(len(texts), len(describe("")))
             yield pd.Series(held.value.score(rows) if len(rows) else [], dtype="float64")
 
     return docs.withColumn(score, scored(F.col(f"`{text}`").cast("string")))

@@ -76,10 +76,11 @@ def swapped(text: str, terms: Iterable[tuple[str, ...]] = IDENTITY_TERMS) -> Ite
             yield _WORD.sub(lambda m: after.get(m[0], m[0]), low)  # noqa: B023
 
 
-def fit(texts: list[str], labels: list[int], *, counterfactual: float = 4.0, l2: float = 2e-3, min_df: int = 2, min_z: float = 4.0, steps: int = 300, terms: Iterable[tuple[str, ...]] = IDENTITY_TERMS) -> ToxicityModel:
+def fit(texts: list[str], labels: list[int], *, share: float | None = None, counterfactual: float = 4.0, l2: float = 3e-4, min_df: int = 2, min_z: float = 4.0, steps: int = 300, terms: Iterable[tuple[str, ...]] = IDENTITY_TERMS) -> ToxicityModel:
     """Logistic regression over features that the toxic class has significantly more often.
 
-    The loss is class-balanced log loss + ``counterfactual`` times the mean squared change of the
+    The loss is log loss with toxic texts weighing ``share`` in all (by default their share of ``texts``;
+    of a stratified sample, that of what it was drawn from, but half at most) + ``counterfactual`` times the mean squared change of the
     score when identity terms of a labelled text are swapped + ``l2`` |w|^2.
     """
     terms = tuple(terms)
@@ -117,8 +118,9 @@ def fit(texts: list[str], labels: list[int], *, counterfactual: float = 4.0, l2:
     at, cols, n = matrix(texts)
     pairs = [(t, s) for t in texts for s in swapped(t, terms)]
     (a_at, a_cols, m), (b_at, b_cols, _) = matrix(t for t, _ in pairs), matrix(s for _, s in pairs)
-    weight = np.where(y > 0, 0.5 / n1, 0.5 / n0)
-    w, b = np.zeros(len(chosen)), float(np.log(n1 / n0))
+    share = min(0.5, n1 / (n1 + n0) if share is None else share)
+    weight = np.where(y > 0, share / n1, (1 - share) / n0)
+    w, b = np.zeros(len(chosen)), float(np.log(share / (1 - share)))
     square_w, square_b = np.full(len(chosen), 1e-8), 1e-8
     sigma = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
     logits = lambda at, cols, n: np.bincount(at, w[cols], n) + b if len(at) else np.full(n, b)
@@ -144,21 +146,23 @@ def held_out(key: str | F.Column = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, target: str, *, per_class: int, key: str = "doc_id", text: str = "text") -> list:
-    """At most ``per_class`` labelled rows of each class that aren't held out, by the order of a hash of their key."""
+def training_sample(docs: DataFrame, labels: DataFrame, target: str, *, per_class: int, key: str = "doc_id", text: str = "text") -> tuple[list, float | None]:
+    """At most ``per_class`` labelled rows of each class that aren't held out, by the order of a hash of their key; and the share of label 1."""
     known = labels.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{target}`").alias("_label")).where(F.col("_key").isNotNull() & F.col("_label").isin(0, 1)).dropDuplicates(["_key"])
     known = known.where(~held_out("_key"))
+    share = known.agg(F.avg(F.col("_label").cast("double"))).first()[0]
     chosen = None
     for label in (0, 1):
         part = known.where(F.col("_label") == label).orderBy(F.xxhash64(F.col("_key").cast("string"), F.lit(17)), "_key").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     chosen = F.broadcast(chosen)  # at most 2 * per_class keys
-    return docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text")).join(chosen, "_key").select("_text", "_label").collect()
+    return docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text")).join(chosen, "_key").select("_text", "_label").collect(), share
 
 
 def train(docs: DataFrame, labels: DataFrame, *, per_class: int = MAX_PER_CLASS, key: str = "doc_id", text: str = "text") -> ToxicityModel:
-    rows = sorted(training_sample(docs, labels, "toxic", per_class=per_class, key=key, text=text), key=lambda r: (r[1], r[0] or ""))
-    return fit([r[0] or "" for r in rows], [r[1] for r in rows])
+    rows, share = training_sample(docs, labels, "toxic", per_class=per_class, key=key, text=text)
+    rows = sorted(rows, key=lambda r: (r[1], r[0] or ""))
+    return fit([r[0] or "" for r in rows], [r[1] for r in rows], share=share)
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, *, text: str = "text", score: str = "score") -> DataFrame:
