@@ -19,7 +19,8 @@ def wilson(successes: Column, n: Column, z: float = Z_95) -> tuple[Column, Colum
     scale = 1 + z * z / count
     centre = (p + z * z / (2 * count)) / scale
     half = z * F.sqrt(p * (1 - p) / count + z * z / (4 * count * count)) / scale
-    return F.greatest(F.lit(0.0), centre - half), F.least(F.lit(1.0), centre + half)
+    # greatest and least skip nulls
+    return F.when(n > 0, F.greatest(F.lit(0.0), centre - half)), F.when(n > 0, F.least(F.lit(1.0), centre + half))
 
 
 def all_of_k(n: Column, c: Column, k: int) -> Column:
