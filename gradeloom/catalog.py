@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gradeloom.plans import graded_queries, numeric_queries, stream_queries, text_queries
+from gradeloom.plans import graded_queries, numeric_queries, source_queries, stream_queries, text_queries
 
-_PARTS = (graded_queries, text_queries, numeric_queries, stream_queries)
+_PARTS = (graded_queries, text_queries, numeric_queries, source_queries, stream_queries)
 QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
