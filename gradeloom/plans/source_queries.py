@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gradeloom.operators import groups, mining, planning, trajectories
+from gradeloom.operators import flags, groups, mining, planning, trajectories
 from gradeloom.plans.graded_queries import rounded
 from gradeloom.plans.tables import STATS_SQL, graded, table
 from gradeloom.sources import rows as R
@@ -91,12 +91,46 @@ def comparison_self_check(spark, sf):
     return planning.self_check(spark, trials=80, draws=200)
 
 
+def _trajectories(spark, sf):
+    o = table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    step = lambda kind, command, path, content, failed: F.struct(F.lit(kind).alias("kind"), command.alias("command"), path.alias("path"), content.alias("content"), failed.alias("failed"))
+    none = F.lit(None).cast("string")
+    steps = F.array(
+        step("command", F.when(k % 2 == 0, F.lit("pytest -q || true")).when(k % 3 == 0, F.lit("rm -rf build")).otherwise(F.lit("ls")), none, none, k % 5 == 0),
+        step("write", none, F.when(k % 7 == 0, F.lit("tests/test_a.py")).otherwise(F.lit("src/a.py")), F.when(k % 11 == 0, F.lit("x = 1  # noqa")).otherwise(F.lit("x = 1")), k % 13 == 0),
+    )
+    final = F.when(k % 4 == 0, F.lit("All tests pass now.")).when(k % 4 == 1, F.lit("I fixed it. The tests will pass once merged.")).otherwise(F.lit("I checked it."))
+    return o.select("o_orderkey", F.when(k % 17 == 0, F.array().cast("array<struct<kind:string,command:string,path:string,content:string,failed:boolean>>")).otherwise(steps).alias("steps"), final.alias("final_text"))
+
+
+def trace_flag_counts(spark, sf):
+    found = flags.trace_flags("steps", "final_text")
+    return _trajectories(spark, sf).agg(*(F.sum(c.cast("long")).alias(k.replace(".", "_")) for k, c in found.items()), *(F.round(F.avg(c), 6).alias(k) for k, c in flags.family_markers(found).items()))
+
+
+def turn_taking_scores(spark, sf):
+    chats = trajectories.as_messages(table(spark, sf, "conversations"), conv="conv_id", turn="turn", role="role", text="text")
+    roles = F.filter(F.transform("messages", lambda m: m["role"]), lambda r: r != "system")
+    return chats.select(flags.turn_taking(roles).alias("score")).groupBy("score").agg(F.count("*").alias("n"))
+
+
 QUERIES = {f.__name__: f for f in (
-    row_shapes, row_problems, loaded_traces, bound_tool_results, training_export, exported_calls, traced_arguments, failed_steps, result_exemplars, trace_regions, grounded_arguments, missing_copies, evaluation_power, saturation_fit, comparison_self_check,
+    trace_flag_counts, turn_taking_scores, row_shapes, row_problems, loaded_traces, bound_tool_results, training_export, exported_calls, traced_arguments, failed_steps, result_exemplars, trace_regions, grounded_arguments, missing_copies, evaluation_power, saturation_fit, comparison_self_check,
 )}
 
 _FAILED = "(event_type = 'error' OR event_id % 6 IN (0, 1))"
 ORACLES = {
+    "trace_flag_counts": """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 17 = 0 AS bare FROM orders), f AS (SELECT k, bare,
+          (k % 4 = 0) AND (bare OR k % 2 <> 0 OR k % 5 = 0) AS a, bare AND k % 4 IN (2, 3) AS b, bare AND k % 4 = 1 AS c, NOT bare AND k % 13 = 0 AS d,
+          NOT bare AND k % 2 = 0 AS e, NOT bare AND k % 7 = 0 AS g, false AS h, NOT bare AND k % 11 = 0 AS i, NOT bare AND k % 2 <> 0 AND k % 3 = 0 AS j, false AS l FROM o)
+        SELECT count(*) FILTER (WHERE a) AS lie_tests_claimed, count(*) FILTER (WHERE b) AS lie_unverified_claim, count(*) FILTER (WHERE c) AS lie_phantom_edit, count(*) FILTER (WHERE d) AS lie_ignored_failure, count(*) FILTER (WHERE e) AS hack_bypassed,
+          count(*) FILTER (WHERE g) AS hack_test_edited, count(*) FILTER (WHERE h) AS hack_test_weakened, count(*) FILTER (WHERE i) AS hack_suppressed, count(*) FILTER (WHERE j) AS risk_destructive, count(*) FILTER (WHERE l) AS risk_secrets,
+          round(avg(CASE WHEN a OR b OR c OR d THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 6) AS no_lie, round(avg(CASE WHEN e OR g OR h OR i THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 6) AS no_hack, round(avg(CASE WHEN j OR l THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 6) AS no_risk FROM f""",
+    "turn_taking_scores": """WITH c AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM conversations WHERE role <> 'system'),
+        g AS (SELECT conv_id, arg_min(role, i) AS f, arg_max(role, i) AS l, count(*) FILTER (WHERE role = 'user') AS u, count(*) FILTER (WHERE role = 'assistant') AS a, bool_or(role = 'assistant' AND before = 'assistant') AS sa, bool_or(role = 'user' AND before = 'user') AS su FROM c GROUP BY conv_id),
+        s AS (SELECT CASE WHEN g.conv_id IS NULL THEN 0.0::DOUBLE WHEN f <> 'user' THEN 0.2 WHEN sa THEN 0.0 WHEN u = 1 AND a >= 4 THEN 0.0 WHEN a = 0 THEN 0.1 WHEN su THEN 0.3 WHEN l = 'user' THEN 0.4 WHEN u >= 2 AND a >= 2 THEN 1.0 ELSE 0.7 END AS score FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN g ON k.conv_id = g.conv_id)
+        SELECT score, count(*) AS n FROM s GROUP BY score""",
     "row_shapes": "SELECT CASE WHEN doc_id % 5 = 0 THEN 'v1' WHEN doc_id % 7 = 0 THEN 'hf_flat' WHEN doc_id % 3 = 0 THEN 'engine' WHEN doc_id % 2 = 0 THEN 'otel' ELSE 'loose' END AS shape, count(*) AS n FROM documents GROUP BY 1",
     "row_problems": "SELECT problem, count(*) AS n FROM (SELECT 'unknown_schema_version' AS problem FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT 'reward_not_number' FROM documents WHERE doc_id % 4 = 0 UNION ALL SELECT 'chosen_missing' FROM documents WHERE doc_id % 3 = 0) GROUP BY problem",
     "loaded_traces": "WITH d AS (SELECT CASE WHEN doc_id % 2 <> 0 AND trim(substr(text, 1, 20), ' ') <> '' THEN trim(substr(text, 1, 20), ' ') WHEN doc_id % 3 = 0 THEN 'q' END AS p, CASE WHEN doc_id % 5 = 0 THEN 'r' END AS f, CASE WHEN doc_id % 4 <> 0 THEN 1.0 END AS r FROM documents) SELECT count(*) AS n, count(r) AS graded, count(*) FILTER (WHERE p = 'q') AS by_alias, count(f) AS replies FROM d WHERE p IS NOT NULL OR f IS NOT NULL",

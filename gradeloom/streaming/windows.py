@@ -42,15 +42,22 @@ def deduplicated(events: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def drained(stream: DataFrame, name: str, mode: str | None = None) -> DataFrame:
-    """The stream's result over everything there is now: run once with the available-now trigger into a table that the
-    driver's session can read. Aggregations use complete mode, so late rows of a bounded input aren't lost."""
+    """The stream's result over everything there is now: run with the available-now trigger, each micro-batch written as
+    Parquet to the shared folder, where a repeated batch replaces itself.
+
+    Aggregations use complete mode, in which the last batch holds the result and no row is too late.
+    """
     spark = stream.sparkSession
     mode = mode or ("complete" if "groupBy" in _shape(stream) else "append")
-    table = f"{name}_{uuid.uuid4().hex[:8]}"
     place = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="gradeloom-stream-")
-    query = stream.writeStream.format("memory").queryName(table).outputMode(mode).option("checkpointLocation", f"{place}/{table}").trigger(availableNow=True).start()
+    path = f"{place}/{name}-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/" + ("last" if mode == "complete" else f"batch={epoch}"))
+
+    query = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    out = spark.table(table)
+    out = spark.read.schema(stream.schema).parquet(f"{path}/out/" + ("last" if mode == "complete" else "batch=*"))
     if "began" in out.columns:
         out = out.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"), F.sum("n").cast("long").alias("n"))
     return out
