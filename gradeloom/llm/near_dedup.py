@@ -22,6 +22,10 @@ _EDGES = (np.arange(BINS, dtype=np.float64) / BINS * 2.0**64).astype(np.uint64)
 _rng = np.random.Generator(np.random.PCG64(99))
 #: For each bin, all bins in the order in which it looks for a value when it is empty.
 _PROBES = np.argsort(_rng.random((BINS, BINS)), axis=1).astype(np.int16)
+#: Ranges whose marks tell how close two documents may be.
+MARKS = 640
+_MARK_EDGES = (np.arange(MARKS, dtype=np.float64) / MARKS * 2.0**64).astype(np.uint64)
+_NIBBLE = np.arange(16, dtype=np.uint64) * np.uint64(4)
 _COEFF = _rng.integers(1, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -38,30 +42,60 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def bands(shingles: np.ndarray) -> np.ndarray:
+    """A hash for each band."""
     rows = mixed(signature(shingles) + np.uint64(1)).reshape(BANDS, ROWS)
     return mixed((rows * _COEFF).sum(1) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
+def marks(shingles: np.ndarray) -> np.ndarray:
+    """Four bits of the least hash in each of ``MARKS`` equal ranges, 0 for an empty one, packed into longs."""
+    first = np.searchsorted(shingles, _MARK_EDGES)
+    full = first < np.append(first[1:], len(shingles))
+    bits = np.where(full, np.uint64(1) + mixed(shingles[np.minimum(first, len(shingles) - 1)]) % np.uint64(15), np.uint64(0))
+    return (bits.reshape(-1, 16) << _NIBBLE).sum(1, dtype=np.uint64).view(np.int64)
+
+
+def may_link(percent: int, a: str = "marks", b: str = "hub_marks", n_a: str = "n", n_b: str = "hub_n") -> F.Column:
+    """Whether two documents' marks are as close as those of a pair at the threshold can be.
+
+    Of the ranges that either fills, a pair of similarity J agrees in a share of J: they sample the union
+    without replacement. A pair is given up where it differs in more ranges than the threshold's share,
+    by six standard deviations of that sampling and two ranges.
+    """
+
+    def filled(x: F.Column) -> F.Column:
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+
+    both = F.aggregate(F.zip_with(a, b, lambda x, y: filled(x.bitwiseXOR(y)) * 4096 + filled(x.bitwiseOR(y))), F.lit(0), lambda s, x: s + x)
+    off = 1 - percent / 100
+    union = (F.col(n_a) + F.col(n_b)) / (2 - off)
+    left = F.greatest(F.lit(0.1), 1 - (both % 4096) / union)
+    return F.floor(both / 4096) <= off * (both % 4096) + 6 * F.sqrt((both % 4096) * off * (1 - off) * left) + 2
+
+
 def set_digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
 def sketches(docs: DataFrame, *, key: str, text: str) -> DataFrame:
-    """(doc, n, set_key, bands) for every row: size of the shingle set, its digest, and its bands (null for an empty set)."""
+    """(doc, n, set_key, bands, marks) for every row: size of the shingle set, its digest, bands and marks (null for an empty set)."""
     ready(docs.sparkSession)
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("_text"))
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, found = [], [], []
+            sizes, keys, found, marked = [], [], [], []
             for x in batch.column(1):
                 s = shingle_set(x.as_buffer().to_pybytes() if x.is_valid else None)
                 sizes.append(len(s))
                 keys.append(set_digest(s) if len(s) else None)
                 found.append(bands(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["doc", "n", "set_key", "bands"])
+                marked.append(marks(s) if len(s) else None)
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (found, marked)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), *lists], names=["doc", "n", "set_key", "bands", "marks"])
 
-    return docs.mapInArrow(sketched, "doc long, n long, set_key binary, bands array<long>")
+    return docs.mapInArrow(sketched, "doc long, n long, set_key binary, bands array<long>, marks array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, *, key: str, text: str) -> DataFrame:
@@ -120,13 +154,14 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_links(docs: DataFrame, members: DataFrame, *, key: str, text: str, percent: int) -> DataFrame:
-    """Confirmed links (a, b) among ``members`` (doc, n, set_key, bands), whose sets are pairwise different.
+    """Confirmed links (a, b) among ``members`` (doc, n, set_key, bands, marks), whose sets are pairwise different.
 
     Each bucket of a band is tested as a star around its most central member: the one whose buckets
     are the largest in all, so that of copies with different changes the unchanged original is tested
     against all. Where a bucket then still holds several components, the members outside its largest
-    one are hubs too: they are tested against the bucket's members of other components. So every two
-    members of a bucket are connected or tested, and a group that connects costs a star, not all pairs.
+    one are hubs too: they are tested against the bucket's members of other components, if their marks
+    are close enough for a link (see ``may_link``). So every two members of
+    a bucket are connected, tested or too different, and a group that connects costs a star, not all pairs.
     """
     rows = members.select("doc", "n", F.posexplode("bands").alias("band", "hash"))
     sizes = written(rows.groupBy("band", "hash").agg(F.count("*").alias("size")).where("size > 1"), "bucket-sizes")
@@ -146,9 +181,9 @@ def near_links(docs: DataFrame, members: DataFrame, *, key: str, text: str, perc
     parts = own.groupBy("band", "hash", "component").agg(F.count("*").alias("k")).groupBy("band", "hash")
     parts = parts.agg(F.count("*").alias("parts"), F.max(F.struct("k", (-F.col("component")).alias("c"))).alias("most")).where("parts > 1")
     parts = written(parts.select("band", "hash", (-F.col("most.c")).alias("main")), "split-buckets")
-    inside = written(own.join(parts, ["band", "hash"]), "apart")
-    outside = inside.where("component <> main").select("band", "hash", F.col("doc").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))
-    pairs = inside.join(outside, ["band", "hash"]).where(fits & F.expr("component <> hub_component")).select(*pair).distinct()
+    inside = written(own.join(parts, ["band", "hash"]).join(members.select("doc", "marks"), "doc"), "apart")
+    outside = inside.where("component <> main").select("band", "hash", F.col("doc").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"), F.col("marks").alias("hub_marks"))
+    pairs = inside.join(outside, ["band", "hash"]).where(fits & F.expr("component <> hub_component") & may_link(percent)).select(*pair).distinct()
     pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "other-edges")
     return written(links.union(confirmed(pairs, sets, percent=percent)), "confirmed")
 
