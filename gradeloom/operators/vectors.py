@@ -14,10 +14,8 @@ def cluster_step(points: DataFrame, centres: DataFrame, *, key: str, vector: str
     Centres are few by contract (k of them) and broadcast; new ones are sums by component with map-side combination.
     """
     c = centres.select(F.col(centre).alias("_c"), F.col(vector).alias("_w"))
-    away = F.aggregate(F.zip_with("_v", "_w", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
     met = points.select(F.col(key).alias("_k"), F.col(vector).alias("_v")).join(F.broadcast(c.agg(F.collect_list(F.struct("_c", "_w")).alias("_all"))))
     near = F.array_min(F.transform("_all", lambda e: F.struct(F.aggregate(F.zip_with("_v", e["_w"], lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x).alias("d"), e["_c"].alias("c"))))
-    del away
     got = met.select("_k", "_v", near.alias("_n"))
     assigned = got.select(F.col("_k").alias(key), F.col("_n.c").alias(centre), F.col("_n.d").alias("distance2"))
     moved = got.select(F.col("_n.c").alias(centre), F.posexplode("_v").alias("dim", "x")).groupBy(centre, "dim").agg(F.avg(F.col("x").cast("double")).alias("value"), F.count("*").alias("n"))
@@ -32,22 +30,6 @@ def novelty(rows: DataFrame, tested: DataFrame, *, key: str, vector: str) -> Dat
     return met.select(F.col("_k").alias(key), F.greatest(F.lit(0.0), 1 - F.coalesce(best, F.lit(0.0))).alias("novelty"))
 
 
-def hyperplane_blocks(rows: DataFrame, vector: str, *, bits: int, tables: int, dims: int, seed: int = 5):
-    """``rows`` with an array of bucket ids: signs of sums of seeded +-1 weights, one id for each table."""
-    import numpy as np
-
-    signs = np.random.Generator(np.random.PCG64(seed)).choice([-1.0, 1.0], (tables, bits, dims))
-    found = []
-    for t in range(tables):
-        code = F.lit(0)
-        for b in range(bits):
-            weights = F.array(*(F.lit(float(x)) for x in signs[t, b]))
-            total = F.aggregate(F.zip_with(F.col(vector), weights, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-            code = code * 2 + (total > 0).cast("int")
-        found.append(code)
-    return rows.withColumn("_buckets", F.array(*found))
-
-
 def near_pairs(rows: DataFrame, *, key: str, vector: str, threshold: float = 0.95, blocks: int = 8) -> DataFrame:
     """(a, b, cosine) of all pairs at least that similar: an exact block join.
 

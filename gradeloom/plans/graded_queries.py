@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gradeloom.functions.keys import holdout_share, row_key, task_key
-from gradeloom.functions.stats import wilson
 from gradeloom.operators import compare, groups
 from gradeloom.plans.tables import GRADED_SQL, ORDER, ROLLOUTS_SQL, STATS_SQL, graded, rollouts, table
 

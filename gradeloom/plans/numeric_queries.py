@@ -170,8 +170,7 @@ _BATCH = """b AS (SELECT vec_id, (label % 2)::DOUBLE AS reward, list_transform(e
 
 def _gae_sql(alpha: float) -> str:
     lam = max(0.0, 1 - 1 / (alpha * 8))
-    steps = ", ".join(f"r{t}" for t in range(8))
-    out, d = [], []
+    d = []
     for t in range(8):
         d.append(f"(v[{t + 2}] - v[{t + 1}])" if t < 7 else "(reward - v[8])")
     a = d[7]
@@ -179,7 +178,6 @@ def _gae_sql(alpha: float) -> str:
     for t in range(6, -1, -1):
         a = f"({d[t]} + {lam} * {out[0]})"
         out.insert(0, a)
-    del steps
     return "[" + ", ".join(out) + "]"
 
 
