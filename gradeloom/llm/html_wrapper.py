@@ -21,6 +21,8 @@ from gradeloom.llm.url_filter import split_url
 MAX_BROADCAST = 48 << 20
 #: Texts counted at a node of a template; any that more than 1 / (COUNTERS + 1) of the pages have is found.
 COUNTERS = 16
+#: What is nested deeper counts as content of the element at this depth.
+MAX_DEPTH = 150
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -82,7 +84,11 @@ def parse(source: str) -> Node:
         if tag in ENDS:
             _end(stack, *ENDS[tag])
         node = Node(tag, attrs)
-        stack[-1].children.append(node)
+        if len(stack) < MAX_DEPTH or tag in VOID:
+            stack[-1].children.append(node)
+        else:
+            node.children = stack[-1].children
+            node.children.append(Node("br"))
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(source, at)
             at = close.end() if close else end

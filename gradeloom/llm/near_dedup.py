@@ -219,3 +219,27 @@ def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", per
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)
+), e AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), reach AS (
+  SELECT doc_id AS d, doc_id AS c FROM documents
+  UNION
+  SELECT e.b, reach.c FROM reach JOIN e ON e.a = reach.d
+)
+SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, documents.doc_id = m.c AS kept
+FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id JOIN (SELECT d, min(c) AS c FROM reach GROUP BY d) m ON m.d = documents.doc_id
+"""

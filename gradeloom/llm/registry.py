@@ -19,5 +19,6 @@ QUERIES = {
 ORACLES = {
     "op2_url_filters": url_filter.OP2_SQL,
     "op7_exact_topk": exact_topk.OP7_SQL,
+    "op9_near_dedup": near_dedup.OP9_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }

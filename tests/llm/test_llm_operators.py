@@ -56,6 +56,16 @@ def test_main_text_of_marked_article():
     assert html_wrapper.main_text(None) == html_wrapper.main_text("") == html_wrapper.main_text("<nav>x</nav>") == ""
 
 
+def test_deep_and_broken_pages_keep_their_text():
+    deep = "<article>" + "<div>" * 5000 + "<p>deep text</p>" + "</div>" * 5000 + "<p>after</p></article>"
+    assert html_wrapper.main_text(deep).split() == ["deep", "text", "after"]
+    template = html_wrapper.constants(html_wrapper.merged(html_wrapper.page_template(html_wrapper.parse(deep)), html_wrapper.page_template(html_wrapper.parse(PAGE % (1, 2)))), 0.9, 3)
+    assert html_wrapper.main_text(deep, template).split() == ["deep", "text", "after"]
+    for broken in ("<", "<p", "<p><b>x", "</p>y<!--", "<script>z", "a<b c='", "&amp", "<p>" * 50 + "t"):
+        assert isinstance(html_wrapper.main_text(broken), str)
+    assert html_wrapper.main_text("<p>a &lt; b &amp c</p>") == "a < b & c"
+
+
 def test_tree_matching_and_union():
     a = ("d", (("p", ()), ("u", (("l", ()),)), ("q", ())))
     b = ("d", (("u", (("l", ()), ("m", ()))), ("q", ()), ("z", ())))
