@@ -29,8 +29,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id. Documents without words and rows without id all stay."""
-    groups = near_dedup.near_groups(docs.select("doc_id", "text"))
+    """One document of each group of near-duplicates (similarity 0.8 or more) stays: the one with the smallest id. Documents without words and rows without id all stay."""
+    groups = near_dedup.near_groups(docs.select("doc_id", "text"), percent=80)
     kept = written(groups.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_rows")), "kept")
     stay = docs.join(kept, "doc_id").select(*docs.columns, "_rows")
     if kept.where("_rows > 1").limit(1).count():  # rows that share a kept id

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,38 +15,53 @@ from pyspark.sql import functions as F
 from gradeloom.llm.cluster import ready, table, written
 from gradeloom.llm.wordhash import mixed, shingle_set
 
-#: 40 bands of 8 bins each: a pair of similarity 0.85 shares no band with a chance of 3 in a million.
-BANDS, ROWS = 40, 8
-BINS = BANDS * ROWS
+#: At least so many bands of at most so many bins each (see ``layout``), and the chance that a pair at the threshold shares no band.
+BANDS, ROWS, MISSED = 40, 8, 3e-6
 #: Ids up to this many are broadcast to pick the documents whose sets are needed.
 MAX_BROADCAST_IDS = 4_000_000
-_EDGES = (np.arange(BINS, dtype=np.float64) / BINS * 2.0**64).astype(np.uint64)
-_rng = np.random.Generator(np.random.PCG64(99))
-#: For each bin, all bins in the order in which it looks for a value when it is empty.
-_PROBES = np.argsort(_rng.random((BINS, BINS)), axis=1).astype(np.int16)
 #: Ranges whose marks tell how close two documents may be.
 MARKS = 640
 _MARK_EDGES = (np.arange(MARKS, dtype=np.float64) / MARKS * 2.0**64).astype(np.uint64)
 _NIBBLE = np.arange(16, dtype=np.uint64) * np.uint64(4)
-_COEFF = _rng.integers(1, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """The least hash in each of ``BINS`` equal ranges; an empty one takes that of the first full bin in its own random order."""
-    first = np.searchsorted(shingles, _EDGES)
+@lru_cache
+def layout(percent: int) -> tuple[int, int]:
+    """(bands, bins in each) for a threshold: the largest bands with which a fifth more than ``BANDS`` miss at most ``MISSED`` of the pairs at it; 40 of 8 for 85, 42 of 6 for 80."""
+    share = min(max(percent, 1), 99) / 100
+    for rows in range(ROWS, 0, -1):
+        count = max(BANDS, math.ceil(math.log(MISSED) / math.log1p(-(share**rows))))
+        if 5 * count <= 6 * BANDS:
+            break
+    return count, rows
+
+
+@lru_cache
+def _randoms(bins: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where each bin begins, all bins in the order in which each looks for a value when it is empty, factors of a band's rows)."""
+    draw = np.random.Generator(np.random.PCG64(99))
+    probes = np.argsort(draw.random((bins, bins)), axis=1).astype(np.int16)
+    return (np.arange(bins, dtype=np.float64) / bins * 2.0**64).astype(np.uint64), probes, draw.integers(1, 1 << 63, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def signature(shingles: np.ndarray, bins: int, rows: int) -> np.ndarray:
+    """The least hash in each of ``bins`` equal ranges; an empty one takes that of the first full bin in its own random order."""
+    edges, probes, _ = _randoms(bins, rows)
+    first = np.searchsorted(shingles, edges)
     last = np.append(first[1:], len(shingles))
     full = first < last
-    taken = np.where(full, shingles[np.minimum(first, len(shingles) - 1)] - _EDGES, 0)
+    taken = np.where(full, shingles[np.minimum(first, len(shingles) - 1)] - edges, 0)
     if not full.all():
         empty = np.flatnonzero(~full)
-        taken[empty] = taken[_PROBES[empty, full[_PROBES[empty]].argmax(1)]]
+        taken[empty] = taken[probes[empty, full[probes[empty]].argmax(1)]]
     return taken
 
 
-def bands(shingles: np.ndarray) -> np.ndarray:
-    """A hash for each band."""
-    rows = mixed(signature(shingles) + np.uint64(1)).reshape(BANDS, ROWS)
-    return mixed((rows * _COEFF).sum(1) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+def bands(shingles: np.ndarray, percent: int) -> np.ndarray:
+    """A hash for each band of the threshold's ``layout``."""
+    count, rows = layout(percent)
+    hashes = mixed(signature(shingles, count * rows, rows) + np.uint64(1)).reshape(count, rows)
+    return mixed((hashes * _randoms(count * rows, rows)[2]).sum(1) + np.arange(count, dtype=np.uint64)).view(np.int64)
 
 
 def marks(shingles: np.ndarray) -> np.ndarray:
@@ -78,7 +95,7 @@ def set_digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def sketches(docs: DataFrame, *, key: str, text: str) -> DataFrame:
+def sketches(docs: DataFrame, *, key: str, text: str, percent: int) -> DataFrame:
     """(doc, n, set_key, bands, marks) for every row: size of the shingle set, its digest, bands and marks (null for an empty set)."""
     ready(docs.sparkSession)
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("_text"))
@@ -90,7 +107,7 @@ def sketches(docs: DataFrame, *, key: str, text: str) -> DataFrame:
                 s = shingle_set(x.as_buffer().to_pybytes() if x.is_valid else None)
                 sizes.append(len(s))
                 keys.append(set_digest(s) if len(s) else None)
-                found.append(bands(s) if len(s) else None)
+                found.append(bands(s, percent) if len(s) else None)
                 marked.append(marks(s) if len(s) else None)
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (found, marked)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), *lists], names=["doc", "n", "set_key", "bands", "marks"])
@@ -200,7 +217,7 @@ def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", per
     with the links of all of them. A row with a null key takes part in no link; its component_id is
     null and it is kept. An empty table gives none; other columns are ignored.
     """
-    rows = written(sketches(docs, key=key, text=text), "sketches")
+    rows = written(sketches(docs, key=key, text=text, percent=percent), "sketches")
     classes = rows.where("doc IS NOT NULL AND n > 0").groupBy("set_key").agg(F.min("doc").alias("rep"))
     classes = written(classes, "classes")
     apart = rows.where("n > 0").join(classes.select(F.col("set_key").alias("_k"), "rep"), (F.col("doc") == F.col("rep")) & (F.col("set_key") == F.col("_k")), "left_semi")

@@ -323,6 +323,30 @@ def test_near_groups_are_those_of_brute_force(spark):
     assert near_dedup.near_groups(docs.limit(0)).count() == 0
 
 
+def test_pipeline_drops_near_copies_of_similarity_080_to_085(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(6)
+    texts = []
+    for k in range(60):  # 160 words; three changes apart leave 141 of 171 shingles (0.825), four 136 of 176 (0.773)
+        words = [f"w{j}" for j in rng.integers(0, 10**6, 160)]
+        texts.append((2 * k, " ".join(words)))
+        for at in (20, 60, 100, 140)[: 4 if k % 6 == 0 else 3]:
+            words[at] = f"x{k}_{at}"
+        texts.append((2 * k + 1, " ".join(words)))
+    want = {k for k, (_, c) in brute_components(texts, 80).items() if k == c}
+    assert len(want) == 70 and len({c for _, c in brute_components(texts).values()}) == 120
+    got = corpus_pipeline.drop_near_duplicates(spark, documents(spark, texts), SF)
+    assert {r.doc_id for r in got.collect()} == want
+
+
+def test_bands_miss_few_pairs_at_the_threshold():
+    assert near_dedup.layout(85) == (40, 8) and near_dedup.layout(80) == (42, 6)
+    for percent in (30, 50, 70, 80, 85, 95):
+        count, rows = near_dedup.layout(percent)
+        assert (1 - (percent / 100) ** rows) ** count <= near_dedup.MISSED
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(1, 20)] + [(50, 40)], "a long, b long")
     assert {tuple(r) for r in near_dedup.components(links).collect()} == {(k, 1) for k in range(1, 21)} | {(40, 40), (50, 40)}
