@@ -5,12 +5,14 @@ from __future__ import annotations
 import html
 import pickle
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +21,8 @@ from gradeloom.llm.url_filter import split_url
 
 #: Templates of all hosts together are broadcast up to this size; larger ones are joined by host.
 MAX_BROADCAST = 48 << 20
-#: Texts counted at a node of a template; any that more than 1 / (COUNTERS + 1) of the pages have is found.
-COUNTERS = 16
+#: Counts of texts that a task holds before it hands them on.
+MAX_COUNTS = 200_000
 #: What is nested deeper counts as content of the element at this depth.
 MAX_DEPTH = 150
 
@@ -186,11 +188,11 @@ def blocks(node: Node, inside: bool, out: list[tuple[str, Node]], links: dict[in
 
 # -- templates -------------------------------------------------------------------------------------
 # A shape is (signature, (shapes of the children)), with siblings of one signature folded into one list
-# node. A template is (shape, [(pages, {text hash: pages}, missed)] in preorder): each count may be short by ``missed``.
+# node. A template is (shape, pages); texts are counted at its nodes, by preorder place, in a second pass over the pages.
 
 
 def digest(text: str) -> int:
-    return xxhash.xxh64_intdigest(text)
+    return xxhash.xxh64_intdigest(text) - (1 << 63)  # a long
 
 
 def skeleton(root: Node) -> tuple[tuple, list[set[int]], dict[int, int]]:
@@ -303,42 +305,36 @@ def union(a: tuple, b: tuple) -> tuple[tuple, tuple, tuple]:
     return made, tuple(in_a), tuple(in_b)
 
 
-def _counted(n: int, counts: dict[int, int], missed: int) -> tuple[int, dict[int, int], int]:
-    """At most ``COUNTERS`` of the counts (a Misra-Gries summary, which merges)."""
-    if len(counts) <= COUNTERS:
-        return n, counts, missed
-    least = sorted(counts.values(), reverse=True)[COUNTERS]
-    return n, {k: v - least for k, v in counts.items() if v > least}, missed + least
-
-
 def merged(a: tuple | None, b: tuple) -> tuple:
     """Two templates aligned and added up."""
     if a is None:
         return b
-    if a[0] == b[0]:
-        shape, in_a, in_b = a[0], range(len(a[1])), range(len(b[1]))
-    else:
-        shape, in_a, in_b = union(a[0], b[0])
-    stats: list[list] = [[0, {}, 0] for _ in range(_size(shape))]
-    for (_, own), places in ((a, in_a), (b, in_b)):
-        for (n, counts, missed), place in zip(own, places, strict=True):
-            stats[place][0] += n
-            stats[place][2] += missed
-            into = stats[place][1]
-            for k, v in counts.items():
-                into[k] = into.get(k, 0) + v
-    return shape, [_counted(*x) for x in stats]
+    return a[0] if a[0] == b[0] else union(a[0], b[0])[0], a[1] + b[1]
 
 
 def page_template(root: Node) -> tuple:
-    shape, texts, _ = skeleton(root)
-    return shape, [_counted(1, dict.fromkeys(x, 1), 0) for x in texts]
+    return skeleton(root)[0], 1
 
 
-def constants(template: tuple, share: float, least: int) -> tuple:
-    """(shape, texts that ``share`` of the pages with a node may have there, and half of them do, pages) of a template."""
-    fixed = [frozenset(k for k, v in counts.items() if n >= least and 2 * v >= n and v + missed >= share * n) for n, counts, missed in template[1]]
-    return template[0], fixed, template[1][0][0]
+def aligned(template: tuple, shape: tuple) -> dict[int, int]:
+    """Place in the template by place in a page's shape, for the nodes that both have."""
+    if shape == template[0]:
+        return {k: k for k in range(_size(shape))}
+    _, own, into = union(template[0], shape)
+    known = {u: k for k, u in enumerate(own)}
+    return {p: known[u] for p, u in enumerate(into) if u in known}
+
+
+def constants(template: tuple, share: float, least: int, counts: Iterable[tuple[int, int, int, int]] = ()) -> tuple:
+    """(shape, texts that ``share`` of the pages with a node have there, of ``least`` pages or more, by node, pages) of a template.
+
+    ``counts``: (node, pages that have it, text hash, pages that have the text there).
+    """
+    fixed: list[set[int]] = [set() for _ in range(_size(template[0]))]
+    for node, n, text, v in counts:
+        if n >= least and v >= share * n:
+            fixed[node].add(text)
+    return template[0], fixed, template[1]
 
 
 # -- pages -----------------------------------------------------------------------------------------
@@ -362,10 +358,8 @@ def main_text(source: str | None, template: tuple | None = None) -> str:
     constant: list[bool] = [False] * len(found)
     if template is not None and found:
         shape, _, places = skeleton(root)
-        into = union(template[0], shape)[2] if shape != template[0] else range(_size(shape))
-        own = union(template[0], shape)[1] if shape != template[0] else range(_size(shape))
-        known = {u: template[1][k] for k, u in enumerate(own)}
-        constant = [(p := places.get(id(owner))) is not None and digest(text) in known.get(into[p], ()) for text, owner in found]
+        into = aligned(template, shape)
+        constant = [(k := into.get(places.get(id(owner), -1))) is not None and digest(text) in template[1][k] for text, owner in found]
     if article is not None:
         fixed = sum(len(t) for (t, _), c in zip(found, constant, strict=True) if c)
         if 2 * fixed > sum(len(t) for t, _ in found) or template is None or template[2] < 10:
@@ -439,7 +433,7 @@ def densest(root: Node, found: list[tuple[str, Node]], links: dict[int, int]) ->
 def _templates(pages: DataFrame) -> DataFrame:
     """(host, template): all pages of a host aligned; first inside each task, then by host and task group, then by host."""
 
-    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merging(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[str, tuple] = {}
         for batch in batches:
             for host, source in zip(batch.column(0), batch.column(1), strict=True):
@@ -460,11 +454,48 @@ def _templates(pages: DataFrame) -> DataFrame:
             total = merged(total, pickle.loads(x))
         return pd.DataFrame({"host": [group["host"].iloc[0]], "template": [pickle.dumps(total)]})
 
-    part = pages.select("host", "_html").mapInArrow(aligned, "host string, template binary").withColumn("_group", F.spark_partition_id() % 64)
+    part = pages.select("host", "_html").mapInArrow(merging, "host string, template binary").withColumn("_group", F.spark_partition_id() % 64)
     part = part.groupBy("host", "_group").applyInPandas(lambda g: added(g), "host string, template binary")
     return part.groupBy("host").applyInPandas(lambda g: added(g), "host string, template binary")
 
 
+def _counts(pages: DataFrame, held: Broadcast | None, share: float, least: int) -> DataFrame:
+    """(host, counts): for ``constants``, the exact counts of the texts that are constant at a node of the host's template."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read: dict[str, tuple] = {}
+        seen: Counter = Counter()
+        for batch in batches:
+            for k in range(batch.num_rows):
+                if not (source := batch.column(1)[k].as_py()):
+                    continue
+                host = batch.column(0)[k].as_py()
+                if host not in read:
+                    if len(read) > 5000:
+                        read.clear()
+                    read[host] = pickle.loads(held.value[host] if held is not None else batch.column(2)[k].as_py())
+                shape, texts, _ = skeleton(parse(source))
+                for p, node in aligned(read[host], shape).items():
+                    seen[host, node, None] += 1
+                    for text in texts[p]:
+                        seen[host, node, text] += 1
+                if len(seen) > MAX_COUNTS:
+                    yield out(seen)
+                    seen = Counter()
+        yield out(seen)
+
+    def out(seen: Counter) -> pa.RecordBatch:
+        keys = zip(*seen, strict=True) if seen else ((), (), ())
+        columns = [pa.array(x, kind) for x, kind in zip(keys, (pa.string(), pa.int32(), pa.int64()), strict=True)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(seen.values(), pa.int64())], names=["host", "node", "text", "v"])
+
+    found = pages.select("host", "_html", *(["template"] if held is None else [])).mapInArrow(counted, "host string, node int, text long, v long")
+    found = written(found.groupBy("host", "node", "text").agg(F.sum("v").alias("v")).where(F.col("text").isNull() | (F.col("v") >= least * share)), "text-counts")
+    nodes = found.where("text IS NULL").select("host", "node", F.col("v").alias("n")).where(F.col("n") >= least)
+    met = found.where("text IS NOT NULL").join(nodes, ["host", "node"]).where(F.col("v") >= F.lit(float(share)) * F.col("n"))
+    return met.groupBy("host").agg(F.collect_list(F.struct("node", "n", "text", "v")).alias("counts"))
+
+
 def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", source: str = "html", share: float = 0.9, least: int = 3, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """For every row: key, url, text and n_chars (long, code points).
 
@@ -478,11 +509,14 @@ def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", source:
     ready(spark)
     pages = pages.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{url}`").alias("_url"), split_url(url)[0].alias("host"), F.col(f"`{source}`").cast("string").alias("_html"))
     templates = written(_templates(pages), "templates")
+    size = templates.agg(F.coalesce(F.sum(F.length("template") + F.length("host") + 100), F.lit(0))).first()[0]
+    held = spark.sparkContext.broadcast({r[0]: bytes(r[1]) for r in templates.collect()}) if size <= max_broadcast else None
+    counts = written(_counts(pages if held is not None else pages.join(templates, "host"), held, share, least), "constants")
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
     schema = f"`{key}` {kinds['_key']}, `{url}` string, text string, n_chars long"
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {} if held is None else held.value
+        known = {} if both is None else both.value
         read: dict[str, tuple | None] = {}
         for batch in batches:
             texts = []
@@ -491,17 +525,18 @@ def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", source:
                 if host not in read:
                     if len(read) > 5000:
                         read.clear()
-                    packed = known.get(host) if held is not None else batch.column(4)[k].as_py()
-                    read[host] = constants(pickle.loads(packed), share, least) if packed else None
+                    packed, own = known.get(host, (None, None)) if both is not None else (batch.column(c)[k].as_py() for c in (4, 5))
+                    read[host] = constants(pickle.loads(packed), share, least, (tuple(x.values()) if isinstance(x, dict) else x for x in own or ())) if packed else None
                 texts.append(main_text(batch.column(3)[k].as_py(), read[host]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[key, url, "text", "n_chars"])
 
-    size = templates.agg(F.coalesce(F.sum(F.length("template") + F.length("host") + 100), F.lit(0))).first()[0]
+    size += counts.agg(F.coalesce(F.sum(F.size("counts") * 32), F.lit(0))).first()[0]
+    templates = templates.join(counts, "host", "left")
     if size <= max_broadcast:
-        held = spark.sparkContext.broadcast({r[0]: bytes(r[1]) for r in templates.collect()})
+        both = spark.sparkContext.broadcast({r[0]: (bytes(r[1]), [tuple(x) for x in r[2] or ()]) for r in templates.collect()})
     else:
-        held = None
-        pages = pages.join(templates, "host", "left").select("_key", "_url", "host", "_html", "template")
+        both = None
+        pages = pages.join(templates, "host", "left").select("_key", "_url", "host", "_html", "template", "counts")
     return pages.mapInArrow(extracted, schema)
 
 
