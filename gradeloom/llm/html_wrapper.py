@@ -326,7 +326,7 @@ def aligned(template: tuple, shape: tuple) -> dict[int, int]:
 
 
 def constants(template: tuple, share: float, least: int, counts: Iterable[tuple[int, int, int, int]] = ()) -> tuple:
-    """(shape, texts that ``share`` of the pages with a node have there, of ``least`` pages or more, by node, pages) of a template.
+    """(shape, texts that ``share`` of the pages with a node have there, of ``least`` pages or more, by node) of a template.
 
     ``counts``: (node, pages that have it, text hash, pages that have the text there).
     """
@@ -334,7 +334,7 @@ def constants(template: tuple, share: float, least: int, counts: Iterable[tuple[
     for node, n, text, v in counts:
         if n >= least and v >= share * n:
             fixed[node].add(text)
-    return template[0], fixed, template[1]
+    return template[0], fixed
 
 
 # -- pages -----------------------------------------------------------------------------------------
@@ -362,7 +362,7 @@ def main_text(source: str | None, template: tuple | None = None) -> str:
         constant = [(k := into.get(places.get(id(owner), -1))) is not None and digest(text) in template[1][k] for text, owner in found]
     if article is not None:
         fixed = sum(len(t) for (t, _), c in zip(found, constant, strict=True) if c)
-        if 2 * fixed > sum(len(t) for t, _ in found) or template is None or template[2] < 10:
+        if 2 * fixed > sum(len(t) for t, _ in found):
             constant = [False] * len(found)
         return "\n".join(t for (t, _), c in zip(found, constant, strict=True) if not c)
     found = [x for x, c in zip(found, constant, strict=True) if not c]
