@@ -12,13 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm.cluster import ready, table, written
+from gradeloom.llm.cluster import discard, ready, table, written
 from gradeloom.llm.wordhash import mixed, shingle_set
 
 #: At least so many bands of at most so many bins each (see ``layout``), and the chance that a pair at the threshold shares no band.
 BANDS, ROWS, MISSED = 40, 8, 3e-6
-#: Ids up to this many are broadcast to pick the documents whose sets are needed.
-MAX_BROADCAST_IDS = 4_000_000
+#: Rows of two longs up to this many are broadcast (about 100 MB as a hash table), more of them joined by a shuffle.
+MAX_BROADCAST_ROWS = 1_500_000
 #: Ranges whose marks tell how close two documents may be.
 MARKS = 640
 _MARK_EDGES = (np.arange(MARKS, dtype=np.float64) / MARKS * 2.0**64).astype(np.uint64)
@@ -91,57 +91,61 @@ def may_link(percent: int, a: str = "marks", b: str = "hub_marks", n_a: str = "n
     return F.floor(both / 4096) <= off * (both % 4096) + 6 * F.sqrt((both % 4096) * off * (1 - off) * left) + 2
 
 
-def set_digest(shingles: np.ndarray) -> bytes:
-    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+def node_of(shingles: np.ndarray) -> int:
+    """A long that stands for the set: equal sets are one node."""
+    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def sketches(docs: DataFrame, *, key: str, text: str, percent: int) -> DataFrame:
-    """(doc, n, set_key, bands, marks) for every row: size of the shingle set, its digest, bands and marks (null for an empty set)."""
+    """(doc, n, node, bands) for every row: size of the shingle set, the set's node and its bands (null for an empty set)."""
     ready(docs.sparkSession)
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("_text"))
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, found, marked = [], [], [], []
+            sizes, nodes, found = [], [], []
             for x in batch.column(1):
                 s = shingle_set(x.as_buffer().to_pybytes() if x.is_valid else None)
                 sizes.append(len(s))
-                keys.append(set_digest(s) if len(s) else None)
+                nodes.append(node_of(s) if len(s) else None)
                 found.append(bands(s, percent) if len(s) else None)
-                marked.append(marks(s) if len(s) else None)
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in (found, marked)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), *lists], names=["doc", "n", "set_key", "bands", "marks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc", "n", "node", "bands"])
 
-    return docs.mapInArrow(sketched, "doc long, n long, set_key binary, bands array<long>, marks array<long>")
+    return docs.mapInArrow(sketched, "doc long, n long, node long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, *, key: str, text: str) -> DataFrame:
-    """(doc, shingles) of the pairs in ``wanted`` (doc, set_key; unique), from the whole texts."""
+    """(node, shingles, marks) of the rows that ``wanted`` (doc, node; unique) names, from the whole texts; written."""
     spark = docs.sparkSession
     ready(spark)
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").cast("string").alias("_text")).where("doc IS NOT NULL")
-    few = wanted.count() <= MAX_BROADCAST_IDS
-    docs = docs.join(F.broadcast(wanted) if few else wanted, "doc").select("doc", "_text", "set_key")
+    few = wanted.count() <= MAX_BROADCAST_ROWS
+    docs = docs.join(F.broadcast(wanted) if few else wanted, "doc").select("_text", "node")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                kept, sets = [], []
-                for doc, x, digest in zip(*part.columns, strict=True):
+                kept, sets, marked = [], [], []
+                for x, node in zip(*batch.slice(at, 256).columns, strict=True):
                     s = shingle_set(x.as_buffer().to_pybytes() if x.is_valid else None)
-                    if len(s) and set_digest(s) == digest.as_py():  # a key may have several texts
-                        kept.append(doc.as_py())
+                    if len(s) and node_of(s) == node.as_py():  # a key may have several texts
+                        kept.append(node.as_py())
                         sets.append(s.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "shingles"])
+                        marked.append(marks(s))
+                lists = [pa.array(x, pa.list_(pa.int64())) for x in (sets, marked)]
+                yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), *lists], names=["node", "shingles", "marks"])
 
-    return docs.mapInArrow(made, "doc long, shingles array<long>")
+    sets = written(docs.mapInArrow(made, "node long, shingles array<long>, marks array<long>"), "sets")
+    if sets.groupBy("node").count().where("count > 1").limit(1).count():  # repeated rows
+        whole, sets = sets, written(sets.dropDuplicates(["node"]), "sets")
+        discard(whole)
+    return sets
 
 
 def confirmed(edges: DataFrame, sets: DataFrame, *, percent: int) -> DataFrame:
     """The edges (a, b) whose full sets have 100 * intersection >= ``percent`` * union."""
-    left = edges.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("_sa")), "a")
-    both = left.join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("_sb")), "b")
+    left = edges.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("_sa")), "a")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("_sb")), "b")
     common = F.size(F.array_intersect("_sa", "_sb"))
     return both.where(100 * common >= percent * (F.size("_sa") + F.size("_sb") - common)).select("a", "b")
 
@@ -151,9 +155,11 @@ def components(links: DataFrame) -> DataFrame:
 
     Rounds of large-star and small-star: edges move to smaller nodes until every component is a star
     around its smallest one. Minima are pre-aggregated and cut off by a written table, so that the
-    join on a node with very many links can be split.
+    join on a node with very many links can be split. The end is told by number and hash sum of the edges.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
+    told = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    was = told(edges)
     while True:
         # large-star: each neighbour that is larger than the node is linked to the node's smallest neighbour
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -161,17 +167,19 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small-star: the node and its smaller neighbours are linked to the smallest of them
         large = written(large, "large-star")
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        smallest = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(smallest, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         new = written(small, "links")
-        if not new.exceptAll(edges).limit(1).count() and not edges.exceptAll(new).limit(1).count():
+        discard(edges, least, large, smallest)
+        now, edges = told(new), new
+        if now == was:
             break
-        edges = new
+        was = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
 
 
 def near_links(docs: DataFrame, members: DataFrame, *, key: str, text: str, percent: int) -> DataFrame:
-    """Confirmed links (a, b) among ``members`` (doc, n, set_key, bands, marks), whose sets are pairwise different.
+    """Confirmed links (a, b) among ``members`` (node, doc, n, bands), whose sets are pairwise different; written.
 
     Each bucket of a band is tested as a star around its most central member: the one whose buckets
     are the largest in all, so that of copies with different changes the unchanged original is tested
@@ -179,30 +187,41 @@ def near_links(docs: DataFrame, members: DataFrame, *, key: str, text: str, perc
     one are hubs too: they are tested against the bucket's members of other components, if their marks
     are close enough for a link (see ``may_link``). So every two members of
     a bucket are connected, tested or too different, and a group that connects costs a star, not all pairs.
+    Two members that share several buckets are paired in one of them only: as they are of different
+    components, all of these buckets are split, and the pair is made where the bucket's hash is the least.
     """
-    rows = members.select("doc", "n", F.posexplode("bands").alias("band", "hash"))
-    sizes = written(rows.groupBy("band", "hash").agg(F.count("*").alias("size")).where("size > 1"), "bucket-sizes")
-    rows = written(rows.join(sizes, ["band", "hash"]), "buckets")
-    weight = rows.groupBy("doc").agg(F.sum("size").alias("weight"))
-    hub = F.struct("weight", (-F.col("doc")).alias("doc"), "n")
-    hubs = rows.join(weight, "doc").groupBy("band", "hash").agg(F.max(hub).alias("h"))
-    hubs = written(hubs.select("band", "hash", (-F.col("h.doc")).alias("hub"), F.col("h.n").alias("hub_n")), "hubs")
-    fits = (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")) & (F.col("doc") != F.col("hub"))
-    pair = F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")
-    tested = written(rows.join(hubs, ["band", "hash"]).where(fits).select(*pair).distinct(), "star-edges")
-    wanted = members.select("doc", "set_key").join(rows.select("doc").distinct(), "doc", "left_semi")
-    sets = written(shingle_sets(docs, wanted, key=key, text=text).distinct(), "sets")
+    rows = members.select("node", "n", F.explode("bands").alias("hash"))  # a band's hash tells the band too
+    sizes = written(rows.groupBy("hash").agg(F.count("*").alias("size")).where("size > 1"), "bucket-sizes")
+    few = sizes.count() <= MAX_BROADCAST_ROWS
+    buckets = written(rows.join(F.broadcast(sizes) if few else sizes, "hash"), "buckets")
+    weight = buckets.groupBy("node").agg(F.sum("size").alias("weight"))
+    hub = F.struct("weight", (-F.col("node")).alias("node"), "n")
+    hubs = buckets.join(weight, "node").groupBy("hash").agg(F.max(hub).alias("h"))
+    hubs = written(hubs.select("hash", (-F.col("h.node")).alias("hub"), F.col("h.n").alias("hub_n")), "hubs")
+    fits = (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")) & (F.col("node") != F.col("hub"))
+    pair = F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")
+    tested = written(buckets.join(hubs, "hash").where(fits).select(*pair).distinct(), "star-edges")
+    wanted = members.select("doc", "node").join(buckets.select("node").distinct(), "node", "left_semi")
+    sets = shingle_sets(docs, wanted, key=key, text=text)
     links = written(confirmed(tested, sets, percent=percent), "confirmed")
     found = components(links)
-    own = rows.join(found, rows["doc"] == found["node"], "left").select("doc", "n", "band", "hash", F.coalesce("component", "doc").alias("component"))
-    parts = own.groupBy("band", "hash", "component").agg(F.count("*").alias("k")).groupBy("band", "hash")
+    own = buckets.join(found, "node", "left").select("node", "n", "hash", F.coalesce("component", "node").alias("component"))
+    own = written(own, "labelled")
+    parts = own.groupBy("hash", "component").agg(F.count("*").alias("k")).groupBy("hash")
     parts = parts.agg(F.count("*").alias("parts"), F.max(F.struct("k", (-F.col("component")).alias("c"))).alias("most")).where("parts > 1")
-    parts = written(parts.select("band", "hash", (-F.col("most.c")).alias("main")), "split-buckets")
-    inside = written(own.join(parts, ["band", "hash"]).join(members.select("doc", "marks"), "doc"), "apart")
-    outside = inside.where("component <> main").select("band", "hash", F.col("doc").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"), F.col("marks").alias("hub_marks"))
-    pairs = inside.join(outside, ["band", "hash"]).where(fits & F.expr("component <> hub_component") & may_link(percent)).select(*pair).distinct()
+    parts = written(parts.select("hash", (-F.col("most.c")).alias("main")), "split-buckets")
+    inside = written(own.join(parts, "hash"), "apart")
+    lists = inside.groupBy("node").agg(F.collect_list("hash").alias("hashes"))  # at most as many as there are bands
+    known = written(lists.join(sets.select("node", "marks"), "node"), "marked")
+    inside = written(inside.join(known, "node"), "apart")
+    hubs_too = inside.where("component <> main").select("hash", *(F.col(c).alias("hub" if c == "node" else f"hub_{c}") for c in ("node", "n", "component", "marks", "hashes")))
+    once = (F.col("component") == F.col("main")) | (F.col("node") < F.col("hub"))
+    first = F.array_min(F.array_intersect("hashes", "hub_hashes")) == F.col("hash")
+    pairs = inside.join(hubs_too, "hash").where(fits & F.expr("component <> hub_component") & once & first & may_link(percent)).select(*pair)
     pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "other-edges")
-    return written(links.union(confirmed(pairs, sets, percent=percent)), "confirmed")
+    more = written(links.union(confirmed(pairs, sets, percent=percent)), "confirmed")
+    discard(sizes, buckets, hubs, tested, sets, links, own, parts, inside, known, pairs)
+    return more
 
 
 def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
@@ -218,16 +237,18 @@ def near_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", per
     null and it is kept. An empty table gives none; other columns are ignored.
     """
     rows = written(sketches(docs, key=key, text=text, percent=percent), "sketches")
-    classes = rows.where("doc IS NOT NULL AND n > 0").groupBy("set_key").agg(F.min("doc").alias("rep"))
-    classes = written(classes, "classes")
-    apart = rows.where("n > 0").join(classes.select(F.col("set_key").alias("_k"), "rep"), (F.col("doc") == F.col("rep")) & (F.col("set_key") == F.col("_k")), "left_semi")
-    apart = apart.dropDuplicates(["doc", "set_key"])
-    links = near_links(docs, apart, key=key, text=text, percent=percent)
+    some = rows.where("doc IS NOT NULL AND n > 0")
+    # what depends on the set alone is the same in all rows of a node
+    classes = written(some.groupBy("node").agg(F.min("doc").alias("doc"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "classes")
+    links = near_links(docs, classes, key=key, text=text, percent=percent)
     # rows that share a key belong together too
-    member = rows.where("doc IS NOT NULL AND n > 0").select("doc", "set_key").join(classes, "set_key").select("doc", "rep")
-    found = components(links)
-    named = member.join(found, member["rep"] == found["node"], "left").select("doc", F.coalesce("component", "rep").alias("c"))
-    named = named.groupBy("doc").agg(F.min("c").alias("component_id"))
+    shared = written(some.groupBy("doc").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("doc", "lo"), "shared-keys")
+    links = links.union(some.select("doc", "node").join(shared, "doc").where("node <> lo").select("lo", "node").distinct())
+    found = components(links).join(classes.select("node", "doc"), "node")
+    least = written(found.groupBy("component").agg(F.min("doc").alias("component_id")), "components")
+    named = written(found.join(least, "component").select("node", "component_id"), "named")
+    member = some.select("doc", "node").join(classes.select("node", F.col("doc").alias("rep")), "node").join(named, "node", "left")
+    named = member.groupBy("doc").agg(F.min(F.coalesce("component_id", "rep")).alias("component_id"))
     out = rows.select("doc", "n").join(named, "doc", "left")
     component = F.coalesce("component_id", "doc")
     kind = docs.schema[key].dataType
