@@ -29,12 +29,18 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (similarity 0.8 or more) stays: the one with the smallest id. Documents without words and rows without id all stay."""
+    """One document of each group of near-duplicates (similarity 0.8 or more) stays: the one with the smallest id.
+
+    Documents without words and rows without id all stay. Rows that share an id that stays are kept, each text
+    once; of rows equal in id and text the one that is least in the other columns.
+    """
     groups = near_dedup.near_groups(docs.select("doc_id", "text"), percent=80)
     kept = written(groups.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_rows")), "kept")
     stay = docs.join(kept, "doc_id").select(*docs.columns, "_rows")
-    if kept.where("_rows > 1").limit(1).count():  # rows that share a kept id
-        stay = stay.where("_rows = 1").unionByName(stay.where("_rows > 1").dropDuplicates(["doc_id"]))
+    if kept.where("_rows > 1").limit(1).count():  # rows that share a kept id: each of their texts stays once
+        rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")))
+        once = stay.where("_rows > 1").groupBy("doc_id", "text").agg(F.min(rest).alias("_rest")).select("doc_id", "text", "_rest.*")
+        stay = stay.where("_rows = 1").select(*docs.columns).unionByName(once.select(*docs.columns))
     return stay.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
