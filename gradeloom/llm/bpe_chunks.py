@@ -42,7 +42,8 @@ def cuts(data: np.ndarray, mean: int = MEAN_CHUNK) -> np.ndarray:
 class ChunkedBPE:
     """Encodes as the vocabulary's own pre-tokeniser and merges do, chunk by chunk.
 
-    Each chunk is encoded once while it is remembered. Where two chunks meet, the tokens between the
+    Each chunk, and each text without a cut, is encoded once while it is remembered; what was
+    used last is remembered longest. Where two chunks meet, the tokens between the
     last safe point of the left one and the first safe point of the right one are encoded again, over
     the join. A safe point is a blank between two printable ASCII characters: the pre-tokeniser
     starts a piece at every such blank, with or without what surrounds it, so the tokens on its other
@@ -61,15 +62,19 @@ class ChunkedBPE:
             self.length[rank] = len(piece)
         self.known: OrderedDict[bytes, np.ndarray] = OrderedDict()
         self.room = self.left = cache_bytes
-        self.encoded = self.reused = self.repaired = self.joined = 0
+        self.encoded = self.reused = self.repaired = self.joined = 0  # times
+        self.bytes_in = self.bytes_reused = 0
 
     def plain(self, text: bytes) -> np.ndarray:
         self.encoded += 1
         return np.array(self.core._core_bpe.encode_ordinary(text.decode()), np.uint32)
 
     def chunk(self, text: bytes) -> np.ndarray:
+        self.bytes_in += len(text)
         if (ids := self.known.get(text)) is not None:
+            self.known.move_to_end(text)
             self.reused += 1
+            self.bytes_reused += len(text)
             return ids
         ids = self.plain(text)
         self.left -= len(text) + ids.nbytes + 200
@@ -84,7 +89,7 @@ class ChunkedBPE:
         data = np.frombuffer(text, np.uint8)
         at = [0, *cuts(data).tolist(), len(text)]
         if len(at) == 2:
-            return self.plain(text)
+            return self.chunk(text)
         plain = (data > 32) & (data < 127)
         safe = np.flatnonzero((data[1:-1] == 32) & plain[:-2] & plain[2:]) + 1
         parts: list[np.ndarray] = []

@@ -13,8 +13,8 @@ from gradeloom.llm.cluster import ready, table
 
 #: Queries in one broadcast, and candidates in one block of sorted lists.
 QUERIES_PER_PASS, BLOCK = 32_768, 4096
-#: Shares of the lists read before bounds are compared again.
-DEPTHS = (0.25, 0.5)
+#: Shares of the lists that are read before bounds are compared.
+SHARES = (0.55, 0.7, 0.85, 1.0)
 SCALE = 1024.0
 
 
@@ -39,24 +39,49 @@ def scaled(ids: pa.Array, vectors: pa.ListArray) -> dict[int, tuple[np.ndarray,
 
 
 class Lists:
-    """A block of candidates as one sorted list for each component."""
+    """A block of candidates as one list for each component, sorted by value; read from the end that a query's sign asks for."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         self.ids, self.rows = ids, rows
-        self.sorted = np.sort(rows, axis=0)
-
-    def upper(self, plus: np.ndarray, minus: np.ndarray, depth: int) -> np.ndarray:
-        """Most that each score can be once ``depth`` entries of every list are read, from the end that the query's sign asks for:
-        a component not read yet is at most what was read last."""
-        n = len(self.rows)
-        return plus @ np.maximum(self.rows, self.sorted[n - depth]).T + minus @ np.minimum(self.rows, self.sorted[depth - 1]).T
-
-    def lower(self, plus: np.ndarray, minus: np.ndarray, depth: int) -> np.ndarray:
-        """Least that each score can be: a component not read yet may be the last of its list."""
-        n, end = len(self.rows), self.sorted
-        down = np.where(self.rows >= end[n - depth], self.rows, end[0])
-        up = np.where(self.rows <= end[depth - 1], self.rows, end[-1])
-        return plus @ down.T + minus @ up.T
+        order = np.argsort(rows, axis=0, kind="stable")
+        self.values = np.ascontiguousarray(np.take_along_axis(rows, order, 0).T)
+        self.order = np.ascontiguousarray(order.T)
+        self.most = np.abs(self.values[:, [0, -1]]).max(1)
+
+    def depths(self, query: np.ndarray, share: float) -> np.ndarray:
+        """Entries of each list to read for a mean of about ``share`` of all: the more, the larger the query's component is."""
+        weight = np.sqrt(np.abs(query))
+        n = len(self.ids)
+        if share >= 1:
+            return np.full(len(query), n)
+        return np.minimum(n, np.ceil(share * n * weight / max(weight.mean(), 1e-300))).astype(np.int64)
+
+    def bounds(self, query: np.ndarray, depths: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """(most, least) that each score can be after ``depths`` entries of the lists are read.
+
+        A component that was seen counts as it is. One that wasn't is at most what was read last
+        of its list, and at least the list's other end. Nothing is looked up by candidate.
+        """
+        n = len(self.ids)
+        seen, above, below = [], [], []
+        top = low = 0.0
+        for values, order, x, depth in zip(self.values, self.order, query, depths, strict=True):
+            if x > 0:
+                read, last, other = slice(n - depth, n), values[n - max(depth, 1)], values[0]
+            elif x < 0:
+                read, last, other = slice(0, depth), values[max(depth, 1) - 1], values[-1]
+            else:
+                continue
+            top += x * last
+            low += x * other
+            seen.append(order[read])
+            above.append(x * (values[read] - last))
+            if lower:
+                below.append(x * (values[read] - other))
+        if not seen:
+            return np.full(n, top), np.full(n, low)
+        seen = np.concatenate(seen)
+        return top + np.bincount(seen, np.concatenate(above), n), low + np.bincount(seen, np.concatenate(below), n) if lower else None
 
 
 def exact(queries: np.ndarray, rows: np.ndarray, q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -73,50 +98,34 @@ class Searcher:
 
     def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
         self.ids, self.queries, self.k = ids, queries, k
-        self.plus, self.minus = np.maximum(queries, 0), np.minimum(queries, 0)
         self.best = [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in ids]  # (scores, candidates)
-        self.floor = np.full(len(ids), -np.inf)  # the k-th best score so far
+        self.entries = self.read_entries = self.resolved = self.pairs = 0
 
     def read(self, block: Lists) -> None:
-        for a in range(0, len(self.ids), 1024):
-            self._read(block, slice(a, a + 1024))
-
-    def _read(self, block: Lists, part: slice) -> None:
-        plus, minus, n = self.plus[part], self.minus[part], len(block.rows)
-        slack = 1.0  # keeps rounding of the bounds on the safe side; the scores below are exact
-        own = self.ids[part][:, None] == block.ids
-        floor = self.floor[part].copy()
-        alive = np.ones(own.shape, bool)
-        for share in DEPTHS:
-            depth = max(1, int(n * share))
-            upper = block.upper(plus, minus, depth)
-            if np.isinf(floor).any() and n > self.k:
-                lower = np.where(own, -np.inf, block.lower(plus, minus, depth))
-                floor = np.maximum(floor, np.partition(lower, n - self.k, axis=1)[:, n - self.k] - slack)
-            alive = (upper + slack >= floor[:, None]) & ~own
-            if alive.sum() <= 8 * self.k * len(floor):
+        for q in range(len(self.ids)):
+            self._read(block, q)
+
+    def _read(self, block: Lists, q: int) -> None:
+        query, n, (scores, ids) = self.queries[q], len(block.ids), self.best[q]
+        other = block.ids != self.ids[q]
+        floor = float(scores[-1]) if len(scores) == self.k else -np.inf  # the k-th best score so far
+        slack = 1 + float(np.abs(query) @ block.most) * 2.0**-40  # keeps rounding of the bounds on the safe side
+        alive = other
+        for share in SHARES if np.isfinite(floor) else SHARES[-2:]:
+            depths = block.depths(query, share)
+            upper, lower = block.bounds(query, depths, lower=np.isinf(floor))
+            if lower is not None and other.sum() >= self.k:
+                floor = np.partition(lower[other], -self.k)[-self.k] - slack
+            alive = other & (upper + slack >= floor)
+            if alive.sum() <= max(8 * self.k, n // 32):
                 break  # outsiders can't qualify; what is left is resolved
-        q, c = np.nonzero(alive)
-        if not len(q):
-            return
-        scores = exact(self.queries[part], block.rows, q, c)
-        q = q + part.start
-        take = scores >= np.where(np.isinf(self.floor[q]), -np.inf, self.floor[q])
-        q, c, scores = q[take], c[take], scores[take]
-        if not len(q):
-            return
-        order = np.lexsort((block.ids[c], -scores, q))
-        q, c, scores = q[order], c[order], scores[order]
-        starts = np.flatnonzero(np.diff(q, prepend=-1))
-        for begin, end in zip(starts, [*starts[1:], len(q)], strict=True):
-            k = int(q[begin])
-            old_scores, old_ids = self.best[k]
-            end = min(end, begin + self.k)
-            both, names = np.concatenate([old_scores, scores[begin:end]]), np.concatenate([old_ids, block.ids[c[begin:end]]])
-            top = np.lexsort((names, -both))[: self.k]
-            self.best[k] = both[top], names[top]
-            if len(top) == self.k:
-                self.floor[k] = both[top[-1]]
+        c = np.flatnonzero(alive)
+        self.pairs, self.resolved = self.pairs + n, self.resolved + len(c)
+        self.entries, self.read_entries = self.entries + n * len(query), self.read_entries + int(depths.sum())
+        new = exact(query[None], block.rows, np.zeros(len(c), np.int64), c)
+        both, names = np.concatenate([scores, new]), np.concatenate([ids, block.ids[c]])
+        top = np.lexsort((names, -both))[: self.k]
+        self.best[q] = both[top], names[top]
 
     def found(self) -> pa.RecordBatch:
         sizes = [len(s) for s, _ in self.best]
@@ -135,7 +144,8 @@ def top_k(vectors: DataFrame, *, k: int = 10, every: int = 100, key: str = "vec_
     candidates than ``k`` are all returned, an empty table gives none; other columns are ignored.
 
     Queries are broadcast, at most about ``per_pass`` at a time; every pass reads the candidates once,
-    in blocks of sorted lists, and each task returns ``k`` rows a query at most.
+    in blocks of sorted lists, and each task returns ``k`` rows a query at most. Lists are read in
+    order only; a candidate is looked up at last, if its upper bound reaches the ``k``-th best score or lower bound.
     """
     spark = vectors.sparkSession
     ready(spark)

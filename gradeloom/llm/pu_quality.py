@@ -10,15 +10,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm.cluster import ready, table
+from gradeloom.llm.cluster import ready, table, written
 from gradeloom.llm.toxicity import held_out
+from gradeloom.llm.wordhash import mixed, windows, word_hashes
 
 #: At most so many positives, and so many unlabelled texts, are trained on.
-MAX_POSITIVES = 4000
-MAX_UNLABELLED = 8000
+MAX_POSITIVES = 3000
+MAX_UNLABELLED = 6000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -53,25 +55,80 @@ def describe(text: str | None) -> list[float]:
     ]
 
 
+#: Classes that words, pairs of words and runs of three bytes are hashed to.
+CLASSES = 1 << 14
+_KINDS = np.arange(1, 4, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of a long text that are cut into runs at a time.
+PIECE = 1 << 21
+
+
+def hashed(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(classes, weights) of a whole text's words, neighbouring words and runs of three bytes: 1 + ln of the count, of length 1 for each of the three kinds."""
+    raw = (text or "").encode("utf-8", "replace")
+    words = word_hashes(raw, fold=True) if raw else np.empty(0, np.uint64)
+    data = np.frombuffer(raw, np.uint8)
+    runs = np.zeros(1 << 24 >> 8, np.int64)  # a run is told by a 16-bit hash
+    for at in range(0, max(0, len(data) - 2), PIECE):
+        piece = data[at:at + PIECE + 2].astype(np.uint32)
+        told = (piece[:-2] << 16 | piece[1:-1] << 8 | piece[2:]) * np.uint32(0x9E3779B1) >> np.uint32(16)
+        runs += np.bincount(told, minlength=len(runs))
+    there = np.flatnonzero(runs)
+    found = []
+    for kind, keys, times in ((0, *np.unique(words, return_counts=True)), (1, *np.unique(windows(words, 2), return_counts=True)), (2, there.astype(np.uint64), runs[there])):
+        if len(keys):
+            weight = 1 + np.log(times)
+            found.append(((mixed(keys + _KINDS[kind]) % np.uint64(CLASSES)).astype(np.int64), weight / np.sqrt((weight**2).sum())))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0)
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+
+@dataclass(frozen=True)
+class Texts:
+    """Measures of some texts, and their hashed words as one sparse matrix."""
+
+    dense: np.ndarray
+    row: np.ndarray
+    column: np.ndarray
+    value: np.ndarray
+
+    @classmethod
+    def of(cls, dense: list, sparse: list[tuple[np.ndarray, np.ndarray]]) -> Texts:
+        sizes = [len(x) for x, _ in sparse]
+        cat = lambda xs, kind: np.concatenate([np.empty(0, kind), *xs]).astype(kind)
+        return cls(np.array(dense, np.float64).reshape(len(sparse), -1), np.repeat(np.arange(len(sparse)), sizes), cat([x for x, _ in sparse], np.int64), cat([x for _, x in sparse], np.float64))
+
+    def __len__(self) -> int:
+        return len(self.dense)
+
+    def every(self, step: int, first: int) -> Texts:
+        own = self.row % step == first
+        return Texts(self.dense[first::step], self.row[own] // step, self.column[own], self.value[own])
+
+
 #: Quantiles of each measure, denser in the tails, where poor texts sit.
 QUANTILES = (0.005, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 0.95, 0.98, 0.995)
 EDGES = len(QUANTILES)
-L2 = 0.03
+L2, STEPS = 3e-4, 300
 
 
 @dataclass(frozen=True)
 class QualityModel:
     edges: np.ndarray  # measure x EDGES, quantiles of the texts trained on
-    weights: np.ndarray  # measure x EDGES
+    measures: np.ndarray  # weight of each edge
+    words: np.ndarray  # weight of each class
     bias: float
     prior: float
 
     def spread(self, rows: np.ndarray) -> np.ndarray:
-        """Which edges each measure reaches, as 0 or 1."""
-        return (rows[:, :, None] >= self.edges).astype(np.float64).reshape(len(rows), -1)
+        """Which edges each measure reaches, as 0 or 1, over the root of their number."""
+        return (rows[:, :, None] >= self.edges).reshape(len(rows), -1) / np.sqrt(max(1, self.edges.size))
+
+    def logit(self, texts: Texts) -> np.ndarray:
+        return self.spread(texts.dense) @ self.measures + np.bincount(texts.row, self.words[texts.column] * texts.value, len(texts)) + self.bias
 
-    def score(self, rows: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.spread(rows) @ self.weights.ravel() + self.bias, -40, 40)))
+    def score(self, texts: Texts) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.logit(texts), -40, 40)))
 
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
@@ -86,83 +143,78 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(best - 3 * np.sqrt(max(0.0, best * (1 - best)) / len(unlabelled)), 0.01, 0.99))
 
 
-def _minimise(x_p: np.ndarray, x_u: np.ndarray, prior: float, *, l2: float, steps: int = 60) -> tuple[np.ndarray, float]:
+def minimise(p: Texts, u: Texts, blank: QualityModel, prior: float, *, l2: float = L2, steps: int = STEPS) -> QualityModel:
     """Minimises the non-negative risk prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) + l2 |w|^2 with the logistic loss.
 
-    The unbiased risk is convex, as the loss of a score minus that of its opposite is linear: Newton's
-    method. Its second term estimates a risk, so no step is taken that makes it negative; there the
-    data say no more than that the unlabelled hold no further negatives.
+    R_u(-) - prior * R_p(-) estimates the risk of negatives, which is never below 0. While it is above, the step goes down the whole risk;
+    where it is below, what was fitted is noise, and the step goes up that term instead, until it is 0 again.
     """
-    x_p, x_u = np.column_stack([x_p, np.ones(len(x_p))]), np.column_stack([x_u, np.ones(len(x_u))])
-    w = np.zeros(x_p.shape[1])
-    ridge = np.append(np.full(len(w) - 1, 2 * l2), 1e-6)
-    mean_p = x_p.mean(0)
+    dense_p, dense_u = blank.spread(p.dense), blank.spread(u.dense)
+    a, w, b = np.zeros(dense_p.shape[1]), np.zeros(CLASSES), 0.0
+    square = [np.full_like(a, 1e-8), np.full_like(w, 1e-8), 1e-8]
     sigma = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-
-    def risk(w: np.ndarray) -> float:
-        unlabelled = np.logaddexp(0, x_u @ w).mean()
-        if unlabelled < prior * np.logaddexp(0, x_p @ w).mean():
-            return np.inf
-        return unlabelled - prior * (mean_p @ w) + 0.5 * ridge @ w**2
-
+    logits = lambda t, dense: dense @ a + np.bincount(t.row, w[t.column] * t.value, len(t)) + b
+    slope = lambda t, dense, e: (e @ dense, np.bincount(t.column, e[t.row] * t.value, CLASSES), e.sum())
     for _ in range(steps):
-        s = sigma(x_u @ w)
-        grad = s @ x_u / len(x_u) - prior * mean_p + ridge * w
-        step = np.linalg.solve((x_u.T * (s * (1 - s))) @ x_u / len(x_u) + np.diag(ridge + 1e-6), grad)
-        size, now = 1.0, risk(w)
-        while size > 1e-4 and risk(w - size * step) > now:
-            size /= 2
-        if size <= 1e-4:
-            break
-        w = w - size * step
-        if np.abs(size * step).max() < 1e-6:
-            break
-    return w[:-1], float(w[-1])
-
-
-def fit(positive: np.ndarray, unlabelled: np.ndarray) -> QualityModel:
+        z_p, z_u = logits(p, dense_p), logits(u, dense_u)
+        negative = np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean()
+        rise = 1.0 if negative >= 0 else -1.0
+        # slopes of the losses: of + is sigma - 1, of - is sigma
+        e_p = (prior * (sigma(z_p) - 1) if negative >= 0 else 0) - rise * prior * sigma(z_p)
+        grads = [x + y for x, y in zip(slope(p, dense_p, e_p / len(p)), slope(u, dense_u, rise * sigma(z_u) / len(u)), strict=True)]
+        grads[0], grads[1] = grads[0] + 2 * l2 * a, grads[1] + 2 * l2 * w
+        square = [s + g**2 for s, g in zip(square, grads, strict=True)]
+        a, w, b = (x - 0.5 * g / np.sqrt(s) for x, g, s in zip((a, w, b), grads, square, strict=True))
+    return QualityModel(blank.edges, a, w, float(b), prior)
+
+
+def fit(positive: Texts, unlabelled: Texts) -> QualityModel:
     """Two passes: with even odds, one half of the texts gives scores to the other, from which the class prior is
     estimated; then the non-negative risk is minimised with that prior on all."""
-    wide = positive.shape[1] if len(positive) else len(describe(""))
+    wide = len(describe(""))
     if not len(positive) or not len(unlabelled):
-        return QualityModel(np.zeros((wide, EDGES)), np.zeros((wide, EDGES)), 0.0, 0.5)
-    edges = np.quantile(np.concatenate([positive, unlabelled]), QUANTILES, axis=0).T
+        return QualityModel(np.zeros((wide, EDGES)), np.zeros(wide * EDGES), np.zeros(CLASSES), 0.0, 0.5)
+    edges = np.quantile(np.concatenate([positive.dense, unlabelled.dense]), QUANTILES, axis=0).T
     edges = edges + 1e-9 * (1 + np.abs(edges))  # a measure that most texts have exactly doesn't reach its edge
-    blank = QualityModel(edges, np.zeros((wide, EDGES)), 0.0, 0.5)
-    x_p, x_u = blank.spread(positive), blank.spread(unlabelled)
+    blank = QualityModel(edges, np.zeros(edges.size), np.zeros(CLASSES), 0.0, 0.5)
     halves = []
     for k in (0, 1):
-        if len(x_p) > 3 and len(x_u) > 3:
-            w, b = _minimise(x_p[k::2], x_u[k::2], 0.5, l2=L2)
-            halves.append((x_p[1 - k::2] @ w + b, x_u[1 - k::2] @ w + b))
+        if len(positive) > 3 and len(unlabelled) > 3:
+            half = minimise(positive.every(2, k), unlabelled.every(2, k), blank, 0.5, steps=STEPS // 2)
+            halves.append((half.logit(positive.every(2, 1 - k)), half.logit(unlabelled.every(2, 1 - k))))
     prior = float(np.mean([estimate_prior(p, u) for p, u in halves] or [0.5]))
-    w, b = _minimise(x_p, x_u, prior, l2=L2)
-    return QualityModel(edges, w.reshape(wide, EDGES), b, prior)
+    return minimise(positive, unlabelled, blank, prior)
 
 
-def _described(rows: DataFrame) -> np.ndarray:
-    """Measures of ``_text`` of a bounded number of rows, in a fixed order, at the driver."""
+def _described(rows: DataFrame) -> Texts:
+    """Measures and hashed words of ``_text`` of a bounded number of rows, in a fixed order, at the driver."""
     ready(rows.sparkSession)
 
-    @F.pandas_udf("array<double>")
-    def measured(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([describe(x) for x in texts])
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            found = [hashed(x) for x in texts]
+            columns = [pa.array([describe(x) for x in texts], pa.list_(pa.float64())), pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([x for _, x in found], pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["_order", "x", "at", "value"])
 
-    found = rows.select("_key", measured("_text").alias("x")).toPandas().sort_values("_key", kind="stable")["x"]
-    return np.array([list(x) for x in found], np.float64).reshape(len(found), len(describe("")))
+    found = rows.select("_order", "_text").mapInArrow(measured, "_order long, x array<double>, at array<int>, value array<float>").collect()
+    found.sort(key=lambda r: (r["_order"], r["x"]))
+    return Texts.of([r["x"] for r in found], [(np.array(r["at"], np.int64), np.array(r["value"])) for r in found])
 
 
 def train(docs: DataFrame, labels: DataFrame, *, positives: int = MAX_POSITIVES, unlabelled: int = MAX_UNLABELLED, key: str = "doc_id", text: str = "text") -> QualityModel:
-    """Positives are labelled 1; the unlabelled are rows whose label is never looked at. Both bounded, by the order of a hash of the key."""
-    known = labels.select(F.col(f"`{key}`").alias("_key"), "quality").where(F.col("_key").isNotNull() & ~held_out("_key")).dropDuplicates(["_key"])
+    """Positives are rows labelled 1 that aren't held out; the unlabelled are any of ``docs`` that aren't. Both bounded, by the order of a hash; a key with both labels has none."""
+    known = labels.where(F.col(f"`{key}`").isNotNull() & F.col("quality").isin(0, 1)).groupBy(F.col(f"`{key}`").alias("_key")).agg(F.min("quality").alias("_least"))
+    known = known.where(~held_out("_key") & (F.col("_least") == 1))
     order = lambda seed: F.xxhash64(F.col("_key").cast("string"), F.lit(seed))
     texts = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
-    some_p = known.where(F.col("quality") == 1).orderBy(order(3), "_key").limit(positives).select("_key")
-    some_u = known.orderBy(order(5), "_key").limit(unlabelled).select("_key")
-    p = _described(texts.join(F.broadcast(some_p), "_key"))  # both have a bounded number of keys
-    u = _described(texts.join(F.broadcast(some_u), "_key"))
-    return fit(p, u)
+    some_p = F.broadcast(known.orderBy(order(3), "_key").limit(positives).select("_key"))  # a bounded number of keys
+    p = texts.join(some_p, "_key").select(F.xxhash64("_key", "_text").alias("_order"), "_text").dropDuplicates(["_order"])  # repeated rows count once
+    rows = texts.where(~held_out("_key")).select(F.xxhash64("_key", "_text", F.lit(5)).alias("_order"), "_key")
+    edge = written(rows.orderBy("_order").limit(unlabelled).select("_order"), "unlabelled").agg(F.max("_order")).first()[0]
+    u = texts.where(~held_out("_key")).select(F.xxhash64("_key", "_text", F.lit(5)).alias("_order"), "_text")
+    u = u.where(F.col("_order") <= F.lit(edge)).dropDuplicates(["_order"]) if edge is not None else u.limit(0)
+    return fit(_described(p), _described(u))
 
 
 def score_documents(docs: DataFrame, model: QualityModel, *, text: str = "text", score: str = "score") -> DataFrame:
@@ -173,8 +225,11 @@ def score_documents(docs: DataFrame, model: QualityModel, *, text: str = "text",
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            rows = np.array([describe(x) for x in texts], np.float64).reshape(len(texts), len(describe("")))
-            yield pd.Series(held.value.score(rows) if len(rows) else [], dtype="float64")
+            out = []
+            for at in range(0, len(texts), 256):
+                part = texts.iloc[at:at + 256]
+                out.append(held.value.score(Texts.of([describe(x) for x in part], [hashed(x) for x in part])))
+            yield pd.Series(np.concatenate(out) if out else [], dtype="float64")
 
     return docs.withColumn(score, scored(F.col(f"`{text}`").cast("string")))
 

@@ -51,6 +51,57 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var x="</p>";</scri
 <aside>Side</aside><form><input><button>Go</button></form><div class="ad">Buy</div></article><section id="comments"><p>Nice post</p></section><footer>(c)</footer>"""
 
 
+def induced(pages, share=0.9, least=3):
+    """The texts of one host's pages, without Spark."""
+    template = None
+    for page in pages:
+        template = html_wrapper.merged(template, html_wrapper.page_template(html_wrapper.parse(page)))
+    sums = collections.defaultdict(lambda: [0, 0, 0, 0])
+    for page in pages:
+        top = html_wrapper.parse(page)
+        shape, parents = html_wrapper.skeleton(top)
+        nodes, texts = html_wrapper.page_counts(html_wrapper.blocks(top), html_wrapper.aligned(template, shape), parents)
+        for key, own in [*(((k, None), x) for k, x in nodes.items()), *((k, (1, n, 0, 0)) for k, n in texts.items())]:
+            sums[key] = [a + b for a, b in zip(sums[key], own, strict=True)]
+    wrapper = html_wrapper.induce(template[0], [(*k, *v) for k, v in sums.items()], share, least)
+    return [html_wrapper.main_text(page, wrapper) for page in pages]
+
+
+def untagged_page(k, prose=None):
+    """No tag or class tells what is what; each slot but the greeting varies."""
+    prose = prose or " ".join(f"word{(k * 7 + j * j) % 97}" for j in range(30 + k % 5))
+    return (
+        f"<body><div><ul><li><a href=/a{k}>Menu {k}</a></li><li><a href=/b>About</a></li></ul></div><div class=x>Hello and welcome to this fine site of ours</div>"
+        f"<div class=y{k}>Buy number {k} now, it is cheap</div><div><h1>Title {k}</h1><p>{prose}</p><div><p>Last words {k}.</p></div><p>Follow us.</p></div><div>&copy; owner {k}</div></body>"
+    ), f"Title {k}\n{prose}\nLast words {k}."
+
+
+def test_template_alone_finds_the_content_of_untagged_pages():
+    pages = [untagged_page(k) for k in range(12)] + [untagged_page(12, "Short one.")]
+    assert induced([p for p, _ in pages]) == [t for _, t in pages]
+    alone = [html_wrapper.main_text(p) for p, _ in pages]
+    assert not any(a == t for a, (_, t) in zip(alone, pages, strict=True))  # constants stay without the template
+    assert "Buy number 12 now" in alone[12]  # and a short page's content isn't told from an advert
+
+
+def test_prose_overrules_a_name_but_comments_go():
+    page = lambda k, extra="": f"<body><nav><a href=/>Home</a></nav><div class=search><h1>On search {k}</h1><p>{'Finding things is hard and worth the while. ' * (k % 3 + 2)}{k}</p></div>{extra}</body>"
+    want = [f"On search {k}\n{'Finding things is hard and worth the while. ' * (k % 3 + 2)}{k}" for k in range(6)]
+    assert induced([page(k) for k in range(6)]) == want
+    article = lambda k: f"<article><h1>T{k}</h1><p>{'Some sentence here. ' * 9}{k}</p><div class=share>Share this {k}</div></article><section id=comments><p>{f'I {k} agree. ' * 9}</p></section>"
+    assert induced([article(k) for k in range(6)]) == [f"T{k}\n{'Some sentence here. ' * 9}{k}" for k in range(6)]
+
+
+def test_templates_stay_bounded(monkeypatch):
+    monkeypatch.setattr(html_wrapper, "MAX_NODES", 30)
+    odd = lambda k: f"<body><div class=c{chr(97 + k % 26)}{chr(97 + k // 26)}><span>z</span><p>odd {k}</p></div><article><h1>T{k}</h1><p>{'Words and words. ' * 8}{k}</p><p>Same.</p></article></body>"
+    template = None
+    for k in range(200):
+        template = html_wrapper.merged(template, html_wrapper.page_template(html_wrapper.parse(odd(k))))
+        assert len(template[1]) <= 30
+    assert induced([odd(k) for k in range(200)]) == [f"T{k}\n{'Words and words. ' * 8}{k}" for k in range(200)]
+
+
 def test_main_text_of_marked_article():
     assert html_wrapper.main_text(PAGE % (1, 2)) == "Head & line 1\nFirst para goes 'on'\nSecond one 2"
     assert html_wrapper.main_text(None) == html_wrapper.main_text("") == html_wrapper.main_text("<nav>x</nav>") == ""
@@ -59,8 +110,10 @@ def test_main_text_of_marked_article():
 def test_deep_and_broken_pages_keep_their_text():
     deep = "<article>" + "<div>" * 5000 + "<p>deep text</p>" + "</div>" * 5000 + "<p>after</p></article>"
     assert html_wrapper.main_text(deep).split() == ["deep", "text", "after"]
-    template = html_wrapper.constants(html_wrapper.merged(html_wrapper.page_template(html_wrapper.parse(deep)), html_wrapper.page_template(html_wrapper.parse(PAGE % (1, 2)))), 0.9, 3)
-    assert html_wrapper.main_text(deep, template).split() == ["deep", "text", "after"]
+    assert induced([deep, PAGE % (1, 2)])[0].split() == ["deep", "text", "after"]
+    for levels in (20, 200, 3000):  # a menu goes and blocks stay apart at any depth
+        assert html_wrapper.main_text("<div>" * levels + "<nav>menu text</nav><p>body</p><p>more</p>" + "</div>" * levels) == "body\nmore"
+    assert html_wrapper.main_text("<article>" + "<b>" * 3000 + "x<p>y") == "x\ny"
     for broken in ("<", "<p", "<p><b>x", "</p>y<!--", "<script>z", "a<b c='", "&amp", "<p>" * 50 + "t"):
         assert isinstance(html_wrapper.main_text(broken), str)
     assert html_wrapper.main_text("<p>a &lt; b &amp c</p>") == "a < b & c"
@@ -250,9 +303,27 @@ def test_top_k_is_exact(spark, monkeypatch, block):
 def test_bounds_enclose_scores():
     rng = np.random.default_rng(3)
     rows, queries = np.floor(rng.normal(0, 300, (50, 6))), np.floor(rng.normal(0, 300, (9, 6)))
-    block, plus, minus = exact_topk.Lists(np.arange(50), rows), np.maximum(queries, 0), np.minimum(queries, 0)
-    for depth in (1, 10, 50):
-        assert (block.lower(plus, minus, depth) <= queries @ rows.T + 1e-6).all() and (block.upper(plus, minus, depth) >= queries @ rows.T - 1e-6).all()
+    queries[0, 2] = queries[1] = 0
+    block = exact_topk.Lists(np.arange(50), rows)
+    for query in queries:
+        for depths in (np.zeros(6, int), np.ones(6, int), np.arange(6) * 9, np.full(6, 50)):
+            upper, lower = block.bounds(query, depths, lower=True)
+            assert (lower <= rows @ query + 1e-6).all() and (upper >= rows @ query - 1e-6).all()
+        assert np.allclose(upper, rows @ query) and np.allclose(lower, rows @ query)
+
+
+def test_lists_prune_before_scores_are_resolved():
+    rng = np.random.default_rng(8)
+    rows = rng.normal(0, 1, (24_000, 64))
+    rows = np.floor(1024 * rows / np.linalg.norm(rows, axis=1)[:, None])
+    search = exact_topk.Searcher(np.arange(0, 24_000, 2000), rows[::2000], 10)
+    for at in range(0, 24_000, 4096):
+        search.read(exact_topk.Lists(np.arange(at, min(at + 4096, 24_000)), rows[at:at + 4096]))
+    for q, (scores, ids) in zip(range(0, 24_000, 2000), search.best, strict=True):
+        want = rows @ rows[q]
+        want[q] = -np.inf
+        assert scores.tolist() == sorted(want.tolist(), reverse=True)[:10] and (want[ids] == scores).all()
+    assert search.read_entries < 0.75 * search.entries and search.resolved < 0.05 * search.pairs  # the first block is read whole
 
 
 # -- 8 rules ------------------------------------------------------------------------------------------
