@@ -19,8 +19,8 @@ from gradeloom.llm.toxicity import held_out
 from gradeloom.llm.wordhash import mixed, windows, word_hashes
 
 #: At most so many positives, and so many unlabelled texts, are trained on.
-MAX_POSITIVES = 3000
-MAX_UNLABELLED = 6000
+MAX_POSITIVES = 2000
+MAX_UNLABELLED = 4000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -56,7 +56,7 @@ def describe(text: str | None) -> list[float]:
 
 
 #: Classes that words, pairs of words and runs of three bytes are hashed to.
-CLASSES = 1 << 14
+CLASSES = 1 << 11
 _KINDS = np.arange(1, 4, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of a long text that are cut into runs at a time.
 PIECE = 1 << 21
@@ -85,50 +85,49 @@ def hashed(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Texts:
-    """Measures of some texts, and their hashed words as one sparse matrix."""
+    """Measures of some texts, and the weights of their hashed words."""
 
-    dense: np.ndarray
-    row: np.ndarray
-    column: np.ndarray
-    value: np.ndarray
+    measures: np.ndarray
+    words: np.ndarray
 
     @classmethod
-    def of(cls, dense: list, sparse: list[tuple[np.ndarray, np.ndarray]]) -> Texts:
-        sizes = [len(x) for x, _ in sparse]
-        cat = lambda xs, kind: np.concatenate([np.empty(0, kind), *xs]).astype(kind)
-        return cls(np.array(dense, np.float64).reshape(len(sparse), -1), np.repeat(np.arange(len(sparse)), sizes), cat([x for x, _ in sparse], np.int64), cat([x for _, x in sparse], np.float64))
+    def of(cls, measures: list, sparse: list[tuple[np.ndarray, np.ndarray]]) -> Texts:
+        words = np.zeros((len(sparse), CLASSES), np.float32)
+        for row, (at, value) in zip(words, sparse, strict=True):
+            np.add.at(row, at, value)
+        return cls(np.array(measures, np.float64).reshape(len(sparse), -1), words)
 
     def __len__(self) -> int:
-        return len(self.dense)
+        return len(self.words)
 
     def every(self, step: int, first: int) -> Texts:
-        own = self.row % step == first
-        return Texts(self.dense[first::step], self.row[own] // step, self.column[own], self.value[own])
+        return Texts(self.measures[first::step], self.words[first::step])
 
 
 #: Quantiles of each measure, denser in the tails, where poor texts sit.
 QUANTILES = (0.005, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 0.95, 0.98, 0.995)
 EDGES = len(QUANTILES)
-L2, STEPS = 3e-4, 300
+#: Weight of an edge that is reached; ridge; steps of the fit.
+EDGE, L2, STEPS = 0.3, 3e-4, 300
 
 
 @dataclass(frozen=True)
 class QualityModel:
     edges: np.ndarray  # measure x EDGES, quantiles of the texts trained on
-    measures: np.ndarray  # weight of each edge
-    words: np.ndarray  # weight of each class
-    bias: float
+    weights: np.ndarray  # of the edges, of the classes, and the bias
     prior: float
 
-    def spread(self, rows: np.ndarray) -> np.ndarray:
-        """Which edges each measure reaches, as 0 or 1, over the root of their number."""
-        return (rows[:, :, None] >= self.edges).reshape(len(rows), -1) / np.sqrt(max(1, self.edges.size))
-
-    def logit(self, texts: Texts) -> np.ndarray:
-        return self.spread(texts.dense) @ self.measures + np.bincount(texts.row, self.words[texts.column] * texts.value, len(texts)) + self.bias
+    def spread(self, texts: Texts) -> np.ndarray:
+        """One row a text: which edges each measure reaches, hashed words, 1."""
+        reached = (texts.measures[:, :, None] >= self.edges).reshape(len(texts), -1) * np.float32(EDGE)
+        return np.concatenate([reached.astype(np.float32), texts.words, np.ones((len(texts), 1), np.float32)], 1)
 
     def score(self, texts: Texts) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logit(texts), -40, 40)))
+        return sigma(self.spread(texts) @ self.weights).astype(np.float64)
+
+
+def sigma(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
@@ -143,29 +142,25 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(best - 3 * np.sqrt(max(0.0, best * (1 - best)) / len(unlabelled)), 0.01, 0.99))
 
 
-def minimise(p: Texts, u: Texts, blank: QualityModel, prior: float, *, l2: float = L2, steps: int = STEPS) -> QualityModel:
+def minimise(x_p: np.ndarray, x_u: np.ndarray, prior: float, *, l2: float = L2, steps: int = STEPS, rate: float = 0.1) -> np.ndarray:
     """Minimises the non-negative risk prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) + l2 |w|^2 with the logistic loss.
 
     R_u(-) - prior * R_p(-) estimates the risk of negatives, which is never below 0. While it is above, the step goes down the whole risk;
-    where it is below, what was fitted is noise, and the step goes up that term instead, until it is 0 again.
+    where it is below, what was fitted is noise, and the step goes up that term instead, until it is 0 again. Steps are
+    scaled by running means of the slopes and their squares, and shrink in the second half.
     """
-    dense_p, dense_u = blank.spread(p.dense), blank.spread(u.dense)
-    a, w, b = np.zeros(dense_p.shape[1]), np.zeros(CLASSES), 0.0
-    square = [np.full_like(a, 1e-8), np.full_like(w, 1e-8), 1e-8]
-    sigma = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    logits = lambda t, dense: dense @ a + np.bincount(t.row, w[t.column] * t.value, len(t)) + b
-    slope = lambda t, dense, e: (e @ dense, np.bincount(t.column, e[t.row] * t.value, CLASSES), e.sum())
-    for _ in range(steps):
-        z_p, z_u = logits(p, dense_p), logits(u, dense_u)
+    w, mean, square = (np.zeros(x_p.shape[1]) for _ in range(3))
+    ridge = np.append(np.full(len(w) - 1, 2 * l2), 0)
+    for t in range(1, steps + 1):
+        z_p, z_u = x_p @ w.astype(np.float32), x_u @ w.astype(np.float32)
         negative = np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean()
         rise = 1.0 if negative >= 0 else -1.0
-        # slopes of the losses: of + is sigma - 1, of - is sigma
+        # slopes of the losses: of + sigma - 1, of - sigma
         e_p = (prior * (sigma(z_p) - 1) if negative >= 0 else 0) - rise * prior * sigma(z_p)
-        grads = [x + y for x, y in zip(slope(p, dense_p, e_p / len(p)), slope(u, dense_u, rise * sigma(z_u) / len(u)), strict=True)]
-        grads[0], grads[1] = grads[0] + 2 * l2 * a, grads[1] + 2 * l2 * w
-        square = [s + g**2 for s, g in zip(square, grads, strict=True)]
-        a, w, b = (x - 0.5 * g / np.sqrt(s) for x, g, s in zip((a, w, b), grads, square, strict=True))
-    return QualityModel(blank.edges, a, w, float(b), prior)
+        slope = e_p.astype(np.float32) @ x_p / len(x_p) + (rise * sigma(z_u)).astype(np.float32) @ x_u / len(x_u) + ridge * w
+        mean, square = 0.9 * mean + 0.1 * slope, 0.99 * square + 0.01 * slope**2
+        w = w - rate * min(1.0, 2 * (1 - t / steps) + 0.02) * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)
+    return w
 
 
 def fit(positive: Texts, unlabelled: Texts) -> QualityModel:
@@ -173,17 +168,18 @@ def fit(positive: Texts, unlabelled: Texts) -> QualityModel:
     estimated; then the non-negative risk is minimised with that prior on all."""
     wide = len(describe(""))
     if not len(positive) or not len(unlabelled):
-        return QualityModel(np.zeros((wide, EDGES)), np.zeros(wide * EDGES), np.zeros(CLASSES), 0.0, 0.5)
-    edges = np.quantile(np.concatenate([positive.dense, unlabelled.dense]), QUANTILES, axis=0).T
+        return QualityModel(np.zeros((wide, EDGES)), np.zeros(wide * EDGES + CLASSES + 1), 0.5)
+    edges = np.quantile(np.concatenate([positive.measures, unlabelled.measures]), QUANTILES, axis=0).T
     edges = edges + 1e-9 * (1 + np.abs(edges))  # a measure that most texts have exactly doesn't reach its edge
-    blank = QualityModel(edges, np.zeros(edges.size), np.zeros(CLASSES), 0.0, 0.5)
+    blank = QualityModel(edges, np.zeros(0), 0.5)
+    x_p, x_u = blank.spread(positive), blank.spread(unlabelled)
     halves = []
     for k in (0, 1):
-        if len(positive) > 3 and len(unlabelled) > 3:
-            half = minimise(positive.every(2, k), unlabelled.every(2, k), blank, 0.5, steps=STEPS // 2)
-            halves.append((half.logit(positive.every(2, 1 - k)), half.logit(unlabelled.every(2, 1 - k))))
+        if len(x_p) > 3 and len(x_u) > 3:
+            w = minimise(x_p[k::2], x_u[k::2], 0.5, l2=2 * L2, steps=STEPS // 2)
+            halves.append((x_p[1 - k::2] @ w, x_u[1 - k::2] @ w))
     prior = float(np.mean([estimate_prior(p, u) for p, u in halves] or [0.5]))
-    return minimise(positive, unlabelled, blank, prior)
+    return QualityModel(edges, minimise(x_p, x_u, prior), prior)
 
 
 def _described(rows: DataFrame) -> Texts:

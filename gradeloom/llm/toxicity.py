@@ -35,7 +35,7 @@ MAX_PER_CLASS = 3000
 #: Features that the classifier may use, and words that may turn out to be swapped, at most; the most telling, the most frequent.
 MAX_FEATURES, MAX_TERMS = 20_000, 20_000
 #: A word can be swapped if the clean texts have it at least this often relative to the toxic ones, both in ``MIN_TEXTS`` or more.
-LEAST_CLEAN, MIN_TEXTS, MIN_SLOTS = 0.2, 2, 2
+LEAST_CLEAN, MIN_TEXTS, MIN_SLOTS = 0.1, 2, 2
 PREFIXES = (4, 5, 6)
 _WORD = re.compile(r"[^\W\d_]+")
 

@@ -176,6 +176,24 @@ def test_counterfactual_training_evens_out_identity_terms():
     assert gap(tied) < 0.5 * gap(loose)
 
 
+def test_terms_found_in_the_texts_spare_neutral_mentions(spark):
+    rng = np.random.default_rng(3)
+    groups = [f"{x}ish" for x in ("zor", "vek", "mal", "quin")]
+    say = lambda g, k: f"the {g} people of town{k % 9} met near the {g} market and sang song{k % 11}"
+    # toxic texts mostly speak of the first group, clean ones seldom do; insults stand in slots of their own
+    rows = [(k, say(groups[0] if rng.random() < 0.8 else groups[k % 4], k) + (f" vile scum{k % 3} liar" if k % 2 else f" q{chr(97 + k % 26)}{chr(97 + k // 26)}x"), 1) for k in range(300)]
+    rows += [(1000 + k, say(groups[0] if rng.random() < 0.2 else groups[1 + k % 3], k), 0) for k in range(600)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    loose = toxicity.train(docs, labels, counterfactual=0.0)
+    tied = toxicity.train(docs, labels, counterfactual=100.0)
+    assert tied.swapped > 400 and tied.terms >= 4
+    assert "zorish" in loose.weights and tied.weights.get("zorish", 0) < 0.3 * loose.weights["zorish"]
+    neutral = [say(groups[0], k).replace("sang", "ate") for k in range(40)]
+    assert np.mean([tied.score(t) for t in neutral]) < 0.5 * np.mean([loose.score(t) for t in neutral])
+    assert all(tied.score(t) < loose.score(t) for t in neutral) and all(tied.score(f"{t} vile scum1 liar") > 0.5 for t in neutral)
+
+
 def test_toxicity_query_and_edges(spark):
     docs = documents(spark, [(k, f"calm words about weather {k}") for k in range(80)] + [(100 + k, f"you idiot moron {k}") for k in range(40)] + [(500, None), (501, ""), (None, "you idiot"), (3, "calm words about weather 3")]).selectExpr("*", "0.5 AS score", "1 AS predicted")
     labels = spark.createDataFrame([(k, 0) for k in range(80)] + [(100 + k, 1) for k in range(40)] + [(None, 1), (3, None)], "doc_id long, toxic int")
@@ -193,11 +211,31 @@ def test_toxicity_query_and_edges(spark):
 
 def test_pu_prior_and_held_out_accuracy():
     rng = np.random.default_rng(1)
-    good, bad = rng.normal(0, 1, (3000, len(pu_quality.describe("")))), rng.normal(3, 1, (3000, len(pu_quality.describe(""))))
+    wide = len(pu_quality.describe(""))
+    good, bad = rng.normal(0, 1, (3000, wide)), rng.normal(3, 1, (3000, wide))
+    as_texts = lambda rows: pu_quality.Texts(rows, np.zeros((len(rows), pu_quality.CLASSES), np.float32))
     unlabelled = np.concatenate([good[:1600], bad[:400]])
-    model = pu_quality.fit(good[1600:2600], unlabelled)
+    model = pu_quality.fit(as_texts(good[1600:2600]), as_texts(unlabelled))
     assert 0.7 < model.prior <= 0.8  # the share is 0.8; the estimate is lowered on purpose, never above it
-    assert (model.score(good[2600:]) >= 0.7).mean() > 0.95 and (model.score(bad[400:]) < 0.7).mean() > 0.95
+    assert (model.score(as_texts(good[2600:])) >= 0.7).mean() > 0.95 and (model.score(as_texts(bad[400:])) < 0.7).mean() > 0.95
+
+
+def test_quality_is_learnt_from_words_alone():
+    rng = np.random.default_rng(2)
+    say = lambda words: " ".join(f"{words}{k}" for k in rng.integers(0, 40, 50))
+    as_texts = lambda texts: pu_quality.Texts.of([[0.0] * len(pu_quality.describe("")) for _ in texts], [pu_quality.hashed(t) for t in texts])
+    good, bad = [say("lore") for _ in range(700)], [say("spam") for _ in range(300)]
+    model = pu_quality.fit(as_texts(good[:300]), as_texts(good[300:540] + bad[:60]))
+    assert (model.score(as_texts(good[540:])) >= 0.7).mean() > 0.95 and (model.score(as_texts(bad[60:])) < 0.7).mean() > 0.95
+
+
+def test_hashed_words_of_long_and_empty_texts(monkeypatch):
+    text = "".join(f"word{k} é " for k in range(500))
+    whole = pu_quality.hashed(text)
+    monkeypatch.setattr(pu_quality, "PIECE", 64)
+    pieces = pu_quality.hashed(text)
+    assert (whole[0] == pieces[0]).all() and np.allclose(whole[1], pieces[1])
+    assert len(pu_quality.hashed(None)[0]) == len(pu_quality.hashed("")[0]) == 0
 
 
 def test_quality_classifier_edges(spark):
