@@ -61,7 +61,11 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lin
     covered = covered.withColumnRenamed("_doc", "_doc2").withColumnRenamed("_sum", "_sum2")
     met = whole.join(covered, F.col("_doc").eqNullSafe(F.col("_doc2")) & (F.col("_sum") == F.col("_sum2")), "left")
     split = F.split(F.col(f"`{text}`"), "\n", -1)
-    keep = F.filter(split, lambda _, i: ~F.exists(F.col("_gone"), lambda r: i.between(r["a"], r["b"])))
+    # a mask of the lines from the sorted runs, so that a long text's lines are gone through once
+    runs = F.array_sort("_gone")
+    ends = F.concat(F.array(F.lit(-1)), F.transform(F.slice(runs, F.lit(1), F.size(runs) - 1), lambda r: r["b"]))
+    mask = F.flatten(F.zip_with(runs, ends, lambda r, end: F.concat(F.array_repeat(F.lit(True), r["a"] - end - 1), F.array_repeat(F.lit(False), r["b"] - r["a"] + 1))))
+    keep = F.filter(F.zip_with(split, mask, lambda line, stays: F.when(F.coalesce(stays, F.lit(True)), line)), lambda line: line.isNotNull())
     cut = F.when(F.col("_gone").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(keep, "\n"))
     n_lines = F.when(F.col(f"`{text}`").isNotNull(), F.size(split))
     n_removed = F.when(F.col(f"`{text}`").isNotNull(), F.coalesce(F.aggregate("_gone", F.lit(0), lambda n, r: n + r["b"] - r["a"] + 1), F.lit(0)))

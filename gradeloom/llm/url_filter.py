@@ -27,15 +27,16 @@ _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz
 
 @dataclass
 class Node:
-    """A node of the host trie or of the path trie below it."""
+    """A node of the host trie, of the path trie below it, or of the trie of characters that begin a segment."""
 
-    down: dict[str, Node] = field(default_factory=dict)  # next label or whole segment
+    down: dict[str, Node] = field(default_factory=dict)  # next label, whole segment or character
     paths: Node | None = None  # of a host node: its path trie
-    ends: list[tuple[str, str, str]] = field(default_factory=list)  # of a path node: (rest of a segment, rule, verdict)
+    starts: Node | None = None  # of a path node: the characters that the next segment may begin with
+    end: tuple[str, str] | None = None  # of a character node: (rule, verdict) that ends here
 
 
 def build_trie(rules: Iterable[tuple[str, str, str]]) -> Node:
-    """Each host goes in from its last label, each path segment by segment; what follows the last ``/`` stays as a prefix."""
+    """Each host goes in from its last label, each path segment by segment; what follows the last ``/`` goes in by characters, as a prefix."""
     root = Node()
     for verdict, host, path in rules:
         if verdict not in ("allow", "block"):
@@ -47,14 +48,21 @@ def build_trie(rules: Iterable[tuple[str, str, str]]) -> Node:
         *whole, rest = path.split("/")
         for segment in whole:
             at = at.down.setdefault(segment, Node())
-        at.ends.append((rest, host + path, verdict))
+        at.starts = at = at.starts or Node()
+        for letter in rest:
+            at = at.down.setdefault(letter, Node())
+        if at.end is None or _rank(host + path, verdict) < _rank(*at.end):
+            at.end = (host + path, verdict)
     return root
 
 
+def _rank(rule: str, verdict: str) -> tuple[int, bool, str]:
+    return -len(rule), verdict == "allow", rule
+
+
 def match(trie: Node, host: str, path: str) -> tuple[str, str] | None:
     """(rule, verdict) of the longest rule that fits; of equally long ones a block, then the smaller rule."""
-    best: tuple[int, bool, str] | None = None
-    found = None
+    best = None
     segments = path.split("/")
     at: Node | None = trie
     for label in reversed(host.split(".")):
@@ -63,16 +71,15 @@ def match(trie: Node, host: str, path: str) -> tuple[str, str] | None:
             break
         below, k = at.paths, 0
         while below is not None:
-            for rest, rule, verdict in below.ends:
-                # a rest that has no "/" can only start the next segment
-                if not rest or k < len(segments) and segments[k].startswith(rest):
-                    rank = (-len(rule), verdict == "allow", rule)
-                    if best is None or rank < best:
-                        best, found = rank, (rule, verdict)
+            letters, node = iter(segments[k] if k < len(segments) else ""), below.starts
+            while node is not None:  # what a rule has after its last "/" can only start the next segment
+                if node.end is not None and (best is None or _rank(*node.end) < _rank(*best)):
+                    best = node.end
+                node = node.down.get(next(letters, ""))
             # a whole segment is one that a "/" follows
             below = below.down.get(segments[k]) if k < len(segments) - 1 else None
             k += 1
-    return found
+    return best
 
 
 def split_url(column: str | F.Column) -> tuple[F.Column, F.Column]:

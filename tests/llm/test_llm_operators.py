@@ -158,6 +158,19 @@ def test_url_rules_both_ways(spark):
     assert url_filter.judge_urls(df.limit(0)).count() == 0
 
 
+def test_trie_matches_brute_force():
+    rng = np.random.default_rng(9)
+    pick = lambda xs, n: [xs[k] for k in rng.integers(0, len(xs), n)]
+    hosts, parts = ["com", "a.com", "b.a.com", "net"], ["", "x", "xy", "post-1", "post-12", "en"]
+    rules = list({(h, "/" + "/".join(pick(parts, int(rng.integers(1, 4))))): v for h, v in zip(pick(hosts, 60), pick(["allow", "block"], 60))}.items())
+    rules = [(v, h, p) for (h, p), v in rules] + [("block", "net", ""), ("allow", "net", "")]
+    trie = url_filter.build_trie(rules)
+    for host in (*hosts, "c.b.a.com", "xcom", ""):
+        for path in ("", "/", "/x", "/xyz/en", "/post-123/x/", "/en/post-12/xy", "//x"):
+            fits = [(-len(h + p), v == "allow", h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+            assert url_filter.match(trie, host, path) == (min(fits)[2:] if fits else None)
+
+
 def test_equal_length_rules_block_first():
     trie = url_filter.build_trie([("allow", "a.com", "/x"), ("block", "a.com", "/x")])
     assert url_filter.match(trie, "a.com", "/xy") == ("a.com/x", "block")
@@ -484,6 +497,8 @@ def test_line_windows(spark):
     got = line_dedup.dedup_lines(docs)
     assert {r.doc_id: r.text for r in got.collect()} == brute_lines(rows)
     assert {r.doc_id: r.n_removed for r in got.collect()}[2] == 4
+    long = [(1, "\n".join(f"line{k}" for k in range(4000))), (2, "\n".join(x for k in range(0, 4000, 5) for x in (f"line{k}", f"line{k + 1}", f"line{k + 2}", f"own{k}")))]
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(documents(spark, long)).collect()} == brute_lines(long)
     twice = documents(spark, [(1, "a\nb\nc"), (1, "a\nb\nc"), (None, "a\nb\nc")])
     assert sorted((r.doc_id or 0, r.text) for r in line_dedup.dedup_lines(twice).collect()) == [(0, ""), (1, "a\nb\nc"), (1, "a\nb\nc")]
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
