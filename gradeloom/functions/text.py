@@ -89,14 +89,20 @@ def last_fence(text: Column) -> Column:
     return F.when(F.size(found) > 0, F.try_element_at(found, F.lit(-1))).otherwise(text)
 
 
-def looks_finished(text: Column, sign_off: str = r"(?i)^(?:--+|—|best|all the best|(?:kind|best|warm) regards|regards|thanks|thank you|many thanks|cheers|sincerely|warmly|yours(?: truly| sincerely)?|take care|talk soon)\b") -> Column:
-    """Whether a reply reached its end: closing punctuation, a closed fence, an answer line or a sign-off."""
-    body = F.rtrim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+$", ""))
-    lines = F.filter(F.transform(F.split(body, r"\r?\n"), F.trim), lambda x: x != "")
-    last, before = F.try_element_at(lines, F.lit(-1)), F.coalesce(F.try_element_at(lines, F.lit(-2)), F.lit(""))
-    fences = F.size(F.split(body, "```")) - 1
-    count = F.size(F.split(F.coalesce(last, F.lit("")), r"\s+"))
-    answer = F.rlike(last, F.lit(r"^(?:#+\s*)?[-+]?\$?\d[\d,]*(?:\.\d+)?%?$"))
-    signed = (count <= 4) & F.rlike(last, F.lit(sign_off))
-    named = (F.size(lines) >= 2) & (count <= 3) & F.rlike(last, F.lit(r"^[\p{Lu}—-]")) & (F.endswith(before, F.lit(",")) | F.rlike(before, F.lit(sign_off)))
-    return F.when(body == "", False).when(F.endswith(body, F.lit("```")), fences % 2 == 0).otherwise(F.rlike(body, F.lit(r"[.!?…。！？][\"'”’)\]*_]*$")) | answer | signed | named)
+# How a finished reply ends.
+ENDING = r"[.!?:)\"'\]}]\s*$"
+ANSWER_LINE = r"^(?:#{2,4}\s*)?[-+]?\$?\d[\d,]*(?:\.\d+)?%?$"
+SIGN_OFF = r"(?i)^(?:--+|—|best|all the best|(?:kind|best|warm) regards|regards|thanks|thank you|many thanks|cheers|sincerely|warmly|yours(?: truly| sincerely)?|take care|talk soon)\b"
+SIGN_OFF_WORDS, NAME_WORDS = 6, 5
+
+
+def looks_finished(text: Column) -> Column:
+    """Whether a reply reached its end: closing punctuation, a closed fence, an answer line, a sign-off or a name after one."""
+    body = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+$", "")
+    lines = F.filter(F.transform(F.split(body, r"\r\n|\r|\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    last, before = F.coalesce(F.try_element_at(lines, F.lit(-1)), F.lit("")), F.coalesce(F.try_element_at(lines, F.lit(-2)), F.lit(""))
+    count = F.size(F.split(last, r"\s+"))
+    signed = (count <= SIGN_OFF_WORDS) & F.rlike(last, F.lit(SIGN_OFF))
+    named = (F.size(lines) >= 2) & (count <= NAME_WORDS) & F.rlike(last, F.lit(r"^[\p{Lu}—-]")) & (F.endswith(before, F.lit(",")) | F.rlike(before, F.lit(SIGN_OFF)))
+    fenced = F.when(F.endswith(body, F.lit("```")), (F.size(F.split(body, "```")) - 1) % 2 == 0)
+    return F.when(body == "", False).when(F.rlike(body, F.lit(ENDING)), True).otherwise(F.coalesce(fenced, F.rlike(last, F.lit(ANSWER_LINE)) | signed | named))

@@ -38,6 +38,25 @@ def pass_at(stats: DataFrame, k: int = MIN_K, *, by: tuple[str, ...] = ()) -> Da
     return out.withColumn("headroom", F.col("pass_at_k") - F.col("pass_at_1"))
 
 
+def pass_at_default(stats: DataFrame, *, min_k: int = MIN_K, unanimous_short: bool = False) -> DataFrame:
+    """``pass_at`` with k as the least n of the tasks with two rollouts or more, as the column ``k``.
+
+    Below ``min_k`` the k-way numbers are null. ``unanimous_short``: tasks of fewer than k rollouts and one
+    outcome count with that outcome (``n_imputed``); mixed short ones stay out.
+    """
+    k = stats.agg(F.min(F.when(F.col("n") >= 2, F.col("n")))).first()[0] or 1
+    able = F.col("n") >= k
+    short = ~able & ((F.col("c") == 0) | (F.col("c") == F.col("n"))) & F.lit(unanimous_short)
+    rate = F.col("c") / F.col("n")
+    shown = lambda x: F.avg(F.when(short, rate).otherwise(x)) if k >= min_k else F.lit(None).cast("double")
+    out = stats.agg(
+        F.lit(int(k)).alias("k"), F.count("*").alias("n_tasks"), F.sum("n").cast("long").alias("n_rows"),
+        F.sum(able.cast("long")).alias("n_eligible"), F.sum(short.cast("long")).alias("n_imputed"), F.avg(rate).alias("pass_at_1"),
+        shown(all_of_k(F.col("n"), F.col("c"), k)).alias("pass_pow_k"), shown(any_of_k(F.col("n"), F.col("c"), k)).alias("pass_at_k"),
+    )
+    return out.withColumn("headroom", F.col("pass_at_k") - F.col("pass_at_1"))
+
+
 def group_signal(stats: DataFrame, lo: float = BAND[0], hi: float = BAND[1]) -> DataFrame:
     """How many tasks are single, mixed, all failing, all passing and in the band, and the share of mixed ones."""
     n, c, many = F.col("n"), F.col("c"), F.col("n") >= 2

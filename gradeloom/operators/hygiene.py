@@ -23,12 +23,14 @@ def dedupe_first(rows: DataFrame, key: list[Column], order: list[str], label: st
 
 
 def is_truncated(columns: list[str], text: str = "final_text", least: int = 200) -> Column:
-    """Length-capped by stamp, said so by the verdict, or a long reply that just stops."""
-    body = F.rtrim(F.coalesce(F.col(text), F.lit("")))
+    """Length-capped by stamp (finish_reason, or a step marked truncated), said so by the verdict, or a long reply that just stops."""
+    body = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+$", "")
     found = (F.length(body) >= least) & ~looks_finished(F.col(text))
     if "reason" in columns:
         said = normalised(F.col("reason"))
         found = F.contains(said, F.lit("truncat")) | F.contains(said, F.lit("cut off")) | found
+    if "steps" in columns:
+        found = F.coalesce(F.exists("steps", lambda s: F.coalesce(s["truncated"], F.lit(False))), F.lit(False)) | found
     if "finish_reason" in columns:
         found = (F.coalesce(F.col("finish_reason"), F.lit("")) == "length") | found
     return found

@@ -5,21 +5,66 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FAIL_STATUSES = ("error", "timeout", "not_found", "denied", "malformed")
-
-
-def step_failed(result: Column) -> Column:
-    """A failing status, an error key, a non-zero exit code, or a text that opens with an error word."""
-    status = F.lower(F.get_json_object(result, "$.status"))
-    code = F.coalesce(F.get_json_object(result, "$.exit_code"), F.get_json_object(result, "$.returncode")).try_cast("int")
-    opens = F.rlike(result, F.lit(r"(?i)^\s*(error|exception|traceback|failed|fatal)\b"))
-    return F.coalesce(status.isin(*FAIL_STATUSES), F.lit(False)) | F.get_json_object(result, "$.error").isNotNull() | F.coalesce(code != 0, F.lit(False)) | F.coalesce(opens, F.lit(False))
+# Statuses and words of failure, and what a tool's name and arguments say about its kind.
+FAIL_STATUSES = ("error", "failed", "failure", "timeout", "permission_denied", "denied", "not_found", "rejected", "unknown_tool")
+FAIL_TEXT = r"(?i)^\s*(error|traceback|failed|denied|timeout|exception)\b"
+KINDS = ("read", "write", "delete", "command")
+KIND_BY_NAME = (
+    ("delete", r"(?i)delete|remove|\brm\b|unlink|drop"),
+    ("command", r"(?i)run|exec|shell|bash|command|terminal|subprocess|sh$"),
+    ("write", r"(?i)write|edit|create|save|put|patch|replace|append|update_file|insert"),
+    ("read", r"(?i)read|cat|open|view|get_file|show|load|list"),
+)
+PATH_KEYS = ("path", "file_path", "filepath", "file", "filename", "target", "target_file")
+CONTENT_KEYS = ("content", "contents", "new_string", "new_str", "text", "data", "body", "code")
+COMMAND_KEYS = ("command", "cmd", "script", "shell")
+
+
+def step_failed(result: Column, failed: Column | None = None, error: Column | None = None) -> Column:
+    """A flag or error of the step's own, else a result (JSON or text) with a failing status, an error, an exit code other than 0, or an error word at its start.
+
+    Of exit_code, returncode and code the first that is there counts, if it is a whole number.
+    """
+    key = lambda k: F.get_json_object(result, f"$.{k}")
+    status = F.lower(F.coalesce(key("status"), F.lit("")))
+    code = F.coalesce(key("exit_code"), key("returncode"), key("code"))
+    exits = F.when(F.rlike(code, F.lit(r"^-?\d+$")), code.try_cast("long") != 0)
+    wrong = ~F.coalesce(key("error"), F.lit("")).isin("", "false", "0", "null", "[]", "{}")
+    found = status.isin(*FAIL_STATUSES) | wrong | F.coalesce(exits, F.lit(False)) | F.coalesce(F.rlike(result, F.lit(FAIL_TEXT)), F.lit(False))
+    if failed is not None:
+        found = F.coalesce(failed, F.lit(False)) | found
+    if error is not None:
+        found = F.coalesce(error != "", F.lit(False)) | found
+    return found
+
+
+def _argument(arguments: Column, keys: tuple[str, ...]) -> Column:
+    """The first of the keys that holds a text other than blanks."""
+    texts = [F.get_json_object(arguments, f"$.{k}") for k in keys]
+    return F.coalesce(*(F.when(F.trim(t) != "", t) for t in texts))
+
+
+def step_kind(tool: Column, arguments: Column | None = None, kinds: dict[str, str] | None = None) -> Column:
+    """What a call did: read, write, delete, command, or null for none of them.
+
+    ``kinds`` settles tools by name; one that isn't a known kind is none. Else the arguments decide first (a command
+    is a command, a path with content a write) and the name breaks the tie.
+    """
+    by_name = F.coalesce(*(F.when(F.rlike(tool, F.lit(p)), k) for k, p in KIND_BY_NAME), F.lit(None).cast("string"))
+    has = lambda keys: _argument(arguments, keys).isNotNull() if arguments is not None else F.lit(False)
+    path = has(PATH_KEYS)
+    found = (
+        F.when(has(COMMAND_KEYS) & (by_name.isNull() | (by_name == "command")), "command").when((by_name == "delete") & path, "delete").when(path & has(CONTENT_KEYS), "write")
+        .when(by_name.isin("write", "delete", "command"), by_name).when(path, "read").otherwise(by_name)
+    )
+    for name, kind in (kinds or {}).items():
+        found = F.when(tool == name, F.lit(kind if kind in KINDS else None).cast("string")).otherwise(found)
+    return found
 
 
-def step_kind(tool: Column) -> Column:
-    """What a tool does by its name: delete, write, command, read or none of them."""
-    has = lambda p: F.rlike(tool, F.lit(f"(?i){p}"))
-    return F.when(has("delete|remove|drop"), "delete").when(has("write|edit|create|update|save|patch"), "write").when(has("bash|shell|exec|run|command|terminal"), "command").when(has("read|open|view|cat|list|get"), "read")
+def called(tool: Column, arguments: Column, result: Column, kinds: dict[str, str] | None = None) -> Column:
+    """A call as the flags read it: struct of kind, command, path, content, failed."""
+    return F.struct(step_kind(tool, arguments, kinds).alias("kind"), _argument(arguments, COMMAND_KEYS).alias("command"), _argument(arguments, PATH_KEYS).alias("path"), _argument(arguments, CONTENT_KEYS).alias("content"), step_failed(result).alias("failed"))
 
 
 def tool_arguments(calls: DataFrame, *, tool: str = "tool", arguments: str = "arguments") -> DataFrame:

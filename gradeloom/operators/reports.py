@@ -49,21 +49,39 @@ def scan_diff(before: DataFrame, after: DataFrame, floor: float) -> DataFrame:
     return met.select("feature", b.alias("before"), a.alias("after"), (a - b).alias("shift"), F.when((b < floor) & (a >= floor), "gained").when((b >= floor) & (a < floor), "lost").otherwise("same").alias("change"))
 
 
-def signature(steps: str, final: str) -> Column:
-    """Twelve hex digits that rows of equal behaviour share: tools with the provenance and outcome of each call, a refusal bit, a length bucket.
+def _tuple(items: Column) -> Column:
+    """An array of texts as a tuple is written: one element keeps its comma."""
+    return F.concat(F.lit("("), F.array_join(items, ", "), F.when(F.size(items) == 1, ",").otherwise(""), F.lit(")"))
 
-    A call's arguments are user (in the prompt), derived (in an earlier result) or invented.
+
+def signature(steps: str, final: str, prompt: str = "prompt") -> Column:
+    """Twelve hex digits that rows of equal behaviour share: tools with the provenance of each argument and the status of each call, a refusal bit, a length bucket.
+
+    ``steps``: array of struct of tool, arguments (map) and result (JSON text). An argument's value, trimmed and in lower
+    case, is user (in the prompt), derived (in an earlier result), invented, or absent where empty. A refusal is a reply with
+    can't, cannot, unable or won't anywhere; the bucket is the number of words over 12, 12 at most. Steps without a tool don't count.
     """
-    walked = F.aggregate(
-        F.col(steps), F.struct(F.col("prompt").alias("prior"), F.lit("").alias("said")),
-        lambda s, x: F.struct(
-            F.concat_ws(" ", s["prior"], x["result"]).alias("prior"),
-            F.concat(s["said"], x["tool"], F.lit("/"), F.when(F.contains(F.coalesce(F.col("prompt"), F.lit("")), x["argument"]), "user").when(F.contains(s["prior"], x["argument"]), "derived").otherwise("invented"), F.lit("/"), F.coalesce(x["status"], F.lit("ok")), F.lit(";")).alias("said"),
-        ),
-    )["said"]
-    refused = F.rlike(F.coalesce(F.col(final), F.lit("")), F.lit(r"(?i)\bi (?:can't|cannot|won't)\b"))
-    length = F.least(F.lit(12), F.floor(F.size(F.split(F.trim(F.coalesce(F.col(final), F.lit(""))), r"\s+")) / 12))
-    return F.substring(F.sha2(F.concat_ws("|", walked, refused.cast("string"), length.cast("string")), 256), 1, 12)
+    ask = F.lower(F.coalesce(F.col(prompt), F.lit("")))
+    quoted = lambda x: F.concat(F.lit("'"), F.coalesce(x, F.lit("")), F.lit("'"))
+
+    def origin(value: Column, prior: Column) -> Column:
+        text = F.lower(F.trim(F.coalesce(value, F.lit(""))))
+        return F.when(text == "", "absent").when(F.contains(ask, text), "user").when(F.contains(prior, text), "derived").otherwise("invented")
+
+    def walk(s: Column, x: Column) -> Column:
+        origins = F.transform(F.array_sort(F.map_entries(x["arguments"])), lambda e: F.concat(F.lit("("), quoted(e["key"]), F.lit(", "), quoted(origin(e["value"], s["prior"])), F.lit(")")))
+        origins = F.coalesce(origins, F.array().cast("array<string>"))
+        call = F.concat(F.lit("("), quoted(x["tool"]), F.lit(", "), _tuple(origins), F.lit(", "), quoted(F.get_json_object(x["result"], "$.status")), F.lit(")"))
+        return F.struct(F.concat(s["prior"], F.lower(F.coalesce(x["result"], F.lit("null")))).alias("prior"), F.concat(s["said"], F.array(call)).alias("said"))
+
+    calls = F.filter(F.coalesce(F.col(steps), F.filter(F.col(steps), lambda _: F.lit(False))), lambda x: F.coalesce(x["tool"] != "", F.lit(False)))
+    said = F.aggregate(calls, F.struct(F.lit("").alias("prior"), F.array().cast("array<string>").alias("said")), walk)["said"]
+    reply = F.lower(F.coalesce(F.col(final), F.lit("")))
+    refused = F.contains(reply, F.lit("can't")) | F.contains(reply, F.lit("cannot")) | F.contains(reply, F.lit("unable")) | F.contains(reply, F.lit("won't"))
+    words = F.size(F.filter(F.split(reply, r"\s+"), lambda w: w != ""))
+    length = F.least(F.lit(12), F.floor(words / 12).cast("int"))
+    payload = F.concat(F.lit("("), _tuple(F.coalesce(said, F.array().cast("array<string>"))), F.lit(", "), F.when(refused, "True").otherwise("False"), F.lit(", "), length.cast("string"), F.lit(")"))
+    return F.substring(F.sha2(payload, 256), 1, 12)
 
 
 def build_tasks(stats: DataFrame, *, task: str = "task_id", holdout: float = 0.2, lo: float = 0.2, hi: float = 0.8) -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions.keys import stable_key
 
-MIN_MARGIN = 0.5
+MIN_MARGIN = 1.0
+#: Chosen is longer in this share of so many pairs, or in all of so few: a length confound.
+CONFOUND_PAIRS, CONFOUND_SHARE, CONFOUND_ALL = 8, 0.75, 3
 
 
 def best_per_prompt(rows: DataFrame, *, prompt: str, reward: str, signature: str, order: list[str], min_reward: float = 1.0, k: int = 1) -> DataFrame:
@@ -56,6 +58,32 @@ def preference_pairs(rows: DataFrame, *, task: str, score: str, length: str, key
     return out.select(task, "chosen", F.col(key).alias("rejected"), (F.col("chosen_score") - F.col(score)).alias("margin"), "chosen_length", F.col(length).alias("rejected_length"))
 
 
+def preference_sets(rows: DataFrame, *, task: str, score: str, length: str, key: str, order: list[str], pairs: int = 1, min_margin: float = MIN_MARGIN) -> DataFrame:
+    """Up to ``pairs`` pairs a task, with ``pair`` from 1: each round takes the best row that isn't used yet and the one closest to it in length.
+
+    A round that finds nothing for a task ends it there, as lower rows have fewer rows below them still.
+    """
+    if min_margin <= 0:
+        raise ValueError("equal scores carry no preference")
+    left, out = rows.where(F.col(score).between(0, 1)), None
+    for k in range(1, pairs + 1):
+        made = preference_pairs(left, task=task, score=score, length=length, key=key, order=order, min_margin=min_margin).withColumn("pair", F.lit(k))
+        out = made if out is None else out.unionByName(made)
+        if k < pairs:
+            used = made.select(task, F.explode(F.array("chosen", "rejected")).alias(key))
+            left = left.join(used, [task, key], "left_anti")
+    return out
+
+
+def length_confound(pairs: DataFrame) -> DataFrame:
+    """(n, chosen_longer, confounded): whether a trainer would learn length before behaviour."""
+    longer = F.sum((F.col("chosen_length") > F.col("rejected_length")).cast("long"))
+    out = pairs.agg(F.count("*").alias("n"), F.coalesce(longer, F.lit(0)).alias("chosen_longer"))
+    share = F.try_divide("chosen_longer", "n")
+    often = ((F.col("n") >= CONFOUND_PAIRS) & (share >= CONFOUND_SHARE)) | ((F.col("n") >= CONFOUND_ALL) & (F.col("chosen_longer") == F.col("n")))
+    return out.withColumn("confounded", F.coalesce(often, F.lit(False)))
+
+
 def spread_by(rows: DataFrame, value: Column, order: list[str]) -> DataFrame:
     """Round-robin over ascending distinct values: lap and value give the order."""
     out = rows.withColumn("value", F.round(value, 4))

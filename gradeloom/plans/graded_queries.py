@@ -22,6 +22,11 @@ def pass_at_k(spark, sf):
     return rounded(groups.pass_at(stats(spark, sf)))
 
 
+def pass_at_least_k(spark, sf):
+    """k isn't given: the least number of rollouts of a task that has two or more; short tasks of one outcome count as if they stayed so."""
+    return rounded(groups.pass_at_default(stats(spark, sf), min_k=2, unanimous_short=True))
+
+
 def pass_at_k_by_arm(spark, sf):
     return rounded(groups.pass_at(groups.task_stats(graded(spark, sf), by=("arm",)), by=("arm",)))
 
@@ -148,12 +153,16 @@ _COMPARE = "count(ma - mb) AS n_shared, CAST(sum(CASE WHEN ma IS NULL THEN 1 ELS
 _HASH = "CAST('0x' || substr(md5({0}), 1, 8) AS BIGINT)"
 
 QUERIES = {f.__name__: f for f in (
-    pass_at_k, pass_at_k_by_arm, group_signal, task_pass_rates, trim_unanimous, trim_out_of_band, retire_solved, curriculum_tiers, group_stamps, calibration, next_round, metric_summary,
+    pass_at_k, pass_at_least_k, pass_at_k_by_arm, group_signal, task_pass_rates, trim_unanimous, trim_out_of_band, retire_solved, curriculum_tiers, group_stamps, calibration, next_round, metric_summary,
     compare_runs, compare_metrics, bootstrap_interval, sign_flip_test, eval_variance, pooled_run_std, compare_by_slice, harness_shares, balanced_rollouts, holdout_split, keys_of_rows, retry_success, headroom_by_priority,
 )}
 
 ORACLES = {
     "pass_at_k": f"WITH {STATS_SQL} SELECT {_PASS} FROM stats",
+    "pass_at_least_k": f"""WITH {STATS_SQL}, k AS (SELECT coalesce(min(n) FILTER (WHERE n >= 2), 1) AS k FROM stats), p AS (SELECT n, c, k, n >= k AS able, n < k AND (c = 0 OR c = n) AS short FROM stats, k),
+        v AS (SELECT n, c, able, short, CASE WHEN able THEN list_product(list_transform(range(k), lambda i: greatest(c - i, 0) / (n - i)::DOUBLE)) WHEN short THEN c / n::DOUBLE END AS pow, CASE WHEN able THEN 1 - list_product(list_transform(range(k), lambda i: greatest(n - c - i, 0) / (n - i)::DOUBLE)) WHEN short THEN c / n::DOUBLE END AS least_one FROM p)
+        SELECT (SELECT CAST(k AS INTEGER) FROM k) AS k, count(*) AS n_tasks, CAST(sum(n) AS BIGINT) AS n_rows, count(*) FILTER (WHERE able) AS n_eligible, count(*) FILTER (WHERE short) AS n_imputed, round(avg(c / n::DOUBLE), 6) AS pass_at_1,
+          round(avg(pow), 6) AS pass_pow_k, round(avg(least_one), 6) AS pass_at_k, round(avg(least_one) - avg(c / n::DOUBLE), 6) AS headroom FROM v""",
     "pass_at_k_by_arm": f"WITH {GRADED_SQL}, stats AS (SELECT arm, task_id, count(*) AS n, CAST(sum(reward) AS BIGINT) AS c FROM graded GROUP BY arm, task_id) SELECT arm, {_PASS} FROM stats GROUP BY arm",
     "group_signal": f"""WITH {STATS_SQL}, k AS (SELECT CAST(count(*) FILTER (WHERE n = 1) AS BIGINT) AS single, count(*) FILTER (WHERE n >= 2 AND c > 0 AND c < n) AS mixed, count(*) FILTER (WHERE n >= 2 AND c = 0) AS all_0,
         count(*) FILTER (WHERE n >= 2 AND c = n) AS all_1, count(*) FILTER (WHERE n >= 2 AND c > 0 AND c < n AND c / n::DOUBLE BETWEEN 0.2 AND 0.8) AS in_band, count(*) FILTER (WHERE n >= 2) AS multi FROM stats)
@@ -166,7 +175,7 @@ ORACLES = {
         t AS (SELECT *, row_number() OVER (PARTITION BY state ORDER BY r DESC, task_id) - 1 AS k, count(*) OVER (PARTITION BY state) AS total FROM s)
         SELECT task_id, round(r, 6) AS pass_rate, state, CASE WHEN state = 'trainable' THEN CAST(least(2, floor(k / (total / 3.0::DOUBLE))) AS INTEGER) END AS tier FROM t""",
     "group_stamps": f"WITH {GRADED_SQL} SELECT task_id, substr(sha1(CAST(task_id AS VARCHAR)), 1, 12) AS group_id, count(*) AS group_k, count(*) FILTER (WHERE reward < 0.5) AS group_n0, count(*) FILTER (WHERE reward > 0.5) AS group_n1, round(avg(reward), 6) AS group_mean, round(stddev_pop(reward), 6) AS group_std FROM graded GROUP BY task_id",
-    "calibration": f"WITH {STATS_SQL} SELECT o_orderkey AS task_id, o_orderstatus, n, round(c / n::DOUBLE, 6) AS pass_rate, {_WILSON} FROM orders LEFT JOIN stats ON task_id = o_orderkey",
+    "calibration": f"WITH {STATS_SQL}, w AS (SELECT task_id, n, round(c / n::DOUBLE, 6) AS pass_rate, {_WILSON} FROM stats) SELECT o_orderkey AS task_id, o_orderstatus, n, pass_rate, ci_lo, ci_hi FROM orders LEFT JOIN w ON task_id = o_orderkey",
     "next_round": f"WITH {STATS_SQL}, w AS (SELECT o_orderkey AS task_id, CASE WHEN n IS NULL THEN 'unknown' WHEN c / n::DOUBLE > 0.8 THEN 'solved' WHEN c / n::DOUBLE < 0.2 THEN 'unsolved' ELSE 'in_band' END AS why FROM (SELECT DISTINCT o_orderkey FROM orders) LEFT JOIN stats ON task_id = o_orderkey) SELECT *, why IN ('unknown', 'in_band') AS kept FROM w",
     "metric_summary": f"""WITH {GRADED_SQL}, t AS (SELECT arm, task_id, unnest(['reward', 'cheap', 'big', 'score']) AS metric, unnest([avg(reward), avg(cheap), avg(big), avg(score)]) AS v, count(*) AS k FROM graded GROUP BY arm, task_id)
         SELECT arm, metric, round(avg(v), 6) AS mean, count(*) AS n_tasks, CAST(sum(k) AS BIGINT) AS n_rows FROM t GROUP BY arm, metric""",

@@ -21,9 +21,26 @@ def row_problems(spark, sf):
 
 
 def loaded_traces(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.lit(" ")).otherwise(F.substring("text", 1, 20)).alias("prompt"), F.when(F.col("doc_id") % 3 == 0, F.lit("q")).alias("question"), F.when(F.col("doc_id") % 5 == 0, F.lit("r")).alias("response"), F.when(F.col("doc_id") % 4 == 0, 0.5).otherwise(1.0).alias("reward"))
+    k, none = F.col("doc_id"), F.lit(None).cast("string")
+    call = F.array(F.struct(none.alias("user"), none.alias("text"), F.lit("find").alias("tool"), F.lit("{}").alias("arguments"), none.alias("result")))
+    d = table(spark, sf, "documents").select("doc_id", F.when(k % 2 == 0, F.lit("")).otherwise(F.col("text")).alias("prompt"), F.when(k % 3 == 0, F.lit("q")).alias("question"), F.when(k % 5 == 0, F.lit("r")).alias("response"), F.when(k % 4 == 0, 0.5).otherwise(1.0).alias("reward"), F.when(k % 4 == 0, call).alias("tool_trace"))
     out = R.load_traces(d)
-    return out.agg(F.count("*").alias("n"), F.count("reward").alias("graded"), F.sum((F.col("prompt") == "q").cast("long")).alias("by_alias"), F.count("final_text").alias("replies"))
+    return out.agg(F.count("*").alias("n"), F.count("reward").alias("graded"), F.sum((F.col("prompt") == "q").cast("long")).alias("by_alias"), F.sum((F.col("final_text") != "").cast("long")).alias("replies"), F.sum(F.size("steps")).cast("long").alias("steps"))
+
+
+def message_steps(spark, sf):
+    """Chats with a tool call in every agent turn and answers by id, by name or in order."""
+    c = table(spark, sf, "conversations").where("role IN ('user', 'assistant')")
+    none, turn = F.lit(None).cast("string"), F.col("turn")
+    calls = F.array(F.struct(turn.cast("string").alias("id"), F.lit("find").alias("name"), F.lit("{}").alias("arguments")))
+    message = lambda part, role, content, name, call_id, calls: F.struct(turn.alias("turn"), "text", F.lit(part).alias("part"), role.alias("role"), content.alias("content"), name.alias("name"), call_id.alias("tool_call_id"), calls.alias("tool_calls"))
+    own = message(0, F.col("role"), F.col("text"), none, none, F.when(F.col("role") == "assistant", calls))
+    answer = message(1, F.lit("tool"), F.lit('{"status": "ok"}'), F.when(turn % 3 == 1, "find"), F.when(turn % 3 == 2, turn.cast("string")), F.filter(calls, lambda _: F.lit(False)))
+    each = c.select("conv_id", F.explode(F.when((F.col("role") == "assistant") & (turn % 5 != 4), F.array(own, answer)).otherwise(F.array(own))).alias("m"))
+    chats = each.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("messages"))  # a conversation's turns
+    steps = chats.select("conv_id", R.steps_from_messages("messages").alias("s"))
+    n = lambda test: F.size(F.filter("s", test))
+    return steps.select("conv_id", F.size("s").alias("steps"), n(lambda x: x["user"].isNotNull()).alias("asked"), n(lambda x: x["text"].isNotNull()).alias("said"), n(lambda x: x["tool"].isNotNull()).alias("calls"), n(lambda x: x["result"].isNotNull()).alias("answered"))
 
 
 def bound_tool_results(spark, sf):
@@ -93,20 +110,35 @@ def comparison_self_check(spark, sf):
 
 def _trajectories(spark, sf):
     o = table(spark, sf, "orders")
-    k = F.col("o_orderkey")
-    step = lambda kind, command, path, content, failed: F.struct(F.lit(kind).alias("kind"), command.alias("command"), path.alias("path"), content.alias("content"), failed.alias("failed"))
-    none = F.lit(None).cast("string")
+    k, none = F.col("o_orderkey"), F.lit(None).cast("string")
+    fault = lambda test: F.when(test, '{"status": "denied"}').otherwise('{"status": "ok"}')
+    command = F.when(k % 2 == 0, F.lit("pytest -q || true")).when(k % 3 == 0, F.lit("rm -rf build")).otherwise(F.lit("ls"))
+    path = F.when(k % 7 == 0, F.lit("tests/test_a.py")).otherwise(F.lit("src/a.py"))
     steps = F.array(
-        step("command", F.when(k % 2 == 0, F.lit("pytest -q || true")).when(k % 3 == 0, F.lit("rm -rf build")).otherwise(F.lit("ls")), none, none, k % 5 == 0),
-        step("write", none, F.when(k % 7 == 0, F.lit("tests/test_a.py")).otherwise(F.lit("src/a.py")), F.when(k % 11 == 0, F.lit("x = 1  # noqa")).otherwise(F.lit("x = 1")), k % 13 == 0),
+        mining.called(F.lit("bash"), F.to_json(F.struct(command.alias("cmd"))), fault(k % 5 == 0)),
+        mining.called(F.lit("str_replace_editor"), F.to_json(F.struct(path.alias("path"), F.when(k % 11 == 0, F.lit("x = 1  # noqa")).otherwise(F.lit("x = 1")).alias("new_string"))), fault(k % 13 == 0)),
     )
     final = F.when(k % 4 == 0, F.lit("All tests pass now.")).when(k % 4 == 1, F.lit("I fixed it. The tests will pass once merged.")).otherwise(F.lit("I checked it."))
-    return o.select("o_orderkey", F.when(k % 17 == 0, F.array().cast("array<struct<kind:string,command:string,path:string,content:string,failed:boolean>>")).otherwise(steps).alias("steps"), final.alias("final_text"))
+    return o.select("o_orderkey", F.when(k % 17 == 0, F.filter(steps, lambda _: F.lit(False))).otherwise(steps).alias("steps"), final.alias("final_text"), F.when(k % 3 == 0, none.cast("double")).otherwise((k % 2).cast("double")).alias("reward"))
 
 
 def trace_flag_counts(spark, sf):
     found = flags.trace_flags("steps", "final_text")
-    return _trajectories(spark, sf).agg(*(F.sum(c.cast("long")).alias(k.replace(".", "_")) for k, c in found.items()), *(F.round(F.avg(c), 6).alias(k) for k, c in flags.family_markers(found).items()))
+    return _trajectories(spark, sf).agg(*(F.sum(c.cast("long")).alias(k.replace(".", "_")) for k, c in found.items()), *(F.round(F.avg(c), 6).alias(k) for k, c in flags.trace_markers(found).items()))
+
+
+def trace_flag_report(spark, sf):
+    rows = _trajectories(spark, sf)
+    out = flags.flag_report(rows, flags.trace_flags("steps", "final_text"), reward="reward", evidence="o_orderkey")
+    return rounded(out.select("flag", "n", "rate", "reward_corr", "flagged", F.array_join(F.col("examples").cast("array<string>"), ",").alias("examples")))
+
+
+def step_kinds(spark, sf):
+    calls = (("run_command", '{"command": "ls"}'), ("write_file", '{"path": "a.py", "content": "x"}'), ("read_file", '{"path": "a.py"}'), ("delete_file", '{"path": "a.py"}'), ("str_replace_editor", '{"path": "a.py", "new_string": "y"}'), ("lookup_order", '{"order_id": "ORD-1"}'), ("bash", '{"cmd": "pytest"}'), ("search", '{"q": " ", "cmd": " "}'))
+    k = F.col("event_id") % len(calls)
+    pick = lambda j: F.element_at(F.array(*(F.lit(c[j]) for c in calls)), (k + 1).cast("int"))
+    e = table(spark, sf, "events").select(mining.step_kind(pick(0), pick(1)).alias("kind"), mining.step_kind(pick(0), pick(1), {"lookup_order": "read", "bash": "odd"}).alias("named"))
+    return e.groupBy("kind", "named").agg(F.count("*").alias("n"))
 
 
 def turn_taking_scores(spark, sf):
@@ -116,24 +148,33 @@ def turn_taking_scores(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    trace_flag_counts, turn_taking_scores, row_shapes, row_problems, loaded_traces, bound_tool_results, training_export, exported_calls, traced_arguments, failed_steps, result_exemplars, trace_regions, grounded_arguments, missing_copies, evaluation_power, saturation_fit, comparison_self_check,
+    trace_flag_counts, trace_flag_report, step_kinds, message_steps, turn_taking_scores, row_shapes, row_problems, loaded_traces, bound_tool_results, training_export, exported_calls, traced_arguments, failed_steps, result_exemplars, trace_regions, grounded_arguments, missing_copies, evaluation_power, saturation_fit, comparison_self_check,
 )}
 
+_CLEAN = lambda x: f"round(avg(CASE WHEN {x} THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 6)"
+_FLAGGED = """o AS (SELECT o_orderkey AS k, o_orderkey % 17 = 0 AS bare FROM orders), f AS (SELECT k, bare,
+          (k % 4 = 0) AND (bare OR k % 2 <> 0 OR k % 5 = 0) AS a, bare AND k % 4 IN (2, 3) AS b, bare AND k % 4 = 1 AS c, NOT bare AND k % 13 = 0 AS d,
+          NOT bare AND k % 2 = 0 AS e, NOT bare AND k % 7 = 0 AS g, false AS h, NOT bare AND k % 11 = 0 AS i, NOT bare AND k % 2 <> 0 AND k % 3 = 0 AS j, false AS l FROM o)"""
 _FAILED = "(event_type = 'error' OR event_id % 6 IN (0, 1))"
 ORACLES = {
-    "trace_flag_counts": """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 17 = 0 AS bare FROM orders), f AS (SELECT k, bare,
-          (k % 4 = 0) AND (bare OR k % 2 <> 0 OR k % 5 = 0) AS a, bare AND k % 4 IN (2, 3) AS b, bare AND k % 4 = 1 AS c, NOT bare AND k % 13 = 0 AS d,
-          NOT bare AND k % 2 = 0 AS e, NOT bare AND k % 7 = 0 AS g, false AS h, NOT bare AND k % 11 = 0 AS i, NOT bare AND k % 2 <> 0 AND k % 3 = 0 AS j, false AS l FROM o)
+    "trace_flag_counts": f"""WITH {_FLAGGED}
         SELECT count(*) FILTER (WHERE a) AS lie_tests_claimed, count(*) FILTER (WHERE b) AS lie_unverified_claim, count(*) FILTER (WHERE c) AS lie_phantom_edit, count(*) FILTER (WHERE d) AS lie_ignored_failure, count(*) FILTER (WHERE e) AS hack_bypassed,
           count(*) FILTER (WHERE g) AS hack_test_edited, count(*) FILTER (WHERE h) AS hack_test_weakened, count(*) FILTER (WHERE i) AS hack_suppressed, count(*) FILTER (WHERE j) AS risk_destructive, count(*) FILTER (WHERE l) AS risk_secrets,
-          round(avg(CASE WHEN a OR b OR c OR d THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 6) AS no_lie, round(avg(CASE WHEN e OR g OR h OR i THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 6) AS no_hack, round(avg(CASE WHEN j OR l THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 6) AS no_risk FROM f""",
+          {_CLEAN('a OR b OR c')} AS honest_claims, {_CLEAN('d')} AS reported_failure, {_CLEAN('g OR h')} AS no_test_tampering, {_CLEAN('i')} AS no_suppression, {_CLEAN('e')} AS no_bypass, {_CLEAN('j')} AS no_destructive, {_CLEAN('l')} AS no_secrets FROM f""",
+    "trace_flag_report": f"""WITH {_FLAGGED}, w AS (SELECT k, CASE WHEN k % 3 <> 0 THEN (k % 2)::DOUBLE END AS r, unnest(['lie.tests_claimed', 'lie.unverified_claim', 'lie.phantom_edit', 'lie.ignored_failure', 'hack.bypassed', 'hack.test_edited', 'hack.test_weakened', 'hack.suppressed', 'risk.destructive', 'risk.secrets']) AS flag,
+          unnest([a, b, c, d, e, g, h, i, j, l]) AS fired FROM f), x AS (SELECT *, fired::INT::DOUBLE AS v FROM w),
+        s AS (SELECT flag, count(*) FILTER (WHERE fired) AS n, avg(v) AS rate, count(r)::DOUBLE AS m, coalesce(sum(v) FILTER (WHERE r IS NOT NULL), 0) AS sx, coalesce(sum(r), 0) AS sy, coalesce(sum(v * v) FILTER (WHERE r IS NOT NULL), 0) AS sxx, coalesce(sum(r * r), 0) AS syy, coalesce(sum(v * r), 0) AS sxy FROM x GROUP BY flag),
+        z AS (SELECT *, CASE WHEN m >= 3 AND m*sxx-sx*sx > 1e-12 AND m*syy-sy*sy > 1e-12 THEN (m*sxy-sx*sy)/sqrt((m*sxx-sx*sx)*(m*syy-sy*sy)) END AS corr FROM s), p AS (SELECT flag, array_to_string(list_sort(list(k))[1:3], ',') AS examples FROM (SELECT DISTINCT flag, k FROM w WHERE fired) GROUP BY flag)
+        SELECT z.flag, n, round(rate, 6) AS rate, round(corr, 6) AS reward_corr, coalesce(corr >= 0.3, false) AS flagged, examples FROM z LEFT JOIN p ON z.flag = p.flag""",
+    "step_kinds": "WITH c AS (SELECT (event_id % 8) + 1 AS i FROM events) SELECT (['command', 'write', 'read', 'delete', 'write', NULL, 'command', NULL])[i] AS kind, (['command', 'write', 'read', 'delete', 'write', 'read', NULL, NULL])[i] AS named, count(*) AS n FROM c GROUP BY 1, 2",
+    "message_steps": "SELECT conv_id, CAST(count(*) FILTER (WHERE role = 'user') + 2 * count(*) FILTER (WHERE role = 'assistant') - count(*) FILTER (WHERE role = 'assistant' AND text = '') AS INTEGER) AS steps, CAST(count(*) FILTER (WHERE role = 'user') AS INTEGER) AS asked, CAST(count(*) FILTER (WHERE role = 'assistant' AND text <> '') AS INTEGER) AS said, CAST(count(*) FILTER (WHERE role = 'assistant') AS INTEGER) AS calls, CAST(count(*) FILTER (WHERE role = 'assistant' AND turn % 5 <> 4) AS INTEGER) AS answered FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id",
     "turn_taking_scores": """WITH c AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM conversations WHERE role <> 'system'),
         g AS (SELECT conv_id, arg_min(role, i) AS f, arg_max(role, i) AS l, count(*) FILTER (WHERE role = 'user') AS u, count(*) FILTER (WHERE role = 'assistant') AS a, bool_or(role = 'assistant' AND before = 'assistant') AS sa, bool_or(role = 'user' AND before = 'user') AS su FROM c GROUP BY conv_id),
         s AS (SELECT CASE WHEN g.conv_id IS NULL THEN 0.0::DOUBLE WHEN f <> 'user' THEN 0.2 WHEN sa THEN 0.0 WHEN u = 1 AND a >= 4 THEN 0.0 WHEN a = 0 THEN 0.1 WHEN su THEN 0.3 WHEN l = 'user' THEN 0.4 WHEN u >= 2 AND a >= 2 THEN 1.0 ELSE 0.7 END AS score FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN g ON k.conv_id = g.conv_id)
         SELECT score, count(*) AS n FROM s GROUP BY score""",
     "row_shapes": "SELECT CASE WHEN doc_id % 5 = 0 THEN 'v1' WHEN doc_id % 7 = 0 THEN 'hf_flat' WHEN doc_id % 3 = 0 THEN 'engine' WHEN doc_id % 2 = 0 THEN 'otel' ELSE 'loose' END AS shape, count(*) AS n FROM documents GROUP BY 1",
     "row_problems": "SELECT problem, count(*) AS n FROM (SELECT 'unknown_schema_version' AS problem FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT 'reward_not_number' FROM documents WHERE doc_id % 4 = 0 UNION ALL SELECT 'chosen_missing' FROM documents WHERE doc_id % 3 = 0) GROUP BY problem",
-    "loaded_traces": "WITH d AS (SELECT CASE WHEN doc_id % 2 <> 0 AND trim(substr(text, 1, 20), ' ') <> '' THEN trim(substr(text, 1, 20), ' ') WHEN doc_id % 3 = 0 THEN 'q' END AS p, CASE WHEN doc_id % 5 = 0 THEN 'r' END AS f, CASE WHEN doc_id % 4 <> 0 THEN 1.0 END AS r FROM documents) SELECT count(*) AS n, count(r) AS graded, count(*) FILTER (WHERE p = 'q') AS by_alias, count(f) AS replies FROM d WHERE p IS NOT NULL OR f IS NOT NULL",
+    "loaded_traces": "WITH d AS (SELECT doc_id AS k, CASE WHEN doc_id % 2 <> 0 AND text <> '' THEN text WHEN doc_id % 3 = 0 THEN 'q' ELSE '' END AS p FROM documents) SELECT count(*) AS n, count(*) FILTER (WHERE k % 4 <> 0) AS graded, count(*) FILTER (WHERE p = 'q') AS by_alias, count(*) FILTER (WHERE k % 5 = 0) AS replies, count(*) FILTER (WHERE k % 4 = 0) AS steps FROM d WHERE p <> '' OR k % 4 = 0",
     "bound_tool_results": "WITH g AS (SELECT CAST(event_id % 3 AS VARCHAR) AS tool, count(*) FILTER (WHERE event_type = 'click') AS c, count(*) FILTER (WHERE event_type = 'view') AS r FROM events WHERE event_type IN ('click', 'view') GROUP BY user_id, 1) SELECT tool, CAST(sum(greatest(c, r)) AS BIGINT) AS steps, CAST(sum(c) AS BIGINT) AS calls, CAST(sum(r) AS BIGINT) AS results, CAST(sum(least(c, r)) AS BIGINT) AS \"both\" FROM g GROUP BY tool",
     "training_export": """WITH c AS (SELECT conv_id, list(role ORDER BY turn, role, text) AS r FROM conversations GROUP BY conv_id), s AS (SELECT conv_id, CASE WHEN list_contains(r, 'system') THEN r ELSE list_concat(['system'], r) END AS r FROM c),
         p AS (SELECT conv_id, r, coalesce(list_max(list_filter(range(1, len(r) + 1), lambda i: r[i] = 'assistant')), 0) AS l FROM s) SELECT conv_id, CAST(len(r) AS INTEGER) AS n_messages, r[1] AS first_role, array_to_string(list_transform(range(1, len(r) + 1), lambda i: CASE WHEN i = l THEN 1 ELSE 0 END), '') AS mask FROM p""",

@@ -117,7 +117,7 @@ def phrase_counts(spark, sf):
 
 
 def think_split(spark, sf):
-    d = docs(spark, sf).select("doc_id", F.concat(F.when(F.col("doc_id") % 3 == 0, F.lit("<think>a b</think>")).otherwise(F.lit("")), F.substring("text", 1, 40), F.when(F.col("doc_id") % 5 == 0, F.lit("<think>open tail")).otherwise(F.lit(""))).alias("said"))
+    d = docs(spark, sf).select("doc_id", F.concat(F.when(F.col("doc_id") % 3 == 0, F.lit("<think>a b</think>")).otherwise(F.lit("")), F.col("text"), F.when(F.col("doc_id") % 5 == 0, F.lit("<think>open tail")).otherwise(F.lit(""))).alias("said"))
     spoken, blocks, tail = split_reasoning(F.col("said"))
     return d.select("doc_id", F.length(spoken).alias("spoken_chars"), F.size(blocks).alias("closed_blocks"), tail.isNotNull().alias("unclosed"))
 
@@ -134,19 +134,6 @@ def bigram_counts(spark, sf):
     return chat.select("conv_id", "turn", F.size(bigrams(words(F.col("text")))).alias("bigrams"), F.size(ngrams(words(F.col("text")), 8)).alias("grams8"))
 
 
-def drop_reasons(spark, sf):
-    d = docs(spark, sf).join(table(spark, sf, "labels").dropDuplicates(["doc_id"]), "doc_id", "left")
-    body = F.trim("text")
-    why = F.when((F.col("quality") == 0) & (F.col("source") == "src1"), "kept_verified_zero").when((body == "") | (F.length(body) < 80), "incomplete_junk").when(F.col("quality").isNull() & (F.col("lang") == "de"), "do_nothing").when(F.col("quality").isNull(), "unusable_label").otherwise("kept")
-    return d.groupBy(why.alias("why")).agg(F.count("*").alias("n"))
-
-
-def truncated_rows(spark, sf):
-    d = docs(spark, sf).select("doc_id", "lang", F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 300)).otherwise(F.col("text")).alias("final_text"))
-    cut = (F.length(F.rtrim("final_text")) >= 200) & ~F.rlike(F.rtrim("final_text"), F.lit(r"[.!?]$"))
-    return d.groupBy("lang").agg(F.sum(cut.cast("long")).alias("cut"), F.count("*").alias("n"))
-
-
 def numbers_in_text(spark, sf):
     return rounded(docs(spark, sf).select("doc_id", last_number(F.col("text")).alias("answer")))
 
@@ -203,9 +190,18 @@ def preference_pairs(spark, sf):
     return selecting.preference_pairs(rollouts(spark, sf), task="task_id", score="reward", length="reply_length", key="rollout_index", order=["rollout_index"])
 
 
+def preference_sets(spark, sf):
+    """Two pairs a task."""
+    return selecting.preference_sets(rollouts(spark, sf), task="task_id", score="reward", length="reply_length", key="rollout_index", order=["rollout_index"], pairs=2)
+
+
+def length_confound(spark, sf):
+    return selecting.length_confound(preference_sets(spark, sf))
+
+
 def spread_order(spark, sf):
     s = graded(spark, sf).groupBy("task_id").agg(F.avg("reward").alias("rate"))
-    return selecting.spread_by(s, F.col("rate"), ["task_id"]).where("lap <= 50").select("task_id", "value", "lap")
+    return selecting.spread_by(s, F.col("rate"), ["task_id"]).select("task_id", "value", "lap")
 
 
 def balanced_sampling(spark, sf):
@@ -216,7 +212,7 @@ def balanced_sampling(spark, sf):
 def shaped_advantages(spark, sf):
     rows = selecting.rank_factors(rollouts(spark, sf), group="task_id", score="score")
     out = selecting.redistribute(rows, group="task_id", reward="reward", factor="factor")
-    return rounded(out.select("task_id", "rollout_index", "factor", "advantage"))
+    return rounded(out.select("task_id", "rollout_index", "factor", (F.col("advantage") + 1e-10).alias("advantage")))  # off the ties of rounding
 
 
 def pairwise_coverage(spark, sf):
@@ -246,10 +242,15 @@ _CALLS = "SELECT event_type || '_' || (user_id % 7) AS tool, count(*) AS calls,
 _VOTES = f"{_LAB}, votes AS (SELECT doc_id AS row_key, unnest(['ann', 'bob', 'cyd']) AS annotator, unnest([quality, 1 - toxic, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE quality END]) AS label FROM lab)"
 _UNIT = "list_transform({0}, lambda x: x::DOUBLE)"
 
+_ROUND = lambda rows: f"""(SELECT task_id, chosen, rejected, margin, chosen_length, rejected_length FROM (SELECT r.task_id, b.rollout_index AS chosen, r.rollout_index AS rejected, b.reward - r.reward AS margin, b.reply_length AS chosen_length, r.reply_length AS rejected_length,
+        row_number() OVER (PARTITION BY r.task_id ORDER BY abs(r.reply_length - b.reply_length), r.reward DESC, r.rollout_index) AS k FROM {rows} r JOIN (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY reward DESC, rollout_index) AS k FROM {rows}) b ON r.task_id = b.task_id AND b.k = 1 WHERE b.reward - r.reward >= 1) WHERE k = 1)"""
+_SETS = f"""{ROLLOUTS_SQL}, one AS {_ROUND('rollouts')}, rest AS (SELECT r.* FROM rollouts r LEFT JOIN one ON r.task_id = one.task_id WHERE one.task_id IS NULL OR r.rollout_index NOT IN (chosen, rejected)), two AS {_ROUND('rest')},
+  sets AS (SELECT *, 1 AS pair FROM one UNION ALL SELECT *, 2 FROM two)"""
+
 QUERIES = {f.__name__: f for f in (
     duplicate_rows, near_duplicate_prompts, length_report, reward_correlations, tool_outcomes, dead_tools, dataset_counts, decontam_exact, decontam_ngrams, decontam_same_task, leaky_rows, nearest_source, quoted_secret,
-    style_report, stock_marker_rates, refusal_report, phrase_counts, think_split, vocabulary, bigram_counts, drop_reasons, truncated_rows, numbers_in_text, judge_agreement, judge_ranking, length_sensitivity, annotator_agreement,
-    attached_labels, sft_selection, rl_selection, preference_pairs, spread_order, balanced_sampling, shaped_advantages, pairwise_coverage,
+    style_report, stock_marker_rates, refusal_report, phrase_counts, think_split, vocabulary, bigram_counts, numbers_in_text, judge_agreement, judge_ranking, length_sensitivity, annotator_agreement,
+    attached_labels, sft_selection, rl_selection, preference_pairs, preference_sets, length_confound, spread_order, balanced_sampling, shaped_advantages, pairwise_coverage,
 )}
 
 ORACLES = {
@@ -284,12 +285,9 @@ ORACLES = {
     "refusal_report": f"""WITH d AS (SELECT lang, CASE WHEN doc_id % 4 = 0 THEN text || ' I cannot assist with that.' ELSE text END AS said FROM documents), s AS (SELECT lang, count(*) AS n, count(*) FILTER (WHERE {_PHRASE('said', T.REFUSAL)}) AS c FROM d GROUP BY lang)
         SELECT lang, n, c AS refused, round(c / n::DOUBLE, 6) AS rate, round(greatest(0.0, ((c/n::DOUBLE) + 3.8416/(2*n)) / (1 + 3.8416/n) - 1.96*sqrt((c/n::DOUBLE)*(1-c/n::DOUBLE)/n + 3.8416/(4.0*n*n)) / (1 + 3.8416/n)), 6) AS ci_lo, round(least(1.0, ((c/n::DOUBLE) + 3.8416/(2*n)) / (1 + 3.8416/n) + 1.96*sqrt((c/n::DOUBLE)*(1-c/n::DOUBLE)/n + 3.8416/(4.0*n*n)) / (1 + 3.8416/n)), 6) AS ci_hi FROM s""",
     "phrase_counts": "WITH d AS (SELECT lower(CASE WHEN doc_id % 3 = 0 THEN text || ' It depends. Keep in mind that generally speaking.' ELSE text END) AS said FROM documents), p AS (SELECT unnest([" + ", ".join("'" + p.replace("'", "''") + "'" for p in T.HEDGING) + "]) AS phrase) SELECT phrase, count(*) AS hits FROM d JOIN p ON contains(said, phrase) GROUP BY phrase",
-    "think_split": """SELECT doc_id, CAST(length(trim(substr(text, 1, 40), ' ')) AS INTEGER) AS spoken_chars, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS closed_blocks, doc_id % 5 = 0 AS unclosed FROM documents""",
+    "think_split": """SELECT doc_id, CAST(length(trim(text, ' ')) AS INTEGER) AS spoken_chars, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS closed_blocks, doc_id % 5 = 0 AS unclosed FROM documents""",
     "vocabulary": f"WITH w AS (SELECT unnest(list_distinct({_W.format('text')})) AS term FROM documents), f AS (SELECT term, count(*) AS df FROM w GROUP BY term) SELECT term, df FROM f WHERE df >= 20 AND df < (SELECT count(*) FROM documents) ORDER BY df DESC, term LIMIT 200",
     "bigram_counts": f"WITH c AS (SELECT conv_id, turn, {_W.format('text')} AS w FROM conversations WHERE role = 'user') SELECT conv_id, turn, CAST(CASE WHEN len(w) = 1 THEN 1 WHEN len(w) = 0 THEN 0 ELSE len(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) END AS INTEGER) AS bigrams, CAST(greatest(len(w) - 7, 0) AS INTEGER) AS grams8 FROM c",
-    "drop_reasons": f"""WITH {_LAB}, d AS (SELECT CASE WHEN quality = 0 AND source = 'src1' THEN 'kept_verified_zero' WHEN trim(text, ' ') = '' OR length(trim(text, ' ')) < 80 THEN 'incomplete_junk' WHEN quality IS NULL AND lang = 'de' THEN 'do_nothing' WHEN quality IS NULL THEN 'unusable_label' ELSE 'kept' END AS why
-        FROM documents d LEFT JOIN lab ON d.doc_id = lab.doc_id) SELECT why, count(*) AS n FROM d GROUP BY why""",
-    "truncated_rows": "WITH d AS (SELECT lang, rtrim(CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 300) ELSE text END, ' ') AS t FROM documents) SELECT lang, count(*) FILTER (WHERE length(t) >= 200 AND NOT regexp_matches(t, '[.!?]$')) AS cut, count(*) AS n FROM d GROUP BY lang",
     "numbers_in_text": r"WITH d AS (SELECT doc_id, list_last(regexp_extract_all(text, '-?\$?\d[\d,]*(?:\.\d+)?%?')) AS x FROM documents), y AS (SELECT doc_id, x, try_cast(regexp_replace(x, '[$,%]', '', 'g') AS DOUBLE) AS v FROM d) SELECT doc_id, round(CASE WHEN ends_with(x, '%') THEN v / 100 ELSE v END, 6) AS answer FROM y",
     "judge_agreement": f"WITH {_JUDGED}, c AS (SELECT {_CONF} FROM (SELECT varied AS j, gold AS g FROM judged)), p AS (SELECT {_PE} FROM c), m AS (SELECT tp, fp, fn, tn, {_MORE} FROM p) SELECT tp, fp, fn, tn, {_SIX} FROM m",
     "judge_ranking": f"""WITH {_JUDGED}, l AS (SELECT gold AS g, unnest(['varied', 'long', 'civil']) AS judge, unnest([varied, long, civil]) AS j FROM judged), c AS (SELECT judge, {_CONF} FROM l GROUP BY judge), p AS (SELECT {_PE} FROM c), m AS (SELECT judge, tp, fp, fn, tn, {_MORE} FROM p),
@@ -312,11 +310,13 @@ ORACLES = {
     "preference_pairs": f"""WITH {ROLLOUTS_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY reward DESC, rollout_index) AS k FROM rollouts), m AS (SELECT r.task_id, b.rollout_index AS chosen, r.rollout_index AS rejected, b.reward - r.reward AS margin, b.reply_length AS chosen_length, r.reply_length AS rejected_length,
         row_number() OVER (PARTITION BY r.task_id ORDER BY abs(r.reply_length - b.reply_length), r.reward DESC, r.rollout_index) AS k FROM rollouts r JOIN b ON r.task_id = b.task_id AND b.k = 1 WHERE b.reward - r.reward >= 0.5)
         SELECT task_id, CAST(chosen AS INTEGER) AS chosen, CAST(rejected AS INTEGER) AS rejected, margin, chosen_length, rejected_length FROM m WHERE k = 1""",
-    "spread_order": f"WITH {GRADED_SQL}, s AS (SELECT task_id, round(avg(reward), 4) AS value FROM graded GROUP BY task_id), l AS (SELECT *, row_number() OVER (PARTITION BY value ORDER BY task_id) AS lap FROM s) SELECT task_id, value, CAST(lap AS INTEGER) AS lap FROM l WHERE lap <= 50",
+    "preference_sets": f"WITH {_SETS} SELECT task_id, CAST(chosen AS INTEGER) AS chosen, CAST(rejected AS INTEGER) AS rejected, margin, chosen_length, rejected_length, pair FROM sets",
+    "length_confound": f"WITH {_SETS}, c AS (SELECT count(*) AS n, count(*) FILTER (WHERE chosen_length > rejected_length) AS chosen_longer FROM sets) SELECT n, chosen_longer, coalesce((n >= 8 AND chosen_longer / n::DOUBLE >= 0.75) OR (n >= 3 AND n = chosen_longer), false) AS confounded FROM c",
+    "spread_order": f"WITH {GRADED_SQL}, s AS (SELECT task_id, round(avg(reward), 4) AS value FROM graded GROUP BY task_id), l AS (SELECT *, row_number() OVER (PARTITION BY value ORDER BY task_id) AS lap FROM s) SELECT task_id, value, CAST(lap AS INTEGER) AS lap FROM l",
     "balanced_sampling": f"""WITH {ROLLOUTS_SQL}, w AS (SELECT *, avg(reward) OVER (PARTITION BY task_id) AS pool, sum(reward) OVER (PARTITION BY task_id) AS np, count(*) OVER (PARTITION BY task_id) AS n, row_number() OVER (PARTITION BY task_id, reward ORDER BY rollout_index) AS k FROM rollouts)
         SELECT task_id, CAST(rollout_index AS INTEGER) AS rollout_index, reward, round(pool, 6) AS pool_rate, round(reward - pool, 6) AS advantage FROM w WHERE CASE WHEN reward = 1 THEN k <= least(np, greatest(2, 4 - (n - np))) ELSE k <= least(n - np, 4 - least(np, 2)) END""",
     "shaped_advantages": f"""WITH {ROLLOUTS_SQL}, f AS (SELECT *, count(*) OVER (PARTITION BY task_id) AS n, rank() OVER (PARTITION BY task_id ORDER BY score DESC) - 1 + (count(*) OVER (PARTITION BY task_id, score) - 1) / 2.0::DOUBLE AS k, reward - avg(reward) OVER (PARTITION BY task_id) AS a FROM rollouts),
         g AS (SELECT *, CASE WHEN n > 1 THEN 1 - 0.5 * k / (n - 1) ELSE 1.0 END AS factor FROM f), h AS (SELECT *, sum(CASE WHEN reward >= 0.5 THEN a END) OVER (PARTITION BY task_id) AS t, sum(CASE WHEN reward >= 0.5 THEN a * factor END) OVER (PARTITION BY task_id) AS s FROM g),
-        b AS (SELECT *, CASE WHEN reward >= 0.5 AND s <> 0 THEN least(t / s, 3.0::DOUBLE) * factor * a ELSE a END AS b FROM h) SELECT task_id, CAST(rollout_index AS INTEGER) AS rollout_index, round(factor, 6) AS factor, round(b - avg(b) OVER (PARTITION BY task_id), 6) AS advantage FROM b""",
+        b AS (SELECT *, CASE WHEN reward >= 0.5 AND s <> 0 THEN least(t / s, 3.0::DOUBLE) * factor * a ELSE a END AS b FROM h) SELECT task_id, CAST(rollout_index AS INTEGER) AS rollout_index, round(factor, 6) AS factor, round(b - avg(b) OVER (PARTITION BY task_id) + 1e-10, 6) AS advantage FROM b""",
     "pairwise_coverage": "WITH o AS (SELECT DISTINCT o_orderpriority, o_orderstatus FROM orders), p AS (SELECT * FROM (SELECT DISTINCT o_orderpriority FROM orders), (SELECT DISTINCT o_orderstatus FROM orders)), s AS (SELECT count(*) AS k FROM o WHERE o_orderstatus <> 'P' OR o_orderpriority <> '1-URGENT') SELECT count(*) AS planned, (SELECT k FROM s) AS observed, round((SELECT k FROM s) / count(*)::DOUBLE, 6) AS share FROM p",
 }

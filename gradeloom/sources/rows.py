@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Ordered spellings of the same thing in trace exports; the first that is filled wins.
-PROMPT_KEYS = ("prompt", "question", "input", "query", "instruction")
-FINAL_KEYS = ("final_text", "response", "completion", "output", "answer")
+# Ordered spellings of the same thing in trace exports; the first that is filled wins.
+PROMPT_KEYS = ("prompt", "question", "input", "task", "ask")
+STEP_KEYS = ("steps", "tool_trace", "trace")
+FINAL_KEYS = ("final_text", "final", "output", "response", "answer")
 VERSION = "1"
 
 
@@ -25,7 +26,7 @@ def write_jsonl(rows: DataFrame, path: str, *, files: int | None = None) -> None
 
 
 def first_filled(columns: list[str], names: tuple[str, ...]) -> Column:
-    there = [F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in names if c in columns]
+    there = [F.nullif(F.col(c).cast("string"), F.lit("")) for c in names if c in columns]
     return F.coalesce(*there) if there else F.lit(None).cast("string")
 
 
@@ -61,13 +62,63 @@ def problems(columns: list[str], kind: str = "rollout") -> Column:
     return F.array_compact(F.array(*codes)) if codes else F.array().cast("array<string>")
 
 
+#: A step of a trajectory: what the user said, what the agent said, or a tool call with its result.
+STEP = "struct<user:string,text:string,tool:string,arguments:string,result:string>"
+
+
+def steps_from_messages(messages: str) -> Column:
+    """Steps of chat messages (array of struct of role, content, name, tool_call_id and tool_calls: array of struct of id, name, arguments).
+
+    A user's message is a step, an agent's message its calls and then its text. A tool's answer goes to the call of its id,
+    else to the first call of its name without a result, else to the first call without one; an answer that no call asked for is a step
+    of its own. The walk is a fold over one conversation's messages.
+    """
+    none = F.lit(None).cast("string")
+    step = lambda user, text, tool, arguments, result, call: F.struct(user.alias("user"), text.alias("text"), tool.alias("tool"), arguments.alias("arguments"), result.alias("result"), call.alias("call"))
+    kind = STEP.replace(">", ",call:string>")
+    empty = F.array().cast(f"array<{kind}>")
+    filled = lambda x: F.coalesce(x, F.lit("")) != ""
+
+    def answer(done: Column, m: Column) -> Column:
+        free = lambda x: x["tool"].isNotNull() & x["result"].isNull()
+        first = lambda test: F.array_position(F.transform(done, lambda x: F.coalesce(free(x) & test(x), F.lit(False))), True)
+        by_id = F.when(filled(m["tool_call_id"]), first(lambda x: x["call"] == m["tool_call_id"])).otherwise(0)
+        by_name = F.when(filled(m["name"]), first(lambda x: x["tool"] == m["name"])).otherwise(0)
+        at = F.coalesce(F.nullif(by_id, F.lit(0)), F.nullif(by_name, F.lit(0)), first(lambda _: F.lit(True)))
+        content = F.coalesce(m["content"], F.lit(""))
+        own = step(none, none, F.coalesce(m["name"], F.lit("")), F.lit("{}"), content, none)
+        put = F.transform(done, lambda x, i: F.when(i + 1 == at, step(x["user"], x["text"], x["tool"], x["arguments"], content, x["call"])).otherwise(x))
+        return F.when(at > 0, put).otherwise(F.concat(done, F.array(own)))
+
+    def walk(done: Column, m: Column) -> Column:
+        calls = F.coalesce(F.transform(m["tool_calls"], lambda c: step(none, none, F.coalesce(c["name"], F.lit("")), F.coalesce(c["arguments"], F.lit("{}")), none, F.nullif(c["id"], F.lit("")))), empty)
+        said = F.when(filled(m["content"]), F.array(step(none, m["content"], none, none, none, none))).otherwise(empty)
+        return (
+            F.when(m["role"] == "user", F.concat(done, F.array(step(F.coalesce(m["content"], F.lit("")), none, none, none, none, none))))
+            .when(m["role"] == "assistant", F.concat(done, calls, said)).when(m["role"] == "tool", answer(done, m)).otherwise(done)
+        )
+
+    walked = F.aggregate(F.coalesce(F.col(messages), F.filter(F.col(messages), lambda _: F.lit(False))), empty, walk)
+    return F.transform(walked, lambda x: F.struct(*(x[c].alias(c) for c in ("user", "text", "tool", "arguments", "result"))))
+
+
 def load_traces(rows: DataFrame) -> DataFrame:
-    """prompt, final_text and reward (only exactly 0 or 1) whatever they were called; rows with neither ask nor reply go."""
+    """prompt, steps, final_text and reward, whatever they were called; every other column is carried.
+
+    Steps are the first of ``STEP_KEYS`` that holds any (arrays of ``STEP``), else those of ``messages``. Without a prompt the first
+    user step asks; without a reply the last agent step is it. A reward other than 0 or 1 is null. Rows with neither ask nor steps go.
+    """
     columns = rows.columns
     reward = F.col("reward").cast("string").try_cast("double") if "reward" in columns else F.lit(None).cast("double")
-    rest = [c for c in columns if c not in (*PROMPT_KEYS, *FINAL_KEYS, "reward")]
-    out = rows.select(*rest, first_filled(columns, PROMPT_KEYS).alias("prompt"), first_filled(columns, FINAL_KEYS).alias("final_text"), F.when(reward.isin(0.0, 1.0), reward).alias("reward"))
-    return out.where("prompt IS NOT NULL OR final_text IS NOT NULL")
+    empty = F.array().cast(f"array<{STEP}>")
+    held = [F.when(F.size(c) > 0, F.col(c).cast(f"array<{STEP}>")) for c in STEP_KEYS if c in columns]
+    steps = F.coalesce(*held, *([steps_from_messages("messages")] if "messages" in columns else []), empty)
+    rest = [F.col(f"`{c}`") for c in columns if c not in (*PROMPT_KEYS, *STEP_KEYS, *FINAL_KEYS, "reward")]
+    out = rows.select(*rest, first_filled(columns, PROMPT_KEYS).alias("prompt"), steps.alias("steps"), first_filled(columns, FINAL_KEYS).alias("final_text"), F.when(reward.isin(0.0, 1.0), reward).alias("reward"))
+    asked = F.try_element_at(F.filter("steps", lambda s: s["user"].isNotNull()), F.lit(1))["user"]
+    said = F.try_element_at(F.filter("steps", lambda s: s["text"].isNotNull()), F.lit(-1))["text"]
+    out = out.withColumn("prompt", F.coalesce("prompt", asked, F.lit(""))).withColumn("final_text", F.coalesce("final_text", said, F.lit("")))
+    return out.where((F.col("prompt") != "") | (F.size("steps") > 0))
 
 
 def bind_tool_results(calls: DataFrame, results: DataFrame) -> DataFrame:

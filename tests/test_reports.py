@@ -10,10 +10,15 @@ def test_settings_are_constant_or_mixed(spark):
 
 
 def test_equal_behaviour_shares_a_signature(spark):
-    schema = "prompt string, steps array<struct<tool:string,argument:string,result:string,status:string>>, final_text string"
-    rows = [("about x", [("f", "x", "id1", "ok"), ("g", "id1", "", None)], "done"), ("about y", [("f", "y", "id2", "ok"), ("g", "id2", "", None)], "fine"), ("about y", [("f", "z", "id2", "ok"), ("g", "id2", "", None)], "fine"), ("about y", [("f", "y", "id2", "ok"), ("g", "id2", "", None)], "I cannot")]
-    a, b, c, d = (r[0] for r in spark.createDataFrame(rows, schema).select(reports.signature("steps", "final_text")).collect())
-    assert a == b and len({a, c, d}) == 3
+    schema = "prompt string, steps array<struct<tool:string,arguments:map<string,string>,result:string>>, final_text string"
+    found = lambda x, y="id1", final="done", status="ok", prompt="about x": (prompt, [("f", {"q": x}, f'{{"id": "id1", "status": "{status}"}}'), ("g", {"k": y, "a": " "}, None)], final)
+    rows = [found("x"), found("y", prompt="about y", final="fine"), found("z"), found("x", final="I can't do that."), found("x", y="id9"), found("x", status="not_found"), found("x", final="w " * 30)]
+    a, b, *others = (r[0] for r in spark.createDataFrame(rows, schema).select(reports.signature("steps", "final_text")).collect())
+    assert a == b and len({a, *others}) == 6 and len(a) == 12
+    import hashlib
+
+    payload = ((("f", (("q", "user"),), "ok"), ("g", (("a", "absent"), ("k", "derived")), "")), False, 0)
+    assert a == hashlib.sha256(repr(payload).encode()).hexdigest()[:12]
 
 
 def test_pseudo_production_takes_whole_tasks_and_all_flaws(spark):
