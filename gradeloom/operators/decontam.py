@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.functions.text import ngrams, normalised, words
+from gradeloom.operators.blocks import MAX_BLOCK, against
 
 NGRAM, OVERLAP, SIMILARITY = 8, 0.8, 0.85
 
@@ -44,20 +46,23 @@ def unit(vector: str):
     return F.transform(F.col(vector), lambda x: F.when(length > 0, x.cast("double") / length).otherwise(0.0))
 
 
-def best_cosine(rows: DataFrame, sources: DataFrame, *, key: str, vector: str, source_key: str, source_vector: str, max_broadcast_rows: int = 50_000) -> DataFrame:
-    """(key, source_key, cosine): the nearest source of every row, ties to the smaller key.
+def best_cosine(rows: DataFrame, sources: DataFrame, *, key: str, vector: str, source_key: str, source_vector: str, max_block: int = MAX_BLOCK) -> DataFrame:
+    """(key, source_key, cosine): the nearest source of every row, ties (to twelve places) to the smaller key.
 
-    A stated set of sources against all rows: blocks of sources are broadcast while there are at most
-    ``max_broadcast_rows`` of them, else they are joined block by block on a block id. Zero vectors have cosine 0.
+    A stated set of sources against all rows, by matrix products of Arrow batches with blocks of sources (see
+    ``blocks.against``). Each row leaves a block with one candidate. Zero vectors have cosine 0; keys are whole numbers.
     """
-    left = rows.select(F.col(key).alias("_k"), unit(vector).alias("_v"))
-    right = sources.select(F.col(source_key).alias("_s"), unit(source_vector).alias("_w"))
-    blocks = -(-sources.count() // max_broadcast_rows)
-    right = right.withColumn("_b", F.pmod(F.xxhash64("_s"), F.lit(max(1, blocks))))
-    left = left.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, blocks) - 1).cast("long"))))
-    met = left.join(F.broadcast(right) if blocks <= 1 else right, "_b").select("_k", "_s", dot("_v", "_w").alias("c"))
-    best = met.groupBy("_k").agg(F.max(F.struct("c", (-F.col("_s")).alias("s"))).alias("b"))
-    return best.select(F.col("_k").alias(key), (-F.col("b.s")).alias(source_key), F.col("b.c").alias("cosine"))
+
+    def emit(products: np.ndarray, own: list, other: list) -> dict:
+        if not products.shape[1]:
+            return {"_k": np.empty(0, np.int64), "_s": np.empty(0, np.int64), "c": np.empty(0)}
+        best = np.round(products, 12).argmax(1)  # others are in the order of their keys
+        return {"_k": own[0].astype(np.int64), "_s": other[0][best].astype(np.int64), "c": products[np.arange(len(best)), best]}
+
+    met = against(rows.select(key, vector), sources.select(source_key, source_vector), emit, "_k long, _s long, c double", max_block=max_block)
+    best = met.groupBy("_k").agg(F.max(F.struct(F.round("c", 12), (-F.col("_s")).alias("s"), "c")).alias("b"))
+    kind = lambda df, c: df.schema[c].dataType
+    return best.select(F.col("_k").cast(kind(rows, key)).alias(key), (-F.col("b.s")).cast(kind(sources, source_key)).alias(source_key), F.col("b.c").alias("cosine"))
 
 
 def contained(rows: DataFrame, needles: str, text: str, least: int = 12):

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeloom.operators.decontam import dot, unit
+from gradeloom.operators.blocks import MAX_BLOCK, against
+from gradeloom.operators.decontam import unit
 
 
 def cluster_step(points: DataFrame, centres: DataFrame, *, key: str, vector: str, centre: str = "centre") -> tuple[DataFrame, DataFrame]:
@@ -22,44 +24,47 @@ def cluster_step(points: DataFrame, centres: DataFrame, *, key: str, vector: str
     return assigned, moved
 
 
-def novelty(rows: DataFrame, tested: DataFrame, *, key: str, vector: str) -> DataFrame:
-    """Least cosine distance of each row to any tested vector (few, broadcast); 1 where there are none or a length is zero."""
-    all_tested = tested.select(unit(vector).alias("_w")).agg(F.collect_list("_w").alias("_all"))
-    met = rows.select(F.col(key).alias("_k"), unit(vector).alias("_v")).join(F.broadcast(all_tested))
-    best = F.array_max(F.transform("_all", lambda w: F.aggregate(F.zip_with("_v", w, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)))
-    return met.select(F.col("_k").alias(key), F.greatest(F.lit(0.0), 1 - F.coalesce(best, F.lit(0.0))).alias("novelty"))
+def novelty(rows: DataFrame, tested: DataFrame, *, key: str, vector: str, max_block: int = MAX_BLOCK) -> DataFrame:
+    """Least cosine distance of each row to any tested vector, in blocks; 1 where there are none or a length is zero. Keys are whole numbers."""
 
+    def emit(products: np.ndarray, own: list, other: list) -> dict:
+        return {"_k": own[0].astype(np.int64), "c": products.max(1, initial=0.0)}
 
-def near_pairs(rows: DataFrame, *, key: str, vector: str, threshold: float = 0.95, blocks: int = 8) -> DataFrame:
-    """(a, b, cosine) of all pairs at least that similar: an exact block join.
+    met = against(rows.select(key, vector), tested.select(key, vector), emit, "_k long, c double", max_block=max_block)
+    return met.groupBy(F.col("_k").cast(rows.schema[key].dataType).alias(key)).agg(F.max("c").alias("c")).select(key, F.greatest(F.lit(0.0), 1 - F.col("c")).alias("novelty"))
 
-    Unit vectors with cosine of at least t differ by at most sqrt(2 - 2t) in any direction, so their
-    values along one direction fall into the same or neighbouring cells of that width: only those meet.
+
+def near_pairs(rows: DataFrame, *, key: str, vector: str, threshold: float = 0.95, max_block: int = MAX_BLOCK) -> DataFrame:
+    """(a, b, cosine) of all pairs at least that similar: every row against blocks of all rows by matrix products.
+
+    Exact at any dimension, where cells or pivots prune nothing. Only pairs that are near leave a task. Keys are whole numbers.
+    """
+
+    def emit(products: np.ndarray, own: list, other: list) -> dict:
+        i, j = np.nonzero((products >= threshold) & (own[0][:, None] < other[0][None, :]))
+        return {"a": own[0][i].astype(np.int64), "b": other[0][j].astype(np.int64), "cosine": products[i, j]}
+
+    both = rows.select(key, vector)
+    return against(both, both, emit, "a long, b long, cosine double", max_block=max_block)
+
+
+def distinct_task_similarity(rows: DataFrame, *, key: str, vector: str, task: str, share: float = 0.99, places: int = 5, max_block: int = MAX_BLOCK) -> DataFrame:
+    """That percentile of the cosine, to ``places``, of all pairs of different tasks; null tasks take no part.
+
+    Each task of Spark counts its products by rounded value, so a batch leaves at most as many rows as there are values.
     """
-    width = (2 - 2 * threshold) ** 0.5 + 1e-9
-    unitised = rows.select(F.col(key).alias("_k"), unit(vector).alias("_v"))
-    cells = [F.floor(F.element_at("_v", d + 1) / width).cast("int") for d in range(blocks)]
-    left = unitised.select("_k", "_v", *(c.alias(f"_c{d}") for d, c in enumerate(cells)))
-    spread = left
-    for d in range(min(2, blocks)):
-        spread = spread.withColumn(f"_n{d}", F.explode(F.array(F.col(f"_c{d}") - 1, F.col(f"_c{d}"), F.col(f"_c{d}") + 1)))
-    right = left.select(F.col("_k").alias("_k2"), F.col("_v").alias("_w"), *(F.col(f"_c{d}").alias(f"_d{d}") for d in range(blocks)))
-    on = F.lit(True)
-    for d in range(blocks):
-        on = on & (F.col(f"_n{d}") == F.col(f"_d{d}") if d < 2 else (F.abs(F.col(f"_c{d}") - F.col(f"_d{d}")) <= 1))
-    met = spread.join(right, on & (F.col("_k") < F.col("_k2")))
-    return met.select(F.col("_k").alias("a"), F.col("_k2").alias("b"), dot("_v", "_w").alias("cosine")).where(F.col("cosine") >= threshold)
-
-
-def distinct_task_similarity(rows: DataFrame, *, key: str, vector: str, task: str, share: float = 0.99) -> DataFrame:
-    """That percentile of the cosine of all pairs of different tasks; ``rows`` are a stated, bounded set of evaluation items."""
-    all_rows = rows.select(F.col(key).alias("_k2"), F.col(task).alias("_t2"), unit(vector).alias("_w"))
-    left = rows.select(F.col(key).alias("_k"), F.col(task).alias("_t"), unit(vector).alias("_v"))
-    met = left.join(F.broadcast(all_rows), (F.col("_t") < F.col("_t2")))
-    # ranked on counts of rounded values, so no partition holds all pairs
-    counts = met.select(F.round(dot("_v", "_w"), 5).alias("cosine")).groupBy("cosine").agg(F.count("*").alias("k"))
-    place = counts.select("cosine", "k", F.sum("k").over(Window.orderBy("cosine").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("k").over(Window.partitionBy()).alias("n"))
-    return place.where(F.col("upto") >= F.ceil(F.lit(share) * F.col("n"))).agg(F.min("cosine").alias("cosine"), F.min("n").alias("pairs"))
+    scale = 10**places
+
+    def emit(products: np.ndarray, own: list, other: list) -> dict:
+        apart = own[1][:, None] < other[1][None, :]
+        values, times = np.unique(np.floor(np.abs(products[apart]) * scale + 0.5).astype(np.int64) * np.sign(products[apart]).astype(np.int64), return_counts=True)
+        return {"v": values, "k": times.astype(np.int64)}
+
+    named = rows.where(F.col(task).isNotNull()).select(key, vector, task)
+    counts = against(named, named, emit, "v long, k long", max_block=max_block).groupBy("v").agg(F.sum("k").alias("k"))  # at most 2 * scale + 1 rows
+    place = counts.select("v", "k", F.sum("k").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("k").over(Window.partitionBy()).alias("n"))
+    found = place.where(F.col("upto") >= F.ceil(F.lit(share) * F.col("n"))).agg(F.min("v").alias("v"), F.min("n").alias("pairs"))
+    return found.select((F.col("v") / F.lit(float(scale))).alias("cosine"), "pairs")
 
 
 def farthest_first(rows: DataFrame, *, key: str, vector: str, k: int) -> DataFrame:

@@ -17,11 +17,11 @@ def _vectors(spark, sf):
 
 def novelty_scores(spark, sf):
     v = _vectors(spark, sf)
-    return vectors.novelty(v.where("vec_id % 10 <> 0"), v.where("vec_id < 200 AND vec_id % 10 = 0"), key="vec_id", vector="embedding").select("vec_id", F.round("novelty", 5).alias("novelty"))
+    return vectors.novelty(v.where("vec_id % 10 <> 0"), v.where("vec_id % 10 = 0"), key="vec_id", vector="embedding").select("vec_id", F.round("novelty", 5).alias("novelty"))
 
 
 def near_vector_pairs(spark, sf):
-    out = vectors.near_pairs(_vectors(spark, sf), key="vec_id", vector="embedding", threshold=0.9, blocks=6)
+    out = vectors.near_pairs(_vectors(spark, sf), key="vec_id", vector="embedding", threshold=0.9)
     return out.select("a", "b", F.round("cosine", 5).alias("cosine"))
 
 
@@ -36,12 +36,11 @@ def lloyd_centres(spark, sf):
     v = _vectors(spark, sf)
     centres = v.where("vec_id < 8").select(F.col("vec_id").alias("centre"), "embedding")
     _, moved = vectors.cluster_step(v, centres, key="vec_id", vector="embedding")
-    return moved.where("dim < 4").select("centre", "dim", F.round("value", 6).alias("value"), "n")
+    return moved.select("centre", "dim", F.round("value", 6).alias("value"), "n")
 
 
 def distinct_task_similarity(spark, sf):
-    v = _vectors(spark, sf).where("vec_id < 500")  # the evaluation items
-    return vectors.distinct_task_similarity(v, key="vec_id", vector="embedding", task="label")
+    return vectors.distinct_task_similarity(_vectors(spark, sf), key="vec_id", vector="embedding", task="label")
 
 
 def farthest_first(spark, sf):
@@ -187,11 +186,11 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 ORACLES = {
-    "novelty_scores": f"WITH {_V}, t AS (SELECT a.vec_id, max({_COS.format(a='a.e', b='b.e')}) AS c FROM v a, v b WHERE a.vec_id % 10 <> 0 AND b.vec_id < 200 AND b.vec_id % 10 = 0 GROUP BY a.vec_id) SELECT vec_id, round(greatest(0.0, 1 - c), 5) AS novelty FROM t",
+    "novelty_scores": f"WITH {_V}, t AS (SELECT a.vec_id, max({_COS.format(a='a.e', b='b.e')}) AS c FROM v a, v b WHERE a.vec_id % 10 <> 0 AND b.vec_id % 10 = 0 GROUP BY a.vec_id) SELECT vec_id, round(greatest(0.0, 1 - c), 5) AS novelty FROM t",
     "near_vector_pairs": f"WITH {_V}, p AS (SELECT a.vec_id AS a, b.vec_id AS b, {_COS.format(a='a.e', b='b.e')} AS c FROM v a, v b WHERE a.vec_id < b.vec_id) SELECT a, b, round(c, 5) AS cosine FROM p WHERE c >= 0.9",
     "lloyd_step": f"WITH {_V}, {_NEAR} SELECT centre, count(*) AS n, round(sum(d), 4) AS inertia FROM n WHERE k = 1 GROUP BY centre",
-    "lloyd_centres": f"WITH {_V}, {_NEAR}, u AS (SELECT centre, unnest(range(4)) AS dim, unnest(e[1:4]) AS x FROM n WHERE k = 1) SELECT centre, CAST(dim AS INTEGER) AS dim, round(avg(x), 6) AS value, count(*) AS n FROM u GROUP BY centre, dim",
-    "distinct_task_similarity": f"WITH {_V}, p AS (SELECT round({_COS.format(a='a.e', b='b.e')}, 5) AS c FROM v a, v b WHERE a.vec_id < 500 AND b.vec_id < 500 AND a.label < b.label), k AS (SELECT c, row_number() OVER (ORDER BY c) AS i, count(*) OVER () AS n FROM p) SELECT min(c) AS cosine, min(n) AS pairs FROM k WHERE i >= ceil(0.99 * n)",
+    "lloyd_centres": f"WITH {_V}, {_NEAR}, u AS (SELECT centre, unnest(range(len(e))) AS dim, unnest(e) AS x FROM n WHERE k = 1) SELECT centre, CAST(dim AS INTEGER) AS dim, round(avg(x), 6) AS value, count(*) AS n FROM u GROUP BY centre, dim",
+    "distinct_task_similarity": f"WITH {_V}, p AS (SELECT round({_COS.format(a='a.e', b='b.e')}, 5) AS c FROM v a, v b WHERE a.label < b.label), k AS (SELECT c, row_number() OVER (ORDER BY c) AS i, count(*) OVER () AS n FROM p) SELECT min(c) AS cosine, min(n) AS pairs FROM k WHERE i >= ceil(0.99 * n)",
     "hack_scan": f"""WITH {GRADED_SQL}, l AS (SELECT task_id, reward, reward - avg(reward) OVER (PARTITION BY task_id) AS rc, unnest(['cheap', 'big', 'reply_length', 'score', 'size']) AS feature, unnest([cheap, big, reply_length::DOUBLE, score, CASE WHEN reply_length > 25 THEN 1.0 ELSE 0.0 END]) AS x FROM graded),
         c AS (SELECT *, x - avg(x) OVER (PARTITION BY feature, task_id) AS xc FROM l) SELECT feature, round(CASE WHEN sum(xc*xc) > 1e-9 AND sum(rc*rc) > 1e-9 THEN sum(xc*rc) / sqrt(sum(xc*xc) * sum(rc*rc)) END, 6) AS rho, count(*) FILTER (WHERE x <> 0) AS n_nonzero FROM c GROUP BY feature HAVING count(*) FILTER (WHERE x <> 0) >= 20""",
     "hack_scan_aliases": f"WITH {GRADED_SQL}, d AS (SELECT sum(abs(big - CASE WHEN reply_length > 25 THEN 1 ELSE 0 END)) AS off FROM graded) SELECT unnest(['cheap', 'big', 'size']) AS feature, unnest(['cheap', 'big', CASE WHEN off = 0 THEN 'big' ELSE 'size' END]) AS alias_of FROM d",

@@ -98,9 +98,9 @@ def evaluation_power(spark, sf):
 
 
 def saturation_fit(spark, sf):
-    v = table(spark, sf, "embeddings").where("vec_id < 40")
+    v = table(spark, sf, "embeddings")
     sizes = F.explode(F.array(*(F.lit(n) for n in (64, 128, 256, 512, 1024, 2048)))).alias("n")
-    curve = v.select(F.col("label").alias("curve"), F.col("vec_id").alias("seed"), sizes).withColumn("score", 0.9 - 0.8 * F.pow("n", F.lit(-0.5)) * (1 + F.col("seed") / 100) - F.col("curve") / 100).withColumn("item", F.lit(0))
+    curve = v.select(F.col("label").alias("curve"), F.col("vec_id").alias("seed"), sizes).withColumn("score", 0.9 - 0.8 * F.pow("n", F.lit(-0.5)) * (1 + F.pmod(F.col("seed"), F.lit(40)) / 100) - F.col("curve") / 100).withColumn("item", F.lit(0))
     return rounded(planning.fit_saturation(curve, "curve"))
 
 

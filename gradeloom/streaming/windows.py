@@ -49,7 +49,11 @@ def drained(stream: DataFrame, name: str, mode: str | None = None) -> DataFrame:
     """
     spark = stream.sparkSession
     mode = mode or ("complete" if "groupBy" in _shape(stream) else "append")
-    place = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="gradeloom-stream-")
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        place = "file://" + tempfile.mkdtemp(prefix="gradeloom-stream-")
     path = f"{place}/{name}-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, epoch: int) -> None:

@@ -203,4 +203,5 @@ def test_near_vectors_against_all_pairs(spark):
     norm = lambda x: math.sqrt(sum(y * y for y in x))
     want = {(a, b) for (a, x), (b, y) in combinations(v, 2) if sum(p * q for p, q in zip(x, y)) / norm(x) / norm(y) >= 0.95}
     df = spark.createDataFrame(v, "id int, v array<double>")
-    assert {(r.a, r.b) for r in vectors.near_pairs(df, key="id", vector="v", threshold=0.95, blocks=4).collect()} == want
+    assert {(r.a, r.b) for r in vectors.near_pairs(df, key="id", vector="v", threshold=0.95).collect()} == want
+    assert {(r.a, r.b) for r in vectors.near_pairs(df, key="id", vector="v", threshold=0.95, max_block=1000).collect()} == want
