@@ -8,6 +8,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -37,6 +38,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def least_hashes(rows: DataFrame, order: str, n: int) -> int | None:
+    """The ``n``-th least value of a column of 64-bit hashes, or the largest if there are fewer; None without rows.
+
+    Of more rows only those below twice the share that is wanted are sorted, so that a task never
+    gets more than a few times ``n`` of them, however many partitions there are. Equal values count once.
+    """
+    hashes = rows.select(order)
+    total = hashes.count()
+    some = hashes
+    if total > 4 * n:
+        below = hashes.where(F.col(order) <= F.lit(int(-(2.0**63) + 2.0**64 * (2 * n + 100) / total))).distinct()
+        some = below if below.count() >= n else hashes.distinct()  # many repeated rows
+    return some.distinct().orderBy(order).limit(n).agg(F.max(order)).first()[0]
+
+
 def discard(*tables: DataFrame) -> None:
     """Removes tables that ``written`` made, once all that was derived from them is written itself."""
     for df in tables:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm.cluster import ready, table, written
+from gradeloom.llm.cluster import least_hashes, ready, table
 from gradeloom.llm.toxicity import held_out
 from gradeloom.llm.wordhash import mixed, windows, word_hashes
 
@@ -95,7 +95,7 @@ class Texts:
         words = np.zeros((len(sparse), CLASSES), np.float32)
         for row, (at, value) in zip(words, sparse, strict=True):
             np.add.at(row, at, value)
-        return cls(np.array(measures, np.float64).reshape(len(sparse), -1), words)
+        return cls(np.array(measures, np.float64).reshape(len(sparse), len(measures[0]) if measures else len(describe(""))), words)
 
     def __len__(self) -> int:
         return len(self.words)
@@ -108,7 +108,7 @@ class Texts:
 QUANTILES = (0.005, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 0.95, 0.98, 0.995)
 EDGES = len(QUANTILES)
 #: Weight of an edge that is reached; ridge; steps of the fit.
-EDGE, L2, STEPS = 0.3, 3e-4, 300
+EDGE, L2, STEPS = 0.2, 3e-4, 400
 
 
 @dataclass(frozen=True)
@@ -147,9 +147,11 @@ def minimise(x_p: np.ndarray, x_u: np.ndarray, prior: float, *, l2: float = L2,
 
     R_u(-) - prior * R_p(-) estimates the risk of negatives, which is never below 0. While it is above, the step goes down the whole risk;
     where it is below, what was fitted is noise, and the step goes up that term instead, until it is 0 again. Steps are
-    scaled by running means of the slopes and their squares, and shrink in the second half.
+    scaled by running means of the slopes and their squares, and shrink in the second half, whose points are averaged:
+    one of them alone may lie on either side of 0.
     """
     w, mean, square = (np.zeros(x_p.shape[1]) for _ in range(3))
+    total = np.zeros(len(w))
     ridge = np.append(np.full(len(w) - 1, 2 * l2), 0)
     for t in range(1, steps + 1):
         z_p, z_u = x_p @ w.astype(np.float32), x_u @ w.astype(np.float32)
@@ -160,7 +162,8 @@ def minimise(x_p: np.ndarray, x_u: np.ndarray, prior: float, *, l2: float = L2,
         slope = e_p.astype(np.float32) @ x_p / len(x_p) + (rise * sigma(z_u)).astype(np.float32) @ x_u / len(x_u) + ridge * w
         mean, square = 0.9 * mean + 0.1 * slope, 0.99 * square + 0.01 * slope**2
         w = w - rate * min(1.0, 2 * (1 - t / steps) + 0.02) * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)
-    return w
+        total += w * (2 * t > steps)
+    return total / max(1, steps - steps // 2)
 
 
 def fit(positive: Texts, unlabelled: Texts) -> QualityModel:
@@ -202,13 +205,13 @@ def train(docs: DataFrame, labels: DataFrame, *, positives: int = MAX_POSITIVES,
     """Positives are rows labelled 1 that aren't held out; the unlabelled are any of ``docs`` that aren't. Both bounded, by the order of a hash; a key with both labels has none."""
     known = labels.where(F.col(f"`{key}`").isNotNull() & F.col("quality").isin(0, 1)).groupBy(F.col(f"`{key}`").alias("_key")).agg(F.min("quality").alias("_least"))
     known = known.where(~held_out("_key") & (F.col("_least") == 1))
-    order = lambda seed: F.xxhash64(F.col("_key").cast("string"), F.lit(seed))
+    known = known.select("_key", F.xxhash64(F.col("_key").cast("string"), F.lit(3)).alias("_order"))
+    edge = least_hashes(known, "_order", positives)
     texts = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text"))
-    some_p = F.broadcast(known.orderBy(order(3), "_key").limit(positives).select("_key"))  # a bounded number of keys
+    some_p = F.broadcast(known.where(F.col("_order") <= F.lit(edge)).select("_key") if edge is not None else known.select("_key").limit(0))  # a bounded number of keys
     p = texts.join(some_p, "_key").select(F.xxhash64("_key", "_text").alias("_order"), "_text").dropDuplicates(["_order"])  # repeated rows count once
-    rows = texts.where(~held_out("_key")).select(F.xxhash64("_key", "_text", F.lit(5)).alias("_order"), "_key")
-    edge = written(rows.orderBy("_order").limit(unlabelled).select("_order"), "unlabelled").agg(F.max("_order")).first()[0]
     u = texts.where(~held_out("_key")).select(F.xxhash64("_key", "_text", F.lit(5)).alias("_order"), "_text")
+    edge = least_hashes(u, "_order", unlabelled)
     u = u.where(F.col("_order") <= F.lit(edge)).dropDuplicates(["_order"]) if edge is not None else u.limit(0)
     return fit(_described(p), _described(u))
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm.cluster import ready, table, written
+from gradeloom.llm.cluster import least_hashes, ready, table, written
 
 #: Identity terms that are known beforehand, by category; the terms of a category are swapped for each other. More
 #: are found in the labelled texts (see ``found_terms``).
@@ -173,11 +173,14 @@ def training_sample(docs: DataFrame, labels: DataFrame, target: str, *, per_clas
     """(_order, _text, _label) of the texts of at most ``per_class`` labelled keys of each class that aren't held out, by the order of
     a hash of the key, written; and the share of label 1. A key with both labels has none; repeated rows count once."""
     known = labels.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{target}`").alias("_label")).where(F.col("_key").isNotNull() & F.col("_label").isin(0, 1))
-    known = known.where(~held_out("_key")).groupBy("_key").agg(F.min("_label").alias("_label"), F.max("_label").alias("_most")).where("_label = _most").drop("_most")
+    known = known.where(~held_out("_key")).groupBy("_key").agg(F.min("_label").alias("_label"), F.max("_label").alias("_most")).where("_label = _most")
+    known = known.select("_key", "_label", F.xxhash64(F.col("_key").cast("string"), F.lit(17)).alias("_hash"))
     share = known.agg(F.avg(F.col("_label").cast("double"))).first()[0]
     chosen = None
     for label in (0, 1):
-        part = known.where(F.col("_label") == label).orderBy(F.xxhash64(F.col("_key").cast("string"), F.lit(17)), "_key").limit(per_class)
+        part = known.where(F.col("_label") == label)
+        edge = least_hashes(part, "_hash", per_class)
+        part = part.where(F.col("_hash") <= F.lit(edge)).drop("_hash") if edge is not None else part.limit(0).drop("_hash")
         chosen = part if chosen is None else chosen.unionByName(part)
     chosen = F.broadcast(chosen)  # at most 2 * per_class keys
     rows = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("string").alias("_text")).join(chosen, "_key")

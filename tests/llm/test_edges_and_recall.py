@@ -206,5 +206,4 @@ def test_keys_with_both_labels_have_none(spark):
     twice = labels + [(k, 1) for k in range(0, 60, 4)]
     make = lambda rows: spark.createDataFrame(rows, "doc_id long, toxic int")
     scores = lambda rows: {r.doc_id: r.score for r in toxicity.judge_toxicity(docs, make(rows)).collect()}
-    assert scores(twice) == scores([x for x in labels if x[0] % 4 or x[0] >= 100])
-    assert scores(labels * 2) == scores(labels)
+    assert scores(twice * 2) == scores([x for x in labels if x[0] % 4 or x[0] >= 100])
