@@ -186,19 +186,20 @@ def fit(positive: Texts, unlabelled: Texts) -> QualityModel:
 
 
 def _described(rows: DataFrame) -> Texts:
-    """Measures and hashed words of ``_text`` of a bounded number of rows, in a fixed order, at the driver."""
+    """Measures and hashed words of ``_text`` of a bounded number of rows, in a fixed order, at the driver, as bytes of fixed length a row."""
     ready(rows.sparkSession)
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            found = [hashed(x) for x in texts]
-            columns = [pa.array([describe(x) for x in texts], pa.list_(pa.float64())), pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([x for _, x in found], pa.list_(pa.float32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["_order", "x", "at", "value"])
-
-    found = rows.select("_order", "_text").mapInArrow(measured, "_order long, x array<double>, at array<int>, value array<float>").collect()
-    found.sort(key=lambda r: (r["_order"], r["x"]))
-    return Texts.of([r["x"] for r in found], [(np.array(r["at"], np.int64), np.array(r["value"])) for r in found])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = Texts.of([describe(x) for x in part.column(1).to_pylist()], [hashed(x) for x in part.column(1).to_pylist()])
+                columns = [pa.array([x.tobytes() for x in m], pa.binary()) for m in (found.measures, found.words)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["_order", "measures", "words"])
+
+    found = rows.select("_order", "_text").mapInArrow(measured, "_order long, measures binary, words binary").toArrow().sort_by("_order")
+    matrix = lambda c, kind, wide: np.frombuffer(b"".join(x.as_py() for x in found.column(c)), kind).reshape(found.num_rows, wide)
+    return Texts(matrix("measures", np.float64, len(describe(""))), matrix("words", np.float32, CLASSES))
 
 
 def train(docs: DataFrame, labels: DataFrame, *, positives: int = MAX_POSITIVES, unlabelled: int = MAX_UNLABELLED, key: str = "doc_id", text: str = "text") -> QualityModel:

@@ -285,8 +285,9 @@ def test_mixing_both_ways_and_edges(spark):
     got = mixing.mix(docs)
     assert got.columns == [*docs.columns, "_mix"] and got.count() == 204
     a = {(r.doc_id, r.text): r._mix for r in got.collect()}
-    b = {(r.doc_id, r.text): r._mix for r in mixing.mix(docs, max_driver_cells=0).collect()}
-    assert all(abs(a[k].probability - b[k].probability) < 1e-3 for k in a)
+    few = {(r.doc_id, r.text): r._mix for r in mixing.mix(docs, rounds=12).collect()}  # the topics' margins need some 300 rounds here
+    b = {(r.doc_id, r.text): r._mix for r in mixing.mix(docs, rounds=12, max_driver_cells=0).collect()}
+    assert all(abs(few[k].probability - b[k].probability) < 1e-9 for k in a)
     assert a[(900, None)].n_tokens == 0 and not a[(900, None)].sampled
     assert mixing.mix(docs.limit(0)).count() == 0
 
