@@ -39,11 +39,15 @@ def is_truncated(columns: list[str], text: str = "final_text", least: int = 200)
 def near_duplicate_pairs(prompts: DataFrame, *, key: str, text: str, threshold: float = NEAR_DUP_JACCARD) -> DataFrame:
     """(a, b, jaccard) of the texts whose token sets are that similar; empty sets are skipped.
 
-    An exact join by prefix: tokens are ranked from rare to frequent, and two sets of that similarity
+    Texts of one token set are a class: its smallest key stands for it and is paired once with each other member
+    (jaccard 1), so many copies make as many rows, not all pairs. Between classes the representatives are paired. An exact
+    join by prefix: tokens are ranked from rare to frequent, and two sets of that similarity
     share one of their first size - ceil(threshold * size) + 1 tokens. So frequent tokens, which most
     texts have, hardly ever join.
     """
-    sets = prompts.select(F.col(key).alias("_id"), F.array_distinct(words(F.col(text))).alias("_set")).where(F.size("_set") > 0)
+    whole = prompts.select(F.col(key).alias("_id"), F.array_sort(F.array_distinct(words(F.col(text)))).alias("_set")).where(F.size("_set") > 0)
+    sets = whole.groupBy("_set").agg(F.min("_id").alias("_id"))
+    copies = whole.join(sets.withColumnRenamed("_id", "_rep"), "_set").where("_id <> _rep").select(F.col("_rep").alias("a"), F.col("_id").alias("b"), F.lit(1.0).alias("jaccard"))
     each = sets.select("_id", F.size("_set").alias("_n"), F.explode("_set").alias("_t"))
     df = each.groupBy("_t").agg(F.count("*").alias("_df"))
     ranked = each.join(df, "_t").groupBy("_id", "_n").agg(F.transform(F.array_sort(F.collect_list(F.struct("_df", "_t"))), lambda x: x["_t"]).alias("_set"))
@@ -54,7 +58,7 @@ def near_duplicate_pairs(prompts: DataFrame, *, key: str, text: str, threshold:
     both = pairs.join(sets, "_id").join(sets.select(F.col("_id").alias("_id2"), F.col("_set").alias("_set2")), "_id2")
     common = F.size(F.array_intersect("_set", "_set2"))
     score = common / (F.size("_set") + F.size("_set2") - common)
-    return both.select(F.col("_id").alias("a"), F.col("_id2").alias("b"), score.alias("jaccard")).where(F.col("jaccard") >= threshold)
+    return both.select(F.col("_id").alias("a"), F.col("_id2").alias("b"), score.alias("jaccard")).where(F.col("jaccard") >= threshold).unionByName(copies)
 
 
 def length_report(rows: DataFrame, *, group: str, length: str, max_spread: float = MAX_SPREAD) -> DataFrame:

@@ -99,7 +99,7 @@ def _chats(spark, sf):
     return trajectories.as_messages(table(spark, sf, "conversations"), conv="conv_id", turn="turn", role="role", text="text")
 
 
-def opening_share(spark, sf):
+def assistant_opens(spark, sf):
     return rounded(A.opening_share(_chats(spark, sf)))
 
 
@@ -132,7 +132,7 @@ def one_turn_preferences(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    failure_classes, read_replies, rubric_leanings, word_vectors, score_spread, publish_gate, hollow_run, newest_scores, version_winners, variance_parts, paired_spread, task_halves, opening_share, agent_said, quality_summary, weighted_export, one_turn_preferences,
+    failure_classes, read_replies, rubric_leanings, word_vectors, score_spread, publish_gate, hollow_run, newest_scores, version_winners, variance_parts, paired_spread, task_halves, assistant_opens, agent_said, quality_summary, weighted_export, one_turn_preferences,
 )}
 
 
@@ -154,7 +154,7 @@ ORACLES = {
     "variance_parts": f"WITH {STATS_SQL}, s AS (SELECT avg(c / n::DOUBLE) AS base, min(n) AS k, stddev_samp(c / n::DOUBLE) AS spread, var_pop(c / n::DOUBLE) AS b FROM stats) SELECT round(base, 6) AS base, k, round(spread, 6) AS spread, round(base * (1 - base) / (base * (1 - base) - b), 6) AS independence_ratio FROM s",
     "paired_spread": f"WITH {GRADED_SQL}, p AS (SELECT avg(reward) FILTER (WHERE arm = 'before') AS b, avg(reward) FILTER (WHERE arm = 'after') AS a FROM graded GROUP BY task_id) SELECT round(stddev_samp(a - b), 6) AS sd, count(*) AS n, round(avg(b), 6) AS base FROM p WHERE a IS NOT NULL AND b IS NOT NULL",
     "task_halves": "SELECT CAST(CAST('0x' || substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 8) AS BIGINT) % 2 AS INTEGER) AS half, count(*) AS n FROM orders GROUP BY 1",
-    "opening_share": "WITH f AS (SELECT conv_id, arg_min(role, struct_pack(a := turn, b := role, c := text)) AS r FROM conversations GROUP BY conv_id) SELECT round(avg((r = 'assistant')::INT), 6) AS share FROM f",
+    "assistant_opens": "WITH f AS (SELECT conv_id, arg_min(role, struct_pack(a := turn, b := role, c := text)) AS r FROM conversations GROUP BY conv_id) SELECT round(avg((r = 'assistant')::INT), 6) AS share FROM f",
     "agent_said": f"WITH {_AGENT}, p AS (SELECT conv_id, coalesce(a, []) AS a, coalesce(a[-1], '') AS l FROM c) SELECT conv_id, md5(array_to_string(list_filter(list_concat([l], list_filter(a, lambda x: x <> l)), lambda x: x <> ''), chr(10))) AS said, md5(lower(array_to_string(list_filter(list_concat([l], a), lambda x: x <> ''), chr(10)))) AS whole FROM p",
     "quality_summary": """WITH d AS (SELECT (doc_id % 101) / 100.0::DOUBLE AS q, (doc_id % 7) / 6.0::DOUBLE AS o, coalesce(CASE WHEN doc_id % 3 = 0 THEN (doc_id % 5) / 4.0::DOUBLE END, 0) AS s FROM documents)
         SELECT count(*) AS n, round(avg(q), 3) AS mean, round(quantile_cont(q, 0.5), 3) AS median, round(min(q), 3) AS least, round(max(q), 3) AS most, count(*) FILTER (WHERE q < 0.5) AS poor, count(*) FILTER (WHERE q >= 0.5 AND q < 0.7) AS fair, count(*) FILTER (WHERE q >= 0.7 AND q < 0.85) AS good, count(*) FILTER (WHERE q >= 0.85) AS best,

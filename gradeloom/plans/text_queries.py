@@ -256,9 +256,9 @@ QUERIES = {f.__name__: f for f in (
 ORACLES = {
     "duplicate_rows": f"""WITH {_LAB}, d AS (SELECT d.doc_id, md5({_NORM.format('text')}) AS k, quality FROM documents d LEFT JOIN lab ON d.doc_id = lab.doc_id), w AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY k ORDER BY doc_id) AS copy, first_value(quality) OVER (PARTITION BY k ORDER BY doc_id) AS q1 FROM d)
         SELECT doc_id, CAST(copy AS INTEGER) AS copy, copy > 1 AND quality IS DISTINCT FROM q1 AS label_conflict FROM w""",
-    "near_duplicate_prompts": f"""WITH p AS (SELECT conv_id * 1000 + turn AS id, list_distinct({_W.format('text')}) AS s FROM conversations WHERE role = 'user'), q AS (SELECT * FROM p WHERE len(s) > 0),
-        t AS (SELECT id, len(s) AS n, unnest(s) AS t FROM q), c AS (SELECT x.id AS a, y.id AS b, count(*) AS k, any_value(x.n) AS na, any_value(y.n) AS nb FROM t x JOIN t y ON x.t = y.t AND x.id < y.id GROUP BY x.id, y.id)
-        SELECT a, b, round(k / (na + nb - k)::DOUBLE, 6) AS jaccard FROM c WHERE k / (na + nb - k)::DOUBLE >= 0.8""",
+    "near_duplicate_prompts": f"""WITH p AS (SELECT conv_id * 1000 + turn AS id, list_sort(list_distinct({_W.format('text')})) AS s FROM conversations WHERE role = 'user'), r AS (SELECT s, min(id) AS id FROM p WHERE len(s) > 0 GROUP BY s),
+        t AS (SELECT id, len(s) AS n, unnest(s) AS t FROM r), c AS (SELECT x.id AS a, y.id AS b, count(*) AS k, any_value(x.n) AS na, any_value(y.n) AS nb FROM t x JOIN t y ON x.t = y.t AND x.id < y.id GROUP BY x.id, y.id)
+        SELECT a, b, round(k / (na + nb - k)::DOUBLE, 6) AS jaccard FROM c WHERE k / (na + nb - k)::DOUBLE >= 0.8 UNION ALL SELECT r.id, p.id, 1.0::DOUBLE FROM p JOIN r ON p.s = r.s WHERE p.id <> r.id""",
     "length_report": """WITH d AS (SELECT source, length(text) AS v FROM documents), g AS (SELECT source, quantile_cont(v, 0.5) AS m, max(v) AS x, count(*) AS k FROM d GROUP BY source)
         SELECT CAST(count(*) FILTER (WHERE k >= 2 AND m > 0 AND x > 4 * m) AS BIGINT) AS wide_groups, count(*) AS n_groups, (SELECT round(quantile_cont(v, 0.5)::DOUBLE, 6) FROM d) AS median_length, (SELECT CAST(max(v) AS INTEGER) FROM d) AS max_length FROM g""",
     "reward_correlations": f"""WITH {_LAB}, d AS (SELECT quality AS y, length(text) AS chars, len({_W.format('text')}) AS words, len(string_split(text, chr(10))) AS lines, toxic FROM documents d JOIN lab ON d.doc_id = lab.doc_id),
