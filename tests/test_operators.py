@@ -85,6 +85,8 @@ def test_near_duplicates_against_all_pairs(spark):
     texts = {1: "a b c d e", 2: "a b c d e f", 3: "a b x y", 4: "", 5: "E D C B A", 6: "q r s t u v w x y z", 7: "q r s t u v w x y"}
     sets = {k: set(v.lower().split()) for k, v in texts.items()}
     want = {(a, b) for a, b in combinations(texts, 2) if sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
+    # 5 has the words of 1, which stands for both: 5 is paired with 1 only, and links of 1 are links of 5
+    want = {(a, b) for a, b in want if 5 not in (a, b)} | {(1, 5)}
     df = spark.createDataFrame(list(texts.items()), "id int, text string")
     assert {(r.a, r.b) for r in hygiene.near_duplicate_pairs(df, key="id", text="text").collect()} == want
 
@@ -111,7 +113,7 @@ def test_ngram_coverage_takes_the_best_text_and_smallest_key(spark):
 def test_best_cosine_in_blocks(spark):
     a = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, [0.0, 0.0])], "k int, v array<double>")
     b = spark.createDataFrame([(7, [1.0, 1.0]), (8, [0.0, 1.0]), (9, [2.0, 2.0])], "s int, w array<double>")
-    got = lambda n: sorted(tuple(r) for r in decontam.best_cosine(a, b, key="k", vector="v", source_key="s", source_vector="w", max_broadcast_rows=n).select("k", "s", F.round("cosine", 6)).collect())
+    got = lambda n: sorted(tuple(r) for r in decontam.best_cosine(a, b, key="k", vector="v", source_key="s", source_vector="w", max_block=n).select("k", "s", F.round("cosine", 6)).collect())
     assert got(100) == got(1) == [(1, 7, round(math.sqrt(0.5), 6)), (2, 8, 1.0), (3, 7, 0.0)]
 
 
