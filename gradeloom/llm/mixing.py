@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
-from dataclasses import dataclass
+from collections import Counter
+from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeloom.llm.cluster import discard, least_hashes, ready, table, written
+from gradeloom.llm.cluster import discard, ready, table, written
 from gradeloom.llm.wordhash import mixed, word_hashes
 
 MARGINS = ("source", "lang", "topic")
-#: Topics, classes that words are hashed to, and texts that the topics are learnt from.
-TOPICS, CLASSES, TOPIC_SAMPLE = 8, 1024, 4000
+#: Topics, classes that words are hashed to, and rounds of the clusters' fit.
+TOPICS, CLASSES, ROUNDS = 8, 1024, 12
+#: Texts, and share of all texts, from which on a language has a mean of its own: so there are 10,000 means at most.
+LEAST_TEXTS, LANG_SHARE = 5, 1e-4
+#: What is 1 in whole numbers; the length below which a text less its mean isn't drawn out to length 1.
+UNIT, LEAST_LENGTH = float(1 << 20), 1 / 64
+#: Texts compared at a time; sums up to this many are added in a task before they are passed on.
+BLOCK, MAX_HELD_SUMS = 2048, 1 << 18
 #: Cells up to this many are raked at the driver, more of them as DataFrames.
 MAX_DRIVER_CELLS = 500_000
 MAX_BROADCAST_CELLS = 500_000
@@ -27,114 +34,309 @@ FRACTION = 0.5
 
 def hashed_words(text: bytes | None) -> tuple[int, np.ndarray, np.ndarray]:
     """(words, classes of distinct words, how much each weighs): a word's class is its hash modulo ``CLASSES``, its weight 1 + ln of its count; of length 1 in all."""
+    n, at, times = counted_words(text)
+    weight = 1 + np.log(times)
+    return n, at, weight / np.sqrt((weight**2).sum()) if n else weight
+
+
+def counted_words(text: bytes | None) -> tuple[int, np.ndarray, np.ndarray]:
+    """(words, classes of distinct words, how often each occurs)."""
     words = word_hashes(text, fold=True) if text else np.empty(0, np.uint64)
     if not len(words):
         return 0, np.empty(0, np.int64), np.empty(0)
     at, times = np.unique((mixed(words) % np.uint64(CLASSES)).astype(np.int64), return_counts=True)
-    weight = 1 + np.log(times)
-    return len(words), at, weight / np.sqrt((weight**2).sum())
+    return len(words), at, times
 
 
 @dataclass(frozen=True)
 class TopicModel:
-    """Clusters of hashed words. The mean of a text's language is taken off first, so that topics don't repeat the languages."""
+    """Clusters of hashed words. The mean of a text's language is taken off first, so that topics don't repeat the languages.
+
+    Means and centres are whole numbers of 1 / ``UNIT``. So are texts when they are compared, and the sums of products
+    are exact: they don't depend on the order of texts, on files or on partitions.
+    """
 
     weight: np.ndarray  # of each class: rare ones tell more
-    means: dict[str | None, np.ndarray]
-    overall: np.ndarray
+    langs: dict[str | None, int]  # rows of means; the last row is the mean of all texts, for other languages
+    means: np.ndarray
     centres: np.ndarray
 
+    def own(self, langs: list[str | None]) -> np.ndarray:
+        """The row of ``means`` for each language."""
+        return np.array([self.langs.get(g, len(self.langs)) for g in langs], np.int64)
+
     def topic(self, at: np.ndarray, value: np.ndarray, offset: np.ndarray) -> int:
         """The nearest centre, with the ``offset`` of the text's language; 0 for a text without words."""
         if not len(at):
             return 0
-        value = value * self.weight[at]
-        value /= max(1e-12, np.sqrt((value**2).sum()))
-        return int((self.centres[:, at] @ value - offset).argmax())
+        return int((self.centres[:, at] @ _scaled(at, value, np.zeros(1, np.int64), self.weight) - offset).argmax())
 
     def offset(self, lang: str | None) -> np.ndarray:
         """What the mean of the language adds to each centre's product."""
-        return self.centres @ self.means.get(lang, self.overall)
-
-
-def fit_topics(sample: list[tuple[str | None, np.ndarray, np.ndarray]], topics: int = TOPICS, rounds: int = 12) -> TopicModel:
-    """Spherical k-means over the texts' hashed words, without the mean of their language; starts from the text farthest from those taken."""
-    rows = np.zeros((len(sample), CLASSES))
-    for k, (_, at, value) in enumerate(sample):
-        rows[k, at] = value
-    weight = np.log((1 + len(rows)) / (1 + (rows > 0).sum(0)))
-    rows *= weight
-    rows /= np.maximum(1e-12, np.linalg.norm(rows, axis=1, keepdims=True))
-    overall = rows.mean(0) if len(rows) else np.zeros(CLASSES)
-    langs: dict[str | None, list[int]] = {}
-    for k, (lang, *_) in enumerate(sample):
-        langs.setdefault(lang, []).append(k)
-    means = {lang: rows[own].mean(0) for lang, own in langs.items() if len(own) >= 5}
-    for lang, own in langs.items():
-        rows[own] -= means.get(lang, overall)
-    rows /= np.maximum(1e-12, np.linalg.norm(rows, axis=1, keepdims=True))
-    centres = np.zeros((topics, CLASSES))
-    near = np.full(len(rows), -1.0)
-    for k in range(min(topics, len(rows))):
-        centres[k] = rows[int(near.argmin())]
-        near = np.maximum(near, rows @ centres[k])
-    for _ in range(rounds if len(rows) else 0):
-        own = (rows @ centres.T).argmax(1)
-        for k in range(topics):
-            if (own == k).any():
-                centre = rows[own == k].sum(0)
-                centres[k] = centre / max(1e-12, np.linalg.norm(centre))
-    return TopicModel(weight, means, overall, centres)
-
-
-def learn_topics(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = TOPIC_SAMPLE) -> TopicModel:
-    """Topics of at most ``sample`` documents with text, by the order of a hash of key and text. Only their hashed words come to the driver."""
-    ready(docs.sparkSession)
-    some = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("_text"), F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"), F.lit(5)).alias("_order"))
-    some = some.where("length(trim(_text)) > 0")
-    edge = least_hashes(some, "_order", sample)
-    some = some.where(F.col("_order") <= F.lit(edge)).dropDuplicates(["_order"]) if edge is not None else some.limit(0)
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for x in batch.column(1):
-                _, at, value = hashed_words(x.as_buffer().to_pybytes())
-                row = np.zeros(CLASSES, np.float32)
-                row[at] = value
-                rows.append(row.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.binary())], names=["lang", "_order", "words"])
-
-    found = some.mapInArrow(hashed, "lang string, _order long, words binary").toArrow().sort_by("_order")  # 4 bytes a class and text
-    sample = []
-    for g, x in zip(found.column("lang"), found.column("words"), strict=True):
-        row = np.frombuffer(x.as_py(), np.float32)
-        at = np.flatnonzero(row)
-        sample.append((g.as_py(), at, row[at].astype(np.float64)))
-    return fit_topics(sample)
-
-
-def with_topic(docs: DataFrame, model: TopicModel, *, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` with the struct ``_mix`` of n_tokens and topic."""
-    ready(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("n_tokens long, topic int")
-    def found(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        model, offsets = held.value, {}
-        for texts, langs in batches:
-            rows = []
-            for x, g in zip(texts, langs, strict=True):
-                g = g if isinstance(g, str) else None
-                if g not in offsets:
-                    if len(offsets) > 10_000:
-                        offsets.clear()
-                    offsets[g] = model.offset(g)
-                n, at, value = hashed_words(x.encode() if isinstance(x, str) else None)
-                rows.append((n, model.topic(at, value, offsets[g])))
-            yield pd.DataFrame({"n_tokens": [r[0] for r in rows], "topic": [r[1] for r in rows]}, dtype="int64").astype({"topic": "int32"})
-
-    return docs.withColumn("_mix", found(F.col(f"`{text}`").cast("string"), F.col(f"`{lang}`").cast("string")))
+        return self.centres @ self.means[self.langs.get(lang, len(self.langs))]
+
+
+def _scaled(at: np.ndarray, value: np.ndarray, starts: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Texts as vectors of length 1, in whole numbers of 1 / ``UNIT``; each text's entries begin at one of ``starts``."""
+    x = value * weight[at]
+    length = np.maximum(1e-12, np.sqrt(np.add.reduceat(x * x, starts)))
+    return np.rint(x / np.repeat(length, np.diff(starts, append=len(at))) * UNIT)
+
+
+@dataclass(frozen=True)
+class _Block:
+    """Some texts, each with words: their languages, hashes that order them, and entries (class, value) from ``starts`` on."""
+
+    langs: list
+    order: np.ndarray
+    starts: np.ndarray
+    at: np.ndarray
+    value: np.ndarray
+
+    @staticmethod
+    def of(langs: list, order: np.ndarray, classes: list[bytes], times: list[bytes]) -> _Block:
+        ends = np.cumsum([len(x) // 2 for x in classes])
+        return _Block(langs, order, np.concatenate([[0], ends[:-1]]), np.frombuffer(b"".join(classes), "<u2").astype(np.int64), 1 + np.log(np.frombuffer(b"".join(times), "<u4")))
+
+    def rows(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.starts)), np.diff(self.starts, append=len(self.at)))
+
+
+class _Near:
+    """Compares blocks with the means and centres of one model."""
+
+    def __init__(self, model: TopicModel) -> None:
+        self.model, self.offsets, self.squares = model, model.centres @ model.means.T, (model.means**2).sum(1)
+
+    def __call__(self, block: _Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(rows of the means, texts' entries, products with the centres, lengths): of the texts less their mean, both in whole numbers but the lengths."""
+        m, own = self.model, self.model.own(block.langs)
+        x = _scaled(block.at, block.value, block.starts, m.weight)
+        product = np.empty((len(m.centres), len(own)))
+        for k, centre in enumerate(m.centres):
+            product[k] = np.add.reduceat(x * centre[block.at], block.starts)
+        product -= self.offsets[:, own]
+        square = np.add.reduceat(x * (x - 2 * m.means[own[block.rows()], block.at]), block.starts) + self.squares[own]
+        return own, x, product, np.sqrt(np.maximum(square, 0.0)) / UNIT
+
+    def topics(self, block: _Block) -> np.ndarray:
+        m, own = self.model, self.model.own(block.langs)
+        x = _scaled(block.at, block.value, block.starts, m.weight)
+        return (np.stack([np.add.reduceat(x * centre[block.at], block.starts) for centre in m.centres]) - self.offsets[:, own]).argmax(0)
+
+
+# Steps of the fit. Each takes a model and gives a function of blocks: of keys and whole numbers to be added, or of the least candidate.
+
+
+def _texts_with_class(model: TopicModel):
+    return lambda block: (np.arange(CLASSES), np.bincount(block.at, minlength=CLASSES))
+
+
+def _sums_of_languages(model: TopicModel):
+    def sums(block: _Block) -> tuple[np.ndarray, np.ndarray]:
+        x = _scaled(block.at, block.value, block.starts, model.weight)
+        key, place = np.unique(model.own(block.langs)[block.rows()] * CLASSES + block.at, return_inverse=True)
+        return key, np.bincount(place, x).astype(np.int64)
+
+    return sums
+
+
+def _sums_of_topics(model: TopicModel):
+    """For each topic the sum of its texts over their lengths, before the means are taken off; then how much of each mean that is."""
+    near, topics, means = _Near(model), len(model.centres), len(model.means)
+
+    def sums(block: _Block) -> tuple[np.ndarray, np.ndarray]:
+        own, x, product, length = near(block)
+        topic, factor = product.argmax(0), np.rint(65536 / np.maximum(length, LEAST_LENGTH))
+        row = block.rows()
+        whole = np.bincount(topic[row] * CLASSES + block.at, x * factor[row], topics * CLASSES)
+        taken = np.bincount(topic * means + own, factor, topics * means)
+        return np.arange(topics * (CLASSES + means)), np.concatenate([whole, taken]).astype(np.int64)
+
+    return sums
+
+
+def _farthest(model: TopicModel):
+    """The text whose nearest centre is farthest; of equal ones the first by hash. Texts that are their language's mean don't count."""
+    near = _Near(model)
+
+    def least(block: _Block) -> tuple | None:
+        own, x, product, length = near(block)
+        score = (product / UNIT**2 / np.maximum(length, LEAST_LENGTH)).max(0) if len(product) else np.full(len(own), -1.0)
+        score[length == 0] = np.inf
+        k = np.lexsort((block.order, score))[0]
+        if score[k] == np.inf:
+            return None
+        part = slice(block.starts[k], block.starts[k + 1] if k + 1 < len(block.starts) else None)
+        return float(score[k]), int(block.order[k]), block.at[part].astype("<u2").tobytes(), x[part].astype("<i4").tobytes(), int(own[k])
+
+    return least
+
+
+class _HeldTexts:
+    """Texts in memory, in the order given."""
+
+    def __init__(self, texts: list[tuple[str | None, np.ndarray, np.ndarray]]) -> None:
+        self.blocks = []
+        for k in range(0, len(texts), BLOCK):
+            some = texts[k : k + BLOCK]
+            starts = np.cumsum([0] + [len(at) for _, at, _ in some[:-1]])
+            self.blocks.append(_Block([g for g, *_ in some], np.arange(k, k + len(some)), starts, np.concatenate([at for _, at, _ in some]), np.concatenate([value for *_, value in some])))
+
+    def languages(self, share: float) -> tuple[int, dict[str | None, int]]:
+        found = Counter(g for block in self.blocks for g in block.langs)
+        return found.total(), {g: n for g, n in found.items() if n >= max(LEAST_TEXTS, found.total() * share)}
+
+    def added(self, step: Callable, model: TopicModel, size: int) -> np.ndarray:
+        total, made = np.zeros(size), step(model)
+        for block in self.blocks:
+            key, value = made(block)
+            total[key] += value
+        return total
+
+    def least(self, step: Callable, model: TopicModel) -> tuple | None:
+        return min((x for x in map(step(model), self.blocks) if x is not None), default=None)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
+    for batch in batches:
+        for k in range(0, len(batch), BLOCK):
+            some = batch.slice(k, BLOCK)
+            yield _Block.of(some.column(0).to_pylist(), some.column(1).to_numpy(), some.column(2).to_pylist(), some.column(3).to_pylist())
+
+
+class _WrittenTexts:
+    """Texts of a DataFrame of lang, order, classes and times: every step reads all of them where they are."""
+
+    def __init__(self, rows: DataFrame) -> None:
+        self.rows, self.context = rows, rows.sparkSession.sparkContext
+
+    def languages(self, share: float) -> tuple[int, dict[str | None, int]]:
+        found = self.rows.groupBy("lang").agg(F.count("*").alias("n"))
+        total = found.agg(F.sum("n")).first()[0] or 0
+        return total, dict(map(tuple, found.where(F.col("n") >= max(LEAST_TEXTS, total * share)).collect()))
+
+    def added(self, step: Callable, model: TopicModel, size: int) -> np.ndarray:
+        held = self.context.broadcast(model)
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            made, total = step(held.value), np.zeros(size if size <= MAX_HELD_SUMS else 0, np.int64)
+            for block in _read(batches):
+                key, value = made(block)
+                if not len(total):
+                    yield _parts(key, value)
+                    continue
+                total[key] += value
+                if np.abs(total).max() > 1 << 61:  # a block adds less than 2 to the power 53
+                    yield _parts(np.arange(size), total)
+                    total[:] = 0
+            yield _parts(np.arange(len(total)), total)
+
+        found = self.rows.mapInArrow(sums, "key long, high long, low long").groupBy("key").agg(F.sum("high").alias("high"), F.sum("low").alias("low")).toArrow()
+        held.destroy()
+        total = np.zeros(size)
+        total[found.column("key").to_numpy()] = found.column("high").to_numpy() * 2.0**32 + found.column("low").to_numpy()
+        return total
+
+    def least(self, step: Callable, model: TopicModel) -> tuple | None:
+        held = self.context.broadcast(model)
+        names = ("score", "order", "classes", "entries", "own")
+
+        def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = min((x for x in map(step(held.value), _read(batches)) if x is not None), default=None)
+            if best is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in best], names=names)
+
+        found = self.rows.mapInArrow(least, "score double, order long, classes binary, entries binary, own long").agg(F.min(F.struct(*names))).first()[0]
+        held.destroy()
+        return None if found is None else (*found[:2], bytes(found[2]), bytes(found[3]), found[4])
+
+
+def _parts(key: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+    """Sums other than 0, each in two parts that can be added further without overflow."""
+    some = value != 0
+    return pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (key, value >> 32, value & 0xFFFFFFFF)], names=["key", "high", "low"])
+
+
+def _fit(texts: _HeldTexts | _WrittenTexts, topics: int, rounds: int) -> TopicModel:
+    """Spherical k-means over all of the texts, without the mean of their language; starts from the text farthest from those taken.
+
+    A language has a mean of its own if it has ``LEAST_TEXTS`` texts and ``LANG_SHARE`` of all texts. The rounds end once no centre changes.
+    """
+    total, counts = texts.languages(LANG_SHARE)
+    langs = {g: k for k, g in enumerate(sorted(counts, key=lambda g: (g is None, g or "")))}
+    model = TopicModel(np.zeros(CLASSES), langs, np.zeros((len(langs) + 1, CLASSES)), np.zeros((0, CLASSES)))
+    if total:
+        model = replace(model, weight=np.log((1 + total) / (1 + texts.added(_texts_with_class, model, CLASSES))))
+        means = texts.added(_sums_of_languages, model, model.means.size).reshape(model.means.shape)
+        means[-1] = means.sum(0)
+        model = replace(model, means=np.rint(means / np.array([*(counts[g] for g in langs), total])[:, None]))
+    while len(model.centres) < topics and total and (taken := texts.least(_farthest, model)):
+        centre = -model.means[taken[4]]
+        centre[np.frombuffer(taken[2], "<u2")] += np.frombuffer(taken[3], "<i4")
+        model = replace(model, centres=np.vstack([model.centres, _unit(centre)]))
+    found = len(model.centres)
+    model = replace(model, centres=np.vstack([model.centres, np.zeros((topics - found, CLASSES))]))
+    for _ in range(rounds if found else 0):
+        sums = texts.added(_sums_of_topics, model, topics * (CLASSES + len(model.means)))
+        whole, taken = sums[: topics * CLASSES].reshape(topics, CLASSES), sums[topics * CLASSES :].reshape(topics, -1)
+        moved = whole - taken @ model.means
+        centres = np.array([_unit(x) if t.any() and x.any() else was for x, t, was in zip(moved, taken, model.centres, strict=True)])
+        if (centres == model.centres).all():
+            break
+        model = replace(model, centres=centres)
+    return model
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return np.rint(x / max(1e-12, np.linalg.norm(x)) * UNIT)
+
+
+def fit_topics(sample: list[tuple[str | None, np.ndarray, np.ndarray]], topics: int = TOPICS, rounds: int = ROUNDS) -> TopicModel:
+    """Topics of texts in memory, as (language, classes, values) of ``hashed_words``; the fit is that of ``learn_topics``."""
+    return _fit(_HeldTexts([x for x in sample if len(x[1])]), topics, rounds)
+
+
+def learn_topics(words: DataFrame, *, lang: str = "lang", order: str = "_order", counts: str = "_words", topics: int = TOPICS, rounds: int = ROUNDS) -> TopicModel:
+    """Topics of all texts with words, of their ``word_counts``. Every step of the fit reads all of them; only sums and one text for each start come to the driver.
+
+    ``order`` says which of equally far texts is a start; a hash of key and text does, as texts equal in both are the same start.
+    """
+    ready(words.sparkSession)
+    rows = words.where(F.col(f"{counts}.n_tokens") > 0)
+    return _fit(_WrittenTexts(rows.select(F.col(lang).alias("lang"), F.col(order).alias("order"), F.col(f"{counts}.classes"), F.col(f"{counts}.times"))), topics, rounds)
+
+
+def word_counts(text: Column) -> Column:
+    """The struct of n_tokens, the classes of the distinct words and how often each occurs, as bytes of 16 and 32 bits each."""
+
+    @F.pandas_udf("n_tokens long, classes binary, times binary")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = [counted_words(x.encode() if isinstance(x, str) else None) for x in texts]
+            yield pd.DataFrame({
+                "n_tokens": np.array([n for n, *_ in rows], np.int64), "classes": [at.astype("<u2").tobytes() for _, at, _ in rows], "times": [times.astype("<u4").tobytes() for *_, times in rows],
+            })
+
+    return found(text)
+
+
+def topic_of(session: SparkSession, model: TopicModel, lang: Column, classes: Column, times: Column) -> Column:
+    """The nearest topic of each text, from its ``word_counts``; 0 without words."""
+    held = session.sparkContext.broadcast(model)
+
+    @F.pandas_udf("int")
+    def found(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        near = _Near(held.value)
+        for langs, classes, times in batches:
+            topic = np.zeros(len(langs), np.int32)
+            some = np.flatnonzero(classes.str.len().to_numpy())
+            for k in range(0, len(some), BLOCK):
+                at = some[k : k + BLOCK]
+                topic[at] = near.topics(_Block.of([g if isinstance(g, str) else None for g in langs.iloc[at]], at, list(classes.iloc[at]), list(times.iloc[at])))
+            yield pd.Series(topic)
+
+    return found(lang, classes, times)
 
 
 def tempered(totals: Mapping, temperature: float) -> dict:
@@ -214,8 +416,8 @@ def mix(docs: DataFrame, *, targets: Mapping[str, Mapping] | None = None, temper
     it as far as they can. The fit ends after ``rounds`` at most. ``weight`` is the probability over ``fraction``: the factor by which a token's
     share grows. ``sampled`` compares the probability with a hash of key, text and ``seed``.
 
-    ``topic``: the nearest of ``TOPICS`` clusters of hashed words, learnt from at most ``TOPIC_SAMPLE`` texts
-    less the mean of their language. Texts are read once for it and written with what was found.
+    ``topic``: the nearest of ``TOPICS`` clusters of hashed words, learnt from all texts less the mean of their
+    language. Texts are read once for it and written with the counts of their words, which the fit reads in each round.
 
     Null sources and languages are categories of their own. Null and empty texts have no tokens; a cell
     without tokens has probability 0, unless no document has any tokens: then all are sampled. Repeated rows are sampled alike; an empty table gives none; a column named _mix is replaced.
@@ -223,12 +425,15 @@ def mix(docs: DataFrame, *, targets: Mapping[str, Mapping] | None = None, temper
     spark = docs.sparkSession
     stay = [c for c in (docs.columns if keep is None else keep) if c != "_mix"]
     draw = F.shiftrightunsigned(F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"), F.lit(seed)), 11) / F.lit(float(1 << 53))
-    mixed = with_topic(docs, learn_topics(docs, key=key, text=text, lang=lang), text=text, lang=lang)
+    order = F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"), F.lit(5))
     whole = F.struct(*(F.col(f"`{c}`") for c in stay)).alias("_row")  # no name of docs can clash
-    mixed = mixed.select(whole, F.col("_mix"), draw.alias("_draw"), F.col(f"`{source}`").cast("string").alias("_source"), F.col(f"`{lang}`").cast("string").alias("_lang"))
-    mixed = written(mixed, "topics")
-    cell = [F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_mix.topic").alias("topic")]
-    cells = mixed.select(*cell, F.col("_mix.n_tokens").alias("n")).groupBy(*MARGINS).agg(F.sum("n").alias("tokens"))
+    ready(spark)
+    mixed = docs.select(whole, draw.alias("_draw"), order.alias("_order"), F.col(f"`{source}`").cast("string").alias("_source"), F.col(f"`{lang}`").cast("string").alias("_lang"), word_counts(F.col(f"`{text}`").cast("string")).alias("_words"))
+    mixed = written(mixed, "words")
+    topic = topic_of(spark, learn_topics(mixed, lang="_lang"), F.col("_lang"), F.col("_words.classes"), F.col("_words.times"))
+    mixed = mixed.select("_row", "_draw", "_source", "_lang", F.col("_words.n_tokens").alias("_n"), topic.alias("_topic"))
+    cell = [F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic")]
+    cells = mixed.select(*cell, "_n").groupBy(*MARGINS).agg(F.sum("_n").alias("tokens"))
     cells = written(cells, "cells")
     count = cells.count()
     if count <= max_driver_cells:
@@ -252,9 +457,9 @@ def mix(docs: DataFrame, *, targets: Mapping[str, Mapping] | None = None, temper
     weights = weights.select(F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("topic").alias("_t"), F.col("probability").alias("_p"))
     if count <= MAX_BROADCAST_CELLS:
         weights = F.broadcast(weights)
-    met = mixed.join(weights, F.col("_source").eqNullSafe(F.col("_s")) & F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_mix.topic").eqNullSafe(F.col("_t")), "left")
+    met = mixed.join(weights, F.col("_source").eqNullSafe(F.col("_s")) & F.col("_lang").eqNullSafe(F.col("_l")) & F.col("_topic").eqNullSafe(F.col("_t")), "left")
     chance = F.coalesce("_p", F.lit(0.0))
-    into = F.struct(F.col("_mix.topic"), F.col("_mix.n_tokens"), (chance / fraction).alias("weight"), chance.alias("probability"), (F.col("_draw") < chance).alias("sampled"))
+    into = F.struct(F.col("_topic").alias("topic"), F.col("_n").alias("n_tokens"), (chance / fraction).alias("weight"), chance.alias("probability"), (F.col("_draw") < chance).alias("sampled"))
     return met.select(*(F.col(f"_row.`{c}`") for c in stay), into.alias("_mix"))
 
 
