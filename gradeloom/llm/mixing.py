@@ -346,11 +346,12 @@ def tempered(totals: Mapping, temperature: float) -> dict:
     return {k: x / whole for k, x in raised.items()}
 
 
-def rake(cells: list[tuple], tokens: np.ndarray, targets: list[dict], fraction: float, *, rounds: int = 500, close: float = 1e-9) -> np.ndarray:
+def rake(cells: list[tuple], tokens: np.ndarray, targets: list[dict], fraction: float, *, rounds: int = 500, close: float = 1e-12) -> np.ndarray:
     """Iterative proportional fitting: each cell's probability, so that tokens * probability is ``fraction`` of all tokens and
     has the target shares of every margin, as far as probabilities of at most 1 can.
 
-    A category without target gets none; the target of one without tokens is spread over the others.
+    A category without target gets none; the target of one without tokens is spread over the others. It ends after
+    ``rounds``, or once a round changes no probability by more than ``close``.
     """
     total = tokens.sum()
     if not total:
@@ -365,12 +366,11 @@ def rake(cells: list[tuple], tokens: np.ndarray, targets: list[dict], fraction:
     share = tokens / total
     chance = np.where(tokens > 0, fraction, 0.0)
     for _ in range(rounds):
-        off = 0.0
+        was = chance
         for place, want in zip(places, wanted, strict=True):
             have = np.bincount(place, share * chance, len(want))
-            off = max(off, float(np.abs(have - want).max()))
             chance = np.minimum(1.0, chance * np.divide(want, have, out=np.zeros_like(want), where=have > 0)[place])
-        if off < close:
+        if np.abs(chance - was).max() <= close:
             break
     return chance
 
@@ -378,7 +378,7 @@ def rake(cells: list[tuple], tokens: np.ndarray, targets: list[dict], fraction:
 def _raked_large(cells: DataFrame, targets: Mapping[str, Mapping], temperature: float, fraction: float, *, rounds: int = 500, close: float = 1e-12) -> DataFrame:
     """The same fit as DataFrames, for more cells than the driver should hold: each margin a pre-aggregated sum.
 
-    It ends after as many rounds as ``rake``, or once a round changes no probability by more than ``close``: then the
+    It ends where ``rake`` does: once a round changes no probability by more than ``close`` the
     margins are met, or can't all be met and further rounds would only repeat it.
     """
     spark = cells.sparkSession
