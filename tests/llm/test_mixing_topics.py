@@ -61,3 +61,22 @@ def test_each_step_adds_what_a_text_at_a_time_gives():
         row = row / np.linalg.norm(row) - model.means[model.langs.get(g, -1)] / mixing.UNIT
         want[(model.centres @ row).argmax()] += row / max(np.linalg.norm(row), mixing.LEAST_LENGTH)
     assert np.abs(got / mixing.UNIT / 65536 - want).max() < 1e-3
+
+
+def test_the_pipeline_s_sample_follows_topics_of_all_texts(spark, docs):
+    import corpus_pipeline
+
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(11)), 11) / F.lit(float(1 << 53))
+    rows = docs.select("*", draw.alias("draw"), F.xxhash64("doc_id", "text", F.lit(5)).alias("o")).where("doc_id < 9000").orderBy("o").collect()
+    found = [mixing.hashed_words(r.text.encode()) for r in rows]
+    model = mixing.fit_topics([(r.lang, at, value) for r, (_, at, value) in zip(rows, found, strict=True)])
+    cell = [(r.source, r.lang, model.topic(at, value, model.offset(r.lang))) for r, (_, at, value) in zip(rows, found, strict=True)]
+    tokens = {c: 0.0 for c in cell}
+    for c, (n, *_) in zip(cell, found, strict=True):
+        tokens[c] += n
+    names = sorted(tokens, key=str)
+    counts = np.array([tokens[c] for c in names])
+    want = [mixing.tempered({v: sum(n for c, n in tokens.items() if c[k] == v) for v in {c[k] for c in names}}, mixing.TEMPERATURE) for k in range(3)]
+    chance = dict(zip(names, mixing.rake(names, counts, want, mixing.FRACTION), strict=True))
+    got = {r.doc_id for r in corpus_pipeline.mix_sources(spark, docs, "").collect()}
+    assert got == {r.doc_id for r, c in zip(rows, cell, strict=True) if r.draw < chance[c]} and 4000 < len(got) < 5000
