@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.llm.cluster import discard, ready, table, written
-from gradeloom.llm.wordhash import mixed, word_hashes
+from gradeloom.llm.wordhash import hashes_of_texts, mixed
 
 MARGINS = ("source", "lang", "topic")
 #: Topics, classes that words are hashed to, and rounds of the clusters' fit.
@@ -22,8 +22,8 @@ TOPICS, CLASSES, ROUNDS = 8, 1024, 12
 LEAST_TEXTS, LANG_SHARE = 5, 1e-4
 #: What is 1 in whole numbers; the length below which a text less its mean isn't drawn out to length 1.
 UNIT, LEAST_LENGTH = float(1 << 20), 1 / 64
-#: Texts compared at a time; sums up to this many are added in a task before they are passed on.
-BLOCK, MAX_HELD_SUMS = 2048, 1 << 18
+#: Texts compared at a time, as rows of ``CLASSES`` numbers each; sums up to this many are added in a task before they are passed on.
+BLOCK, MAX_HELD_SUMS = 256, 1 << 18
 #: Cells up to this many are raked at the driver, more of them as DataFrames.
 MAX_DRIVER_CELLS = 500_000
 MAX_BROADCAST_CELLS = 500_000
@@ -41,11 +41,17 @@ def hashed_words(text: bytes | None) -> tuple[int, np.ndarray, np.ndarray]:
 
 def counted_words(text: bytes | None) -> tuple[int, np.ndarray, np.ndarray]:
     """(words, classes of distinct words, how often each occurs)."""
-    words = word_hashes(text, fold=True) if text else np.empty(0, np.uint64)
-    if not len(words):
-        return 0, np.empty(0, np.int64), np.empty(0)
-    at, times = np.unique((mixed(words) % np.uint64(CLASSES)).astype(np.int64), return_counts=True)
-    return len(words), at, times
+    n, _, at, times = counted_texts([text or b""])
+    return int(n[0]), at, times
+
+
+def counted_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words of each text, how many classes each has; one text after the other, the classes of the distinct words and how often each occurs)."""
+    words, n = hashes_of_texts(texts, fold=True)
+    at = np.repeat(np.arange(len(texts)) * CLASSES, n) + (mixed(words) % np.uint64(CLASSES)).astype(np.int64)
+    times = np.bincount(at, minlength=len(texts) * CLASSES)
+    at = np.flatnonzero(times)
+    return n, np.bincount(at // CLASSES, minlength=len(texts)), at % CLASSES, times[at]
 
 
 @dataclass(frozen=True)
@@ -99,30 +105,62 @@ class _Block:
         return _Block(langs, order, np.concatenate([[0], ends[:-1]]), np.frombuffer(b"".join(classes), "<u2").astype(np.int64), 1 + np.log(np.frombuffer(b"".join(times), "<u4")))
 
     def rows(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.starts)), np.diff(self.starts, append=len(self.at)))
+        return _rows(self.starts, len(self.at))
+
+
+@dataclass(frozen=True)
+class _Measured:
+    """The texts of a block once the means are known: the rows of their means, their entries in whole numbers, their lengths less their mean."""
+
+    own: np.ndarray
+    order: np.ndarray
+    starts: np.ndarray
+    at: np.ndarray
+    x: np.ndarray
+    length: np.ndarray
+
+    def dense(self) -> np.ndarray:
+        """The entries as one row of ``CLASSES`` for each text."""
+        out = np.zeros((len(self.own), CLASSES))
+        out.ravel()[_rows(self.starts, len(self.at)) * CLASSES + self.at] = self.x
+        return out
+
+
+def _rows(starts: np.ndarray, n: int) -> np.ndarray:
+    return np.repeat(np.arange(len(starts)), np.diff(starts, append=n))
+
+
+def _measured(model: TopicModel) -> Callable[[_Block | _Measured], _Measured]:
+    """For blocks what the model's means say of them; a block that is measured already stays."""
+    squares = (model.means**2).sum(1)
+
+    def measured(block: _Block | _Measured) -> _Measured:
+        if isinstance(block, _Measured):
+            return block
+        own, x = model.own(block.langs), _scaled(block.at, block.value, block.starts, model.weight)
+        square = np.add.reduceat(x * (x - 2 * model.means[own[block.rows()], block.at]), block.starts) + squares[own]
+        return _Measured(own, block.order, block.starts, block.at, x, np.sqrt(np.maximum(square, 0.0)) / UNIT)
+
+    return measured
 
 
 class _Near:
-    """Compares blocks with the means and centres of one model."""
+    """Compares blocks with the means and centres of one model. Products are sums of whole numbers below 2 to the power 53, exact in any order."""
 
     def __init__(self, model: TopicModel) -> None:
-        self.model, self.offsets, self.squares = model, model.centres @ model.means.T, (model.means**2).sum(1)
+        self.model, self.offsets, self.measured = model, model.centres @ model.means.T, _measured(model)
 
-    def __call__(self, block: _Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(rows of the means, texts' entries, products with the centres, lengths): of the texts less their mean, both in whole numbers but the lengths."""
-        m, own = self.model, self.model.own(block.langs)
-        x = _scaled(block.at, block.value, block.starts, m.weight)
-        product = np.empty((len(m.centres), len(own)))
-        for k, centre in enumerate(m.centres):
-            product[k] = np.add.reduceat(x * centre[block.at], block.starts)
-        product -= self.offsets[:, own]
-        square = np.add.reduceat(x * (x - 2 * m.means[own[block.rows()], block.at]), block.starts) + self.squares[own]
-        return own, x, product, np.sqrt(np.maximum(square, 0.0)) / UNIT
+    def __call__(self, block: _Block | _Measured) -> tuple[_Measured, np.ndarray, np.ndarray]:
+        """(measured block, its dense rows, products with the centres): the products of the texts less their mean."""
+        found = self.measured(block)
+        dense = found.dense()
+        return found, dense, self.model.centres @ dense.T - self.offsets[:, found.own]
 
     def topics(self, block: _Block) -> np.ndarray:
         m, own = self.model, self.model.own(block.langs)
         x = _scaled(block.at, block.value, block.starts, m.weight)
-        return (np.stack([np.add.reduceat(x * centre[block.at], block.starts) for centre in m.centres]) - self.offsets[:, own]).argmax(0)
+        dense = _Measured(own, block.order, block.starts, block.at, x, x).dense()
+        return (m.centres @ dense.T - self.offsets[:, own]).argmax(0)
 
 
 # Steps of the fit. Each takes a model and gives a function of blocks: of keys and whole numbers to be added, or of the least candidate.
@@ -144,14 +182,15 @@ def _sums_of_languages(model: TopicModel):
 def _sums_of_topics(model: TopicModel):
     """For each topic the sum of its texts over their lengths, before the means are taken off; then how much of each mean that is."""
     near, topics, means = _Near(model), len(model.centres), len(model.means)
+    keys = np.arange(topics * (CLASSES + means))
 
-    def sums(block: _Block) -> tuple[np.ndarray, np.ndarray]:
-        own, x, product, length = near(block)
-        topic, factor = product.argmax(0), np.rint(65536 / np.maximum(length, LEAST_LENGTH))
-        row = block.rows()
-        whole = np.bincount(topic[row] * CLASSES + block.at, x * factor[row], topics * CLASSES)
-        taken = np.bincount(topic * means + own, factor, topics * means)
-        return np.arange(topics * (CLASSES + means)), np.concatenate([whole, taken]).astype(np.int64)
+    def sums(block: _Block | _Measured) -> tuple[np.ndarray, np.ndarray]:
+        found, dense, product = near(block)
+        topic, factor = product.argmax(0), np.rint(65536 / np.maximum(found.length, LEAST_LENGTH))
+        share = np.zeros_like(product)
+        share[topic, np.arange(len(topic))] = factor
+        taken = np.bincount(topic * means + found.own, factor, topics * means)
+        return keys, np.concatenate([(share @ dense).ravel(), taken]).astype(np.int64)
 
     return sums
 
@@ -160,15 +199,15 @@ def _farthest(model: TopicModel):
     """The text whose nearest centre is farthest; of equal ones the first by hash. Texts that are their language's mean don't count."""
     near = _Near(model)
 
-    def least(block: _Block) -> tuple | None:
-        own, x, product, length = near(block)
-        score = (product / UNIT**2 / np.maximum(length, LEAST_LENGTH)).max(0) if len(product) else np.full(len(own), -1.0)
-        score[length == 0] = np.inf
-        k = np.lexsort((block.order, score))[0]
+    def least(block: _Block | _Measured) -> tuple | None:
+        found, _, product = near(block)
+        score = (product / UNIT**2 / np.maximum(found.length, LEAST_LENGTH)).max(0) if len(product) else np.full(len(found.own), -1.0)
+        score[found.length == 0] = np.inf
+        k = np.lexsort((found.order, score))[0]
         if score[k] == np.inf:
             return None
-        part = slice(block.starts[k], block.starts[k + 1] if k + 1 < len(block.starts) else None)
-        return float(score[k]), int(block.order[k]), block.at[part].astype("<u2").tobytes(), x[part].astype("<i4").tobytes(), int(own[k])
+        part = slice(found.starts[k], found.starts[k + 1] if k + 1 < len(found.starts) else None)
+        return float(score[k]), int(found.order[k]), found.at[part].astype("<u2").tobytes(), found.x[part].astype("<i4").tobytes(), int(found.own[k])
 
     return least
 
@@ -187,6 +226,9 @@ class _HeldTexts:
         found = Counter(g for block in self.blocks for g in block.langs)
         return found.total(), {g: n for g, n in found.items() if n >= max(LEAST_TEXTS, found.total() * share)}
 
+    def measure(self, model: TopicModel) -> None:
+        self.blocks = list(map(_measured(model), self.blocks))
+
     def added(self, step: Callable, model: TopicModel, size: int) -> np.ndarray:
         total, made = np.zeros(size), step(model)
         for block in self.blocks:
@@ -198,18 +240,45 @@ class _HeldTexts:
         return min((x for x in map(step(model), self.blocks) if x is not None), default=None)
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
+def _numbers(column: pa.Array, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """(where each value starts, all of the numbers) of binary values, without a copy."""
+    ends = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    found = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(dtype)
+    return (ends[:-1] - ends[0]) // found.itemsize, found
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block | _Measured]:
+    """Blocks of lang, order, classes and times, or of what was measured."""
     for batch in batches:
         for k in range(0, len(batch), BLOCK):
             some = batch.slice(k, BLOCK)
-            yield _Block.of(some.column(0).to_pylist(), some.column(1).to_numpy(), some.column(2).to_pylist(), some.column(3).to_pylist())
+            starts, at = _numbers(some.column(2), "<u2")
+            if batch.num_columns == 4:
+                yield _Block(some.column(0).to_pylist(), some.column(1).to_numpy(), starts, at.astype(np.int64), 1 + np.log(_numbers(some.column(3), "<u4")[1]))
+            else:
+                yield _Measured(some.column(0).to_numpy(), some.column(1).to_numpy(), starts, at.astype(np.int64), _numbers(some.column(3), "<i4")[1].astype(np.float64), some.column(4).to_numpy())
 
 
 class _WrittenTexts:
     """Texts of a DataFrame of lang, order, classes and times: every step reads all of them where they are."""
 
     def __init__(self, rows: DataFrame) -> None:
-        self.rows, self.context = rows, rows.sparkSession.sparkContext
+        self.rows, self.context, self.made = rows, rows.sparkSession.sparkContext, []
+
+    def measure(self, model: TopicModel) -> None:
+        """From now on the steps read texts that are measured already."""
+        held = self.context.broadcast(model)
+
+        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for m in map(_measured(held.value), _read(batches)):
+                parts = [x.tobytes() for x in (m.at.astype("<u2"), m.x.astype("<i4"))]
+                ends = np.append(m.starts, len(m.at))
+                lists = [pa.Array.from_buffers(pa.binary(), len(m.own), [None, pa.py_buffer((ends * n).astype(np.int32)), pa.py_buffer(x)]) for n, x in zip((2, 4), parts, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(m.own), pa.array(m.order), *lists, pa.array(m.length)], names=["own", "order", "classes", "entries", "length"])
+
+        self.rows = written(self.rows.mapInArrow(found, "own long, order long, classes binary, entries binary, length double"), "measured")
+        self.made.append(self.rows)
+        held.destroy()
 
     def languages(self, share: float) -> tuple[int, dict[str | None, int]]:
         found = self.rows.groupBy("lang").agg(F.count("*").alias("n"))
@@ -271,6 +340,7 @@ def _fit(texts: _HeldTexts | _WrittenTexts, topics: int, rounds: int) -> TopicMo
         means = texts.added(_sums_of_languages, model, model.means.size).reshape(model.means.shape)
         means[-1] = means.sum(0)
         model = replace(model, means=np.rint(means / np.array([*(counts[g] for g in langs), total])[:, None]))
+        texts.measure(model)
     while len(model.centres) < topics and total and (taken := texts.least(_farthest, model)):
         centre = -model.means[taken[4]]
         centre[np.frombuffer(taken[2], "<u2")] += np.frombuffer(taken[3], "<i4")
@@ -304,7 +374,10 @@ def learn_topics(words: DataFrame, *, lang: str = "lang", order: str = "_order",
     """
     ready(words.sparkSession)
     rows = words.where(F.col(f"{counts}.n_tokens") > 0)
-    return _fit(_WrittenTexts(rows.select(F.col(lang).alias("lang"), F.col(order).alias("order"), F.col(f"{counts}.classes"), F.col(f"{counts}.times"))), topics, rounds)
+    texts = _WrittenTexts(rows.select(F.col(lang).alias("lang"), F.col(order).alias("order"), F.col(f"{counts}.classes"), F.col(f"{counts}.times")))
+    model = _fit(texts, topics, rounds)
+    discard(*texts.made)
+    return model
 
 
 def word_counts(text: Column) -> Column:
@@ -313,10 +386,15 @@ def word_counts(text: Column) -> Column:
     @F.pandas_udf("n_tokens long, classes binary, times binary")
     def found(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            rows = [counted_words(x.encode() if isinstance(x, str) else None) for x in texts]
-            yield pd.DataFrame({
-                "n_tokens": np.array([n for n, *_ in rows], np.int64), "classes": [at.astype("<u2").tobytes() for _, at, _ in rows], "times": [times.astype("<u4").tobytes() for *_, times in rows],
-            })
+            counts, classes, times = [np.empty(0, np.int64)], [], []
+            for k in range(0, len(texts), BLOCK):
+                n, sizes, at, often = counted_texts([x.encode() if isinstance(x, str) else b"" for x in texts.iloc[k : k + BLOCK]])
+                ends = np.cumsum(sizes).tolist()
+                for kept, part in ((classes, at.astype("<u2").tobytes()), (times, often.astype("<u4").tobytes())):
+                    width = len(part) // max(1, len(at))
+                    kept += [part[a * width : b * width] for a, b in zip([0, *ends], ends, strict=False)]
+                counts.append(n)
+            yield pd.DataFrame({"n_tokens": np.concatenate(counts), "classes": classes, "times": times})
 
     return found(text)
 
@@ -417,7 +495,7 @@ def mix(docs: DataFrame, *, targets: Mapping[str, Mapping] | None = None, temper
     share grows. ``sampled`` compares the probability with a hash of key, text and ``seed``.
 
     ``topic``: the nearest of ``TOPICS`` clusters of hashed words, learnt from all texts less the mean of their
-    language. Texts are read once for it and written with the counts of their words, which the fit reads in each round.
+    language. Texts are read once for it and written with the counts of their words; the fit writes those once more, scaled, and reads them in each round.
 
     Null sources and languages are categories of their own. Null and empty texts have no tokens; a cell
     without tokens has probability 0, unless no document has any tokens: then all are sampled. Repeated rows are sampled alike; an empty table gives none; a column named _mix is replaced.
